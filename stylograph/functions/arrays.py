@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stylograph.functions.lexicons import CLOSE_QUOTE, OPEN_QUOTE
+from stylograph.functions.lexicons import CLOSE_QUOTE, OPEN_QUOTE, STRAIGHT_QUOTE
 from stylograph.functions.prose import QUOTE, word_texts
 
 
@@ -79,14 +79,10 @@ def token_depths(heads: Column) -> Column:
 SWITCH = ("in0", "in1", "out0", "out1")
 
 
-def quote_switch(body: Column) -> Column:
-    """The switch of one text: an opening mark sets it, a closing mark clears it, a straight one flips it.
-
-    Marks are few; words are counted in the stretches between them.
-    """
-
-    def words(part: Column) -> Column:
-        return F.size(word_texts(part)).cast("bigint")
+def quote_switch(body: Column, n_words: Column) -> Column:
+    """The switch of one text of ``n_words``: an opening mark sets it, a closing mark clears it, a
+    straight one flips it. Words are counted again only in the stretches of texts that have marks."""
+    marked = body.contains(OPEN_QUOTE) | body.contains(CLOSE_QUOTE) | body.contains(STRAIGHT_QUOTE)
 
     def step(state: Column, x: Column) -> Column:
         def after(was: Column) -> Column:
@@ -99,19 +95,17 @@ def quote_switch(body: Column) -> Column:
             after(state["out1"]).alias("out1"),
         )
 
-    def sweep(text: Column) -> Column:
-        marks = F.regexp_extract_all(text, F.lit(QUOTE), F.lit(0))
-        stretches = F.transform(F.split(text, QUOTE), words)
-        return let(
-            F.struct(marks.alias("marks"), stretches.alias("n")),
-            lambda t: F.aggregate(
-                F.transform(t["marks"], lambda mark, i: F.struct(mark.alias("mark"), F.get(t["n"], i + 1).alias("n"))),
-                untouched(F.get(t["n"], F.lit(0))),
-                step,
-            ),
-        )
-
-    return let(body, sweep)
+    marks = F.regexp_extract_all(body, F.lit(QUOTE), F.lit(0))
+    stretches = F.transform(F.split(body, QUOTE), lambda part: F.size(word_texts(part)).cast("bigint"))
+    swept = let(
+        F.struct(marks.alias("marks"), stretches.alias("n")),
+        lambda t: F.aggregate(
+            F.transform(t["marks"], lambda mark, i: F.struct(mark.alias("mark"), F.get(t["n"], i + 1).alias("n"))),
+            untouched(F.get(t["n"], F.lit(0))),
+            step,
+        ),
+    )
+    return F.when(marked, swept).otherwise(untouched(n_words))
 
 
 def untouched(words: Column) -> Column:

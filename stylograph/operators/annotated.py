@@ -33,6 +33,7 @@ from stylograph.functions.lexicons import (
 from stylograph.operators.measures import ALL, measure, tidy
 from stylograph.operators.surface import FUNCTION_WORD_COUNTS, PUNCTUATION_COUNTS, term_richness
 from stylograph.operators.tokens import pack_sentences
+from stylograph.session import sql_string
 
 # Tokens swept together for the quote switch.
 TOKENS_PER_BLOCK = 65_536
@@ -122,19 +123,22 @@ def speech_counts(tokens: DataFrame) -> DataFrame:
 
 def summed_counts(tokens: DataFrame) -> DataFrame:
     """Every count that is a plain sum over tokens, in one aggregation."""
-    word, lower = F.col("is_alpha"), F.col("lower")
+    function_words = (
+        f"count_if(is_alpha AND lower = {sql_string(w)}) AS {name}" for w, name in zip(FUNCTION_WORDS, FUNCTION_WORD_COUNTS)
+    )
+    punctuation = (
+        f"count_if(is_punct AND text IN ({', '.join(map(sql_string, marks))})) AS {name}"
+        for marks, name in zip(PUNCTUATION_GROUPS.values(), PUNCTUATION_COUNTS)
+    )
     return tokens.groupBy("work_id").agg(
-        F.count_if(word).alias("n_words"),
-        F.coalesce(F.sum(F.when(word, F.length("text"))), F.lit(0)).cast("bigint").alias("n_letters"),
-        F.count_if(word & lower.isin(*ARCHAIC_WORDS)).alias("n_archaic"),
+        F.count_if("is_alpha").alias("n_words"),
+        F.expr("coalesce(sum(length(text)) FILTER (WHERE is_alpha), 0L) AS n_letters"),
+        F.count_if(F.col("is_alpha") & F.col("lower").isin(*ARCHAIC_WORDS)).alias("n_archaic"),
         F.count_if(is_contraction()).alias("n_clitics"),
         F.count_if(F.col("pos") == "ADJ").alias("n_adjectives"),
         F.count_if(F.col("pos") == "ADV").alias("n_adverbs"),
-        *(F.count_if(word & (lower == w)).alias(name) for w, name in zip(FUNCTION_WORDS, FUNCTION_WORD_COUNTS)),
-        *(
-            F.count_if(F.col("is_punct") & F.col("text").isin(*marks)).alias(name)
-            for marks, name in zip(PUNCTUATION_GROUPS.values(), PUNCTUATION_COUNTS)
-        ),
+        *map(F.expr, function_words),
+        *map(F.expr, punctuation),
     )
 
 
@@ -205,16 +209,13 @@ def token_counts(tokens: DataFrame, works: DataFrame | None = None, packed: Data
     ]
     spine = works.select("work_id") if works is not None else tokens.select("work_id").distinct()
     joined = reduce(lambda left, right: left.join(right, "work_id", "left"), parts, spine)
-    # A work with sentences but no tree counts was not parsed: its tree measures stay null and emit no rows.
-    unparsed = (F.col("n_sentences") > 0) & F.col("n_parsed_sentences").isNull()
+    # A work with sentences but no tree counts was not parsed: its tree counts stay null.
     tree_columns = {"sum_depth", "n_parsed_sentences"} | {f"n_{kind}" for kind in SENTENCE_KINDS}
-    zero = F.lit(0).cast("bigint")
-    return joined.select(
+    unparsed = "coalesce(n_sentences, 0) > 0 AND n_parsed_sentences IS NULL"
+    return joined.selectExpr(
         "work_id",
         *(
-            F.when(~F.coalesce(unparsed, F.lit(False)), F.coalesce(F.col(c), zero)).alias(c)
-            if c in tree_columns
-            else F.coalesce(F.col(c), zero).alias(c)
+            f"CASE WHEN {unparsed} THEN NULL ELSE coalesce({c}, 0L) END AS {c}" if c in tree_columns else f"coalesce({c}, 0L) AS {c}"
             for c in joined.columns
             if c != "work_id"
         ),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stylograph.functions.lexicons import (
@@ -15,78 +15,62 @@ from stylograph.functions.lexicons import (
 )
 
 
-def ratio(part: str, whole: str) -> Column:
+def ratio(part: str, whole: str) -> str:
     """part / whole; 0 of nothing; null only where the whole was not counted."""
-    return F.when(F.col(whole) > 0, F.col(part).cast("double") / F.col(whole).cast("double")).when(F.col(whole) == 0, 0.0)
+    return f"CASE WHEN {whole} > 0 THEN CAST({part} AS DOUBLE) / CAST({whole} AS DOUBLE) WHEN {whole} = 0 THEN 0.0D END"
 
 
-def mean_word_length() -> Column:
-    return ratio("n_letters", "n_words")
+# 10^4 (S2 - N) / N^2: repetition raises it, whatever the length.
+YULES_K = """
+CASE WHEN n_words > 0
+     THEN 10000.0D * (CAST(sum_sq_types AS DOUBLE) - n_words) / (CAST(n_words AS DOUBLE) * n_words) ELSE 0.0D END"""
 
+# 100 ln N / (1 - V1/V); 0 where every type occurs once.
+HONORE_R = """
+CASE WHEN n_hapax < n_types
+     THEN 100.0D * ln(CAST(n_words AS DOUBLE)) / (1.0D - CAST(n_hapax AS DOUBLE) / CAST(n_types AS DOUBLE)) ELSE 0.0D END"""
 
-def yules_k() -> Column:
-    """10^4 (S2 - N) / N^2: repetition raises it, whatever the length."""
-    n = F.col("n_words").cast("double")
-    return F.when(n > 0, F.lit(10000.0) * (F.col("sum_sq_types").cast("double") - n) / (n * n)).otherwise(0.0)
-
-
-def honore_r() -> Column:
-    """100 ln N / (1 - V1/V); 0 where every type occurs once."""
-    repeated = 1.0 - F.col("n_hapax").cast("double") / F.col("n_types").cast("double")
-    defined = (F.col("n_words") > 0) & (F.col("n_hapax") < F.col("n_types"))
-    return F.when(defined, F.lit(100.0) * F.ln(F.col("n_words").cast("double")) / repeated).otherwise(0.0)
-
-
-def sentence_length_stdev() -> Column:
-    """Population deviation from exact integer sums: sqrt(n * sum(x^2) - sum(x)^2) / n."""
-    n, total = F.col("n_sentences").cast("decimal(19,0)"), F.col("n_words").cast("decimal(19,0)")
-    spread = n * F.col("sum_sq_sentence_words").cast("decimal(19,0)") - total * total
-    return F.when(F.col("n_sentences") > 1, F.sqrt(spread.cast("double")) / F.col("n_sentences").cast("double")).otherwise(0.0)
-
+# Population deviation from exact integer sums: sqrt(n * sum(x^2) - sum(x)^2) / n.
+SENTENCE_LENGTH_STDEV = """
+CASE WHEN n_sentences > 1
+     THEN sqrt(CAST(CAST(n_sentences AS DECIMAL(19, 0)) * CAST(sum_sq_sentence_words AS DECIMAL(19, 0))
+                    - CAST(n_words AS DECIMAL(19, 0)) * CAST(n_words AS DECIMAL(19, 0)) AS DOUBLE)) / n_sentences
+     ELSE 0.0D END"""
 
+# Registry: a measure is a name and an expression over the counts. An entry more is a series more.
 LEXICAL = {
-    "mean_word_length": mean_word_length,
-    "yules_k": yules_k,
-    "archaic_word_rate": lambda: ratio("n_archaic", "n_words"),
-    "honore_r": honore_r,
-    **{
-        series: (lambda word=word: ratio(f"n_funcword_{word}", "n_words"))
-        for series, word in zip(FUNCTION_WORD_SERIES, FUNCTION_WORDS)
-    },
+    "mean_word_length": ratio("n_letters", "n_words"),
+    "yules_k": YULES_K,
+    "archaic_word_rate": ratio("n_archaic", "n_words"),
+    "honore_r": HONORE_R,
+    **{series: ratio(f"n_funcword_{word}", "n_words") for series, word in zip(FUNCTION_WORD_SERIES, FUNCTION_WORDS)},
 }
 RHYTHM = {
-    "mean_sentence_length": lambda: ratio("n_words", "n_sentences"),
-    "sentence_length_stdev": sentence_length_stdev,
+    "mean_sentence_length": ratio("n_words", "n_sentences"),
+    "sentence_length_stdev": SENTENCE_LENGTH_STDEV,
 }
-MECHANICAL = {
-    **{
-        series: (lambda group=group: ratio(f"n_punct_{group}", "n_words"))
-        for series, group in zip(PUNCTUATION_SERIES, PUNCTUATION_GROUPS)
-    },
-    "contraction_rate": lambda: ratio("n_clitics", "n_words"),
-}
-STRUCTURAL = {"dialogue_narration_ratio": lambda: ratio("n_quoted", "n_words")}
 TREES = {
-    "mean_parse_tree_depth": lambda: ratio("sum_depth", "n_parsed_sentences"),
-    **{
-        series: (lambda kind=kind: ratio(f"n_{kind}", "n_parsed_sentences"))
-        for series, kind in zip(SENTENCE_SERIES, SENTENCE_KINDS)
-    },
+    "mean_parse_tree_depth": ratio("sum_depth", "n_parsed_sentences"),
+    **{series: ratio(f"n_{kind}", "n_parsed_sentences") for series, kind in zip(SENTENCE_SERIES, SENTENCE_KINDS)},
+}
+MECHANICAL = {
+    **{series: ratio(f"n_punct_{group}", "n_words") for series, group in zip(PUNCTUATION_SERIES, PUNCTUATION_GROUPS)},
+    "contraction_rate": ratio("n_clitics", "n_words"),
 }
+STRUCTURAL = {"dialogue_narration_ratio": ratio("n_quoted", "n_words")}
 SPEECH = {
-    "adjective_density": lambda: ratio("n_adjectives", "n_words"),
-    "adverb_density": lambda: ratio("n_adverbs", "n_words"),
+    "adjective_density": ratio("n_adjectives", "n_words"),
+    "adverb_density": ratio("n_adverbs", "n_words"),
 }
-# Registry: a measure is a name and a column over the counts. Add an entry to add a series.
 SURFACE = {**LEXICAL, **RHYTHM, **MECHANICAL, **STRUCTURAL}
 ALL = {**LEXICAL, **RHYTHM, **TREES, **MECHANICAL, **STRUCTURAL, **SPEECH}
 
 
-def measure(counts: DataFrame, measures: dict, *keep: str) -> DataFrame:
+def measure(counts: DataFrame, measures: dict[str, str], *keep: str) -> DataFrame:
     """One wide row per work: ``work_id``, the kept columns and one double per measure."""
-    return counts.select("work_id", *keep, *(column().alias(name) for name, column in measures.items()))
+    return counts.selectExpr("work_id", *keep, *(f"{sql} AS {name}" for name, sql in measures.items()))
 
 
-def tidy(wide: DataFrame, measures: dict) -> DataFrame:
+def tidy(wide: DataFrame, measures: dict[str, str]) -> DataFrame:
     """Rows (work_id, metric, value), one per work and measured series. A narrow expansion, no shuffle."""
     return wide.unpivot("work_id", list(measures), "metric", "value").where(F.col("value").isNotNull())

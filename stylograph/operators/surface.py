@@ -24,69 +24,50 @@ PIECES_PER_BLOCK = 4096
 
 FUNCTION_WORD_COUNTS = tuple(f"n_funcword_{word}" for word in FUNCTION_WORDS)
 PUNCTUATION_COUNTS = tuple(f"n_punct_{group}" for group in PUNCTUATION_GROUPS)
-ADDITIVE_COUNTS = (
-    ("n_words", "n_letters", "n_sentences", "sum_sq_sentence_words", "n_archaic", "n_clitics")
-    + FUNCTION_WORD_COUNTS
-    + PUNCTUATION_COUNTS
-)
+SCALAR_COUNTS = ("n_words", "n_letters", "n_sentences", "sum_sq_sentence_words", "n_archaic", "n_clitics")
+ADDITIVE_COUNTS = SCALAR_COUNTS + FUNCTION_WORD_COUNTS + PUNCTUATION_COUNTS
 RICHNESS_COUNTS = ("n_types", "n_hapax", "sum_sq_types")
 
 
-def _lexicon_counts(terms: Column) -> Column:
-    """Struct of the archaic total and one count per function word."""
-    archaic = F.filter(terms, lambda t: t["term"].isin(*ARCHAIC_WORDS))
+def _function_words(terms: Column) -> Column:
+    """Array of one count per function word, in the list's order."""
     tracked = F.map_from_entries(F.filter(terms, lambda t: t["term"].isin(*FUNCTION_WORDS)))
-    return let(
-        tracked,
-        lambda found: F.struct(
-            long_sum(archaic, lambda t: t["n"]).alias("n_archaic"),
-            *(
-                F.coalesce(F.try_element_at(found, F.lit(word)), F.lit(0).cast("bigint")).alias(name)
-                for word, name in zip(FUNCTION_WORDS, FUNCTION_WORD_COUNTS)
-            ),
-        ),
-    )
+    words = F.split(F.lit(" ".join(FUNCTION_WORDS)), " ")
+    return let(tracked, lambda found: F.transform(words, lambda w: F.coalesce(F.try_element_at(found, w), F.lit(0).cast("bigint"))))
 
 
-def _mark_counts(text: Column) -> Column:
-    """Struct of one count per punctuation group."""
+def _punctuation(text: Column) -> Column:
+    """Array of one count per punctuation group, in the table's order."""
+    groups = F.array(*(F.split(F.lit(" ".join(marks)), " ") for marks in PUNCTUATION_GROUPS.values()))
 
     def counted(found: Column) -> Column:
-        def group(marks: tuple[str, ...]) -> Column:
-            return sum((F.size(found) - F.size(F.array_remove(found, mark)) for mark in marks), F.lit(0))
-
-        return F.struct(
-            *(
-                group(marks).cast("bigint").alias(name)
-                for marks, name in zip(PUNCTUATION_GROUPS.values(), PUNCTUATION_COUNTS)
-            )
-        )
+        return F.transform(groups, lambda marks: long_sum(marks, lambda m: F.size(found) - F.size(F.array_remove(found, m))))
 
     return let(F.regexp_extract_all(text, F.lit(MARK), F.lit(0)), counted)
 
 
 def text_counts(text: Column) -> Column:
-    """All counts of a text as one struct: ``words``, ``lexicon``, ``marks``, ``terms``, ``switch``."""
+    """All counts of a text as one struct."""
 
     def of_sentences(raw: Column, body: Column, by_sentence: Column) -> Column:
         words = F.flatten(by_sentence)
         # Lower-cased as one string, not word by word.
         lower = F.array_remove(F.split(F.lower(F.array_join(words, " ")), " "), "")
         clitics = F.when(has_apostrophe(raw), F.regexp_count(raw, F.lit(CLITIC))).otherwise(0)
+        archaic = lambda terms: F.filter(terms, lambda t: t["term"].isin(*ARCHAIC_WORDS))
         return let(
             term_counts(lower),
             lambda terms: F.struct(
-                F.struct(
-                    F.size(words).cast("bigint").alias("n_words"),
-                    F.length(F.array_join(words, "")).cast("bigint").alias("n_letters"),
-                    F.size(by_sentence).cast("bigint").alias("n_sentences"),
-                    long_sum(by_sentence, lambda s: F.size(s).cast("bigint") * F.size(s)).alias("sum_sq_sentence_words"),
-                    clitics.cast("bigint").alias("n_clitics"),
-                ).alias("words"),
-                _lexicon_counts(terms).alias("lexicon"),
-                _mark_counts(raw).alias("marks"),
+                F.size(words).cast("bigint").alias("n_words"),
+                F.length(F.array_join(words, "")).cast("bigint").alias("n_letters"),
+                F.size(by_sentence).cast("bigint").alias("n_sentences"),
+                long_sum(by_sentence, lambda s: F.size(s).cast("bigint") * F.size(s)).alias("sum_sq_sentence_words"),
+                long_sum(archaic(terms), lambda t: t["n"]).alias("n_archaic"),
+                clitics.cast("bigint").alias("n_clitics"),
+                _function_words(terms).alias("function_words"),
+                _punctuation(raw).alias("punctuation"),
                 terms.alias("terms"),
-                quote_switch(body).alias("switch"),
+                quote_switch(body, F.size(words).cast("bigint")).alias("switch"),
             ),
         )
 
@@ -101,11 +82,18 @@ def text_counts(text: Column) -> Column:
     return let(text, of_text)
 
 
-def piece_counts(pieces: DataFrame, text: Column) -> DataFrame:
-    """Counts of every row's text, beside the columns other than ``text``."""
+def piece_counts(pieces: DataFrame, counts: Column) -> DataFrame:
+    """Counts of every row's text beside the columns other than ``text``: the additive counts,
+    ``terms`` (array of lower-cased word and count) and ``switch`` (see ``quote_switch``)."""
     rest = [c for c in pieces.columns if c != "text"]
-    counted = pieces.select(*rest, text_counts(text).alias("c"))
-    return counted.select(*rest, "c.words.*", "c.lexicon.*", "c.marks.*", "c.terms", "c.switch")
+    return pieces.select(*rest, counts.alias("c")).selectExpr(
+        *rest,
+        *(f"c.{name} AS {name}" for name in SCALAR_COUNTS),
+        *(f"c.function_words[{i}] AS {name}" for i, name in enumerate(FUNCTION_WORD_COUNTS)),
+        *(f"c.punctuation[{i}] AS {name}" for i, name in enumerate(PUNCTUATION_COUNTS)),
+        "c.terms AS terms",
+        "c.switch AS switch",
+    )
 
 
 def surface_counts(works: DataFrame, in_row_chars: int = IN_ROW_CHARS, clean: bool = True) -> DataFrame:
@@ -116,22 +104,22 @@ def surface_counts(works: DataFrame, in_row_chars: int = IN_ROW_CHARS, clean: bo
     cleaning, which only shortens, so the filter stays at the scan.
     """
     works = works.select("work_id", "text")
-    prose = clean_markdown(F.col("text")) if clean else F.col("text")
     size = F.length("text")
-    short = piece_counts(works.where(size <= in_row_chars), prose).select(
-        "work_id", *ADDITIVE_COUNTS, *_row_richness(), F.col("switch.in0").alias("n_quoted")
+    short, long = works.where(size <= in_row_chars), works.where(size > in_row_chars)
+    if clean:
+        prose = clean_markdown(F.col("text"))
+        short, long = short.withColumn("text", prose), long.withColumn("text", prose)
+    counts = text_counts(F.col("text"))
+    in_row = piece_counts(short, counts).selectExpr(
+        "work_id",
+        *ADDITIVE_COUNTS,
+        "CAST(size(terms) AS BIGINT) AS n_types",
+        "CAST(size(filter(terms, t -> t.n = 1)) AS BIGINT) AS n_hapax",
+        "aggregate(terms, 0L, (s, t) -> s + t.n * t.n) AS sum_sq_types",
+        "switch.in0 AS n_quoted",
     )
-    long = works.where(size > in_row_chars).withColumn("text", prose)
     pieces = chunks(long).withColumnRenamed("chunk_no", "piece_no")
-    return short.unionByName(merged_counts(piece_counts(pieces, F.col("text"))))
-
-
-def _row_richness() -> list[Column]:
-    return [
-        F.size("terms").cast("bigint").alias("n_types"),
-        long_sum(F.col("terms"), lambda t: (t["n"] == 1)).alias("n_hapax"),
-        long_sum(F.col("terms"), lambda t: t["n"] * t["n"]).alias("sum_sq_types"),
-    ]
+    return in_row.unionByName(merged_counts(piece_counts(pieces, counts)))
 
 
 def merged_counts(pieces: DataFrame) -> DataFrame:
@@ -144,7 +132,7 @@ def merged_counts(pieces: DataFrame) -> DataFrame:
 
     def level(df: DataFrame, *keys: str) -> DataFrame:
         return df.groupBy(*keys).agg(
-            *(F.sum(c).alias(c) for c in ADDITIVE_COUNTS),
+            *(F.expr(f"sum({c}) AS {c}") for c in ADDITIVE_COUNTS),
             chained_switch(in_order).alias("switch"),
         )
 
@@ -159,11 +147,8 @@ def merged_counts(pieces: DataFrame) -> DataFrame:
     richness = term_richness(
         pieces.select("work_id", F.explode("terms").alias("t")).select("work_id", "t.term", "t.n")
     )
-    return counts.join(richness, "work_id", "left").select(
-        "work_id",
-        *ADDITIVE_COUNTS,
-        *(F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) for c in RICHNESS_COUNTS),
-        F.col("switch.in0").alias("n_quoted"),
+    return counts.join(richness, "work_id", "left").selectExpr(
+        "work_id", *ADDITIVE_COUNTS, *(f"coalesce({c}, 0L) AS {c}" for c in RICHNESS_COUNTS), "switch.in0 AS n_quoted"
     )
 
 

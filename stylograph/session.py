@@ -20,6 +20,8 @@ def get_spark(app: str = "stylograph", master: str | None = None, partitions: in
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Call-site capture costs several round trips per column operation.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
@@ -28,21 +30,23 @@ def get_spark(app: str = "stylograph", master: str | None = None, partitions: in
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back, so later readers do not
-    recompute it and a lost executor cannot change it.
-
-    The folder is the one the session names in ``spark.checkpoint.dir``; a folder of our own
-    is made only in local mode.
-    """
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``; one of our own only in local mode."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="stylograph-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and read it back, so later readers do not
+    recompute it and a lost executor cannot change it."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -63,3 +67,8 @@ def lookup(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     if small.limit(max_rows + 1).count() > max_rows:
         return small
     return F.broadcast(small)
+
+
+def sql_string(value: str) -> str:
+    """A SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
