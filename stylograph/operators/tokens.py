@@ -212,7 +212,8 @@ def annotate(
             for start in range(0, len(frame), batch):
                 rows = frame.iloc[start : start + batch]
                 for work, number, tokens in zip(rows["work_id"], rows["chunk_no"], annotator(list(rows["text"]))):
-                    yield tokens.assign(work_id=work, chunk_no=number).reindex(columns=columns)
+                    placed = tokens.assign(work_id=work, chunk_no=number)
+                    yield placed.assign(**{c: None for c in columns if c not in placed})[columns]
 
     return parts.mapInPandas(run, CHUNK_TOKEN_SCHEMA)
 

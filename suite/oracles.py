@@ -37,6 +37,10 @@ def sql_list(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
+def number(condition: str) -> str:
+    return f"CAST(count_if({condition}) AS BIGINT)"
+
+
 def cleaned(text: str) -> str:
     for pattern, replacement in (
         (r"\r\n|\r", r"\n"),
@@ -132,7 +136,7 @@ trees AS (
 ) + """
   FROM depths JOIN kinds USING (work_id, sent_no) GROUP BY work_id)"""
 
-WORDS = "words AS (SELECT work_id, count_if(is_alpha) AS n_words FROM tok GROUP BY work_id)"
+WORDS = f"words AS (SELECT work_id, {number('is_alpha')} AS n_words FROM tok GROUP BY work_id)"
 TYPES = """
 types AS (SELECT work_id, lower AS term, count(*) AS n FROM tok WHERE is_alpha GROUP BY ALL),
 rich AS (
@@ -172,8 +176,8 @@ punctuation AS (
 
 CONTRACTIONS = """
 contractions AS (
-  SELECT work_id, count_if(is_alpha) AS n_words,
-    count_if(lower(replace(text, '’', '''')) IN ('n''t', '''re', '''ve', '''ll', '''m', '''d', '''s')) AS n_clitics
+  SELECT work_id, CAST(count_if(is_alpha) AS BIGINT) AS n_words,
+    CAST(count_if(lower(replace(text, '’', '''')) IN ('n''t', '''re', '''ve', '''ll', '''m', '''d', '''s')) AS BIGINT) AS n_clitics
   FROM tok GROUP BY work_id)"""
 
 QUOTES = """
@@ -187,8 +191,8 @@ switched AS (
     last_value(CASE WHEN text IN ('“', '”') THEN k END IGNORE NULLS) OVER so_far AS at_k
   FROM flipped WINDOW so_far AS (PARTITION BY work_id ORDER BY tok_no ROWS UNBOUNDED PRECEDING)),
 quoted AS (
-  SELECT work_id, count_if(is_alpha) AS n_words,
-    count_if(is_alpha AND (coalesce(state, 0) + k - coalesce(at_k, 0)) % 2 = 1) AS n_quoted
+  SELECT work_id, CAST(count_if(is_alpha) AS BIGINT) AS n_words,
+    CAST(count_if(is_alpha AND (coalesce(state, 0) + k - coalesce(at_k, 0)) % 2 = 1) AS BIGINT) AS n_quoted
   FROM switched GROUP BY work_id)"""
 
 SPEECH = """
@@ -265,7 +269,7 @@ def band(count: str) -> str:
 
 
 DIM_WORK = f"""
-counted AS (SELECT source.work_id, count_if(is_alpha) AS word_count FROM source JOIN tok USING (work_id) GROUP BY ALL),
+counted AS (SELECT source.work_id, {number('is_alpha')} AS word_count FROM source JOIN tok USING (work_id) GROUP BY ALL),
 measured AS (
   SELECT * FROM counted WHERE work_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 0)),
 dim_work AS (
@@ -314,7 +318,7 @@ ORACLES = {
     "chunk_paragraphs": query(CHUNKS, select="SELECT work_id, chunk_no, length(text) AS n_chars, md5(text) AS digest FROM chunked"),
     "sentence_token_lists": query(
         tokens(),
-        select="SELECT work_id, sent_no, count(*) AS n_tokens, count_if(is_alpha) AS n_words, count_if(is_punct) AS n_marks, "
+        select=f"SELECT work_id, sent_no, count(*) AS n_tokens, {number('is_alpha')} AS n_words, {number('is_punct')} AS n_marks, "
         "md5(string_agg(text, ' ' ORDER BY sent_tok_no)) AS digest FROM tok GROUP BY work_id, sent_no",
     ),
     "word_counts": query(tokens(), WORDS, select="SELECT * FROM words"),
@@ -355,7 +359,7 @@ ORACLES = {
         "known AS (WITH " + tokens(BENCHMARK) + " SELECT DISTINCT lower FROM tok WHERE is_alpha)",
         select="SELECT work_id, CASE WHEN k.lower IS NULL THEN pos ELSE 'PROPN' END AS pos, count(*) AS n, "
         "count(DISTINCT CASE WHEN k.lower IS NULL THEN lemma ELSE upper(k.lower) END) AS n_lemmas, "
-        "count_if(k.lower IS NULL AND is_stop) AS n_stop FROM tagged t LEFT JOIN known k ON t.lower = k.lower GROUP BY 1, 2",
+        "CAST(count_if(k.lower IS NULL AND is_stop) AS BIGINT) AS n_stop FROM tagged t LEFT JOIN known k ON t.lower = k.lower GROUP BY 1, 2",
     ),
     "annotate_chunks": rf"""
 WITH RECURSIVE source AS ({SPACED}),
@@ -365,8 +369,8 @@ marked AS (
     lambda s: regexp_matches(s, '{FILLED}')) AS parts FROM prose),
 sent AS (SELECT work_id, unnest(parts) AS text, generate_subscripts(parts, 1) AS sent_no FROM marked),
 listed AS (SELECT work_id, sent_no, regexp_extract_all(text, '\pL+|\pN+|--|\.\.\.|[^\s\pZ\pL\pN]') AS parts FROM sent),
-placed AS (SELECT work_id, sent_no, unnest(parts) AS text, generate_subscripts(parts, 1) AS at FROM listed),
-tok AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY sent_no, at) AS tok_no FROM placed)
+placed AS (SELECT work_id, sent_no, unnest(parts) AS text, generate_subscripts(parts, 1) AS place FROM listed),
+tok AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY sent_no, place) AS tok_no FROM placed)
 SELECT work_id, count(*) AS n_tokens, max(tok_no) AS last_token, CAST(max(sent_no) AS INTEGER) AS last_sentence,
   CAST(sum(tok_no * length(text)) AS BIGINT) AS position_sum, CAST(sum(sent_no * length(text)) AS BIGINT) AS sentence_sum
 FROM tok GROUP BY work_id""",

@@ -153,7 +153,7 @@ def lexicon_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 TOKEN_PATTERN = regex.compile(r"\p{L}+|\p{N}+|--|\.\.\.|[^\s\p{Z}\p{L}\p{N}]")
-SENTENCE_END = regex.compile(r"(?<=[.!?…])[\s\p{Z}]+")
+SENTENCE_END = regex.compile(r"(?<=[.!?…])[\s\p{Z}]+|\n\s*\n")
 
 
 def toy_annotator(texts: list[str]) -> Iterable[pd.DataFrame]:
