@@ -67,36 +67,42 @@ def sentence_kind(tokens: Column) -> Column:
     return let(tokens, classify)
 
 
-def sentence_trees(packed: DataFrame) -> DataFrame:
-    """Per sentence: words, depth and kind."""
-    words = F.size(F.filter("tokens", lambda t: t["is_alpha"])).cast("bigint")
+def sentence_facts(packed: DataFrame) -> DataFrame:
+    """Per sentence: words, adjectives, adverbs, depth and kind."""
+
+    def number(condition) -> Column:
+        return F.size(F.filter("tokens", condition)).cast("bigint")
+
     return packed.select(
         "work_id",
         "sent_no",
-        words.alias("words"),
+        number(lambda t: t["is_alpha"]).alias("words"),
+        number(lambda t: t["pos"] == "ADJ").alias("adjectives"),
+        number(lambda t: t["pos"] == "ADV").alias("adverbs"),
         tree_depth(F.col("tokens")).alias("depth"),
         sentence_kind(F.col("tokens")).alias("kind"),
     )
 
 
-def tree_counts(trees: DataFrame) -> DataFrame:
-    """Per work: summed depth and sentences of each kind. Works with an unparsed sentence are left out."""
-    return (
-        trees.groupBy("work_id")
-        .agg(
-            F.sum("depth").cast("bigint").alias("sum_depth"),
-            *(F.count_if(F.col("kind") == kind).alias(f"n_{kind}") for kind in SENTENCE_KINDS),
-            F.count("*").alias("n_parsed_sentences"),
-            F.bool_and(F.col("depth").isNotNull() & F.col("kind").isNotNull()).alias("parsed"),
-        )
-        .where("parsed")
-        .drop("parsed")
-    )
-
+def sentence_counts(facts: DataFrame) -> DataFrame:
+    """Everything sentences sum to, per work, in one aggregation.
 
-def rhythm_counts(trees: DataFrame) -> DataFrame:
-    return trees.groupBy("work_id").agg(
-        F.count("*").alias("n_sentences"), F.sum(F.col("words") * F.col("words")).alias("sum_sq_sentence_words")
+    The counts of trees are null where a sentence of the work was not parsed.
+    """
+    sums = facts.groupBy("work_id").agg(
+        F.count("*").alias("n_sentences"),
+        F.expr("sum(words * words) AS sum_sq_sentence_words"),
+        F.sum("adjectives").alias("n_adjectives"),
+        F.sum("adverbs").alias("n_adverbs"),
+        F.expr("CAST(sum(depth) AS BIGINT) AS sum_depth"),
+        *(F.expr(f"count_if(kind = {sql_string(kind)}) AS n_{kind}") for kind in SENTENCE_KINDS),
+        F.expr("bool_and(depth IS NOT NULL AND kind IS NOT NULL) AS parsed"),
+    )
+    trees = ("sum_depth", *(f"n_{kind}" for kind in SENTENCE_KINDS))
+    return sums.selectExpr(
+        "work_id", "n_sentences", "sum_sq_sentence_words", "n_adjectives", "n_adverbs",
+        "if(parsed, n_sentences, NULL) AS n_parsed_sentences",
+        *(f"if(parsed, {c}, NULL) AS {c}" for c in trees),
     )
 
 
@@ -135,8 +141,6 @@ def summed_counts(tokens: DataFrame) -> DataFrame:
         F.expr("coalesce(sum(length(text)) FILTER (WHERE is_alpha), 0L) AS n_letters"),
         F.count_if(F.col("is_alpha") & F.col("lower").isin(*ARCHAIC_WORDS)).alias("n_archaic"),
         F.count_if(is_contraction()).alias("n_clitics"),
-        F.count_if(F.col("pos") == "ADJ").alias("n_adjectives"),
-        F.count_if(F.col("pos") == "ADV").alias("n_adverbs"),
         *map(F.expr, function_words),
         *map(F.expr, punctuation),
     )
@@ -195,28 +199,28 @@ def token_counts(tokens: DataFrame, works: DataFrame | None = None, packed: Data
 
     ``works`` keeps works without tokens; ``packed`` saves the packing where sentences are at hand.
     """
-    trees = sentence_trees(
-        pack_sentences(tokens.select("work_id", "sent_no", "sent_tok_no", "is_alpha", "pos", "dep", "head_no"))
-        if packed is None
-        else packed
-    )
+    if packed is None:
+        packed = pack_sentences(tokens.select("work_id", "sent_no", "sent_tok_no", "is_alpha", "pos", "dep", "head_no"))
     parts = [
         summed_counts(tokens),
         term_richness(type_frequencies(tokens)),
-        rhythm_counts(trees),
-        tree_counts(trees),
+        sentence_counts(sentence_facts(packed)),
         quoted_words(tokens),
     ]
     spine = works.select("work_id") if works is not None else tokens.select("work_id").distinct()
     joined = reduce(lambda left, right: left.join(right, "work_id", "left"), parts, spine)
-    # A work with sentences but no tree counts was not parsed: its tree counts stay null.
+    return with_zeros(joined)
+
+
+def with_zeros(counts: DataFrame) -> DataFrame:
+    """Counts of works that have nothing to count; those of trees stay null for unparsed sentences."""
     tree_columns = {"sum_depth", "n_parsed_sentences"} | {f"n_{kind}" for kind in SENTENCE_KINDS}
     unparsed = "coalesce(n_sentences, 0) > 0 AND n_parsed_sentences IS NULL"
-    return joined.selectExpr(
+    return counts.selectExpr(
         "work_id",
         *(
             f"CASE WHEN {unparsed} THEN NULL ELSE coalesce({c}, 0L) END AS {c}" if c in tree_columns else f"coalesce({c}, 0L) AS {c}"
-            for c in joined.columns
+            for c in counts.columns
             if c != "work_id"
         ),
     )

@@ -20,7 +20,7 @@ from stylograph.functions.lexicons import STOP_WORDS
 from stylograph.functions.prose import sentences, token_texts
 from stylograph.operators.cleaning import clean_markdown
 from stylograph.operators.pieces import MAX_CHUNK_CHARS, chunks
-from stylograph.session import lookup
+from stylograph.session import checkpointed, lookup
 
 TOKEN_SCHEMA = T.StructType(
     [
@@ -167,26 +167,36 @@ def unpack_sentences(packed: DataFrame) -> DataFrame:
     return packed.select("work_id", "sent_no", F.explode("tokens").alias("t")).select("work_id", "sent_no", "t.*")
 
 
-def sentence_tokens(works: DataFrame, clean: bool = True, labels: Callable[[Column, Column], dict] | None = None) -> DataFrame:
+def sentence_tokens(
+    works: DataFrame, clean: bool = True, labels: Iterable[Callable[[Column], dict[str, Column]]] = ()
+) -> DataFrame:
     """Packed sentences straight from ``works(work_id, text)``, without a shuffle.
 
-    ``labels(text, position)`` may add fields to every token struct (position is 1-based).
+    Each function of ``labels`` maps a token struct to fields to add; later ones see the fields of
+    earlier ones, so nothing is computed twice.
     """
 
-    def token(text: Column, t: Column) -> Column:
-        fields = {
-            "sent_tok_no": t + 1,
-            "text": text,
-            "lower": F.lower(text),
-            "is_alpha": is_word(text),
-            "is_punct": is_mark(text),
-        }
-        if labels is not None:
-            fields |= labels(text, t + 1)
-        return F.struct(*(c.alias(name) for name, c in fields.items()))
+    def numbered(text: Column, t: Column) -> Column:
+        return F.struct(
+            (t + 1).alias("sent_tok_no"),
+            text.alias("text"),
+            F.lower(text).alias("lower"),
+            is_word(text).alias("is_alpha"),
+            is_mark(text).alias("is_punct"),
+        )
+
+    def adding(label: Callable[[Column], dict[str, Column]]) -> Callable[[Column], Column]:
+        def add(token: Column) -> Column:
+            for name, value in label(token).items():
+                token = token.withField(name, value)
+            return token
 
-    rows = sentence_rows(works, clean)
-    return rows.select("work_id", "sent_no", F.transform(token_texts(F.col("text")), token).alias("tokens"))
+        return add
+
+    tokens = F.transform(token_texts(F.col("text")), numbered)
+    for label in labels:
+        tokens = F.transform(tokens, adding(label))
+    return sentence_rows(works, clean).select("work_id", "sent_no", tokens.alias("tokens"))
 
 
 # --- annotator seam ---------------------------------------------------------------------------
@@ -211,9 +221,12 @@ def annotate(
         for frame in frames:
             for start in range(0, len(frame), batch):
                 rows = frame.iloc[start : start + batch]
-                for work, number, tokens in zip(rows["work_id"], rows["chunk_no"], annotator(list(rows["text"]))):
-                    placed = tokens.assign(work_id=work, chunk_no=number)
-                    yield placed.assign(**{c: None for c in columns if c not in placed})[columns]
+                parsed = list(annotator(list(rows["text"])))
+                tokens = pd.concat(parsed, ignore_index=True)
+                sizes = [len(p) for p in parsed]
+                tokens["work_id"] = rows["work_id"].repeat(sizes).to_numpy()
+                tokens["chunk_no"] = rows["chunk_no"].repeat(sizes).to_numpy()
+                yield tokens.assign(**{c: None for c in columns if c not in tokens})[columns]
 
     return parts.mapInPandas(run, CHUNK_TOKEN_SCHEMA)
 
@@ -241,14 +254,16 @@ def restore_order(chunk_tokens: DataFrame) -> DataFrame:
     offsets = totals.select(
         "work_id", "block", "chunk_no", before("toks", in_block).alias("toks"), before("sents", in_block).alias("sents")
     ).join(blocks, ["work_id", "block"])
-    offsets = offsets.select(
-        "work_id",
-        "chunk_no",
-        (F.col("toks") + F.col("block_toks")).alias("tok_offset"),
-        (F.col("sents") + F.col("block_sents")).alias("sent_offset"),
+    offsets = checkpointed(
+        offsets.select(
+            "work_id",
+            "chunk_no",
+            (F.col("toks") + F.col("block_toks")).alias("tok_offset"),
+            (F.col("sents") + F.col("block_sents")).alias("sent_offset"),
+        )
     )
     return (
-        chunk_tokens.join(offsets, ["work_id", "chunk_no"])
+        chunk_tokens.join(lookup(offsets), ["work_id", "chunk_no"])
         .withColumn("tok_no", F.col("tok_no") + F.col("tok_offset"))
         .withColumn("sent_no", (F.col("sent_no") + F.col("sent_offset")).cast("int"))
         .select(*TOKEN_SCHEMA.names)

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
-def get_spark(app: str = "stylograph", master: str | None = None, partitions: int | None = None) -> SparkSession:
+def get_spark(
+    app: str = "stylograph", master: str | None = None, partitions: int | None = None, memory: str | None = None
+) -> SparkSession:
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -25,6 +27,8 @@ def get_spark(app: str = "stylograph", master: str | None = None, partitions: in
     )
     if master:
         builder = builder.master(master)
+    if memory:
+        builder = builder.config("spark.driver.memory", memory)
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylograph.operators.tokens import lemma_by_rule, pos_by_rule, is_mark, is_word
+from stylograph.operators.tokens import lemma_by_rule, pos_by_rule
 from stylograph.session import checkpoint_folder, spread
 
 
@@ -59,16 +59,24 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def rule_labels(text: Column, position: Column) -> dict[str, Column]:
-    """Declared labels in place of a parser's: part of speech and lemma by ending, a head by
-    arithmetic on the position. Made up, but the same in both engines."""
-    lower, alpha, punct = F.lower(text), is_word(text), is_mark(text)
-    pos = pos_by_rule(lower, alpha, punct)
-    dep = F.when(position == 1, "ROOT").when(F.length(text) == 11, "advcl").when(pos == "VERB", "conj").otherwise("dep")
-    head = (
-        F.when(position == 1, 1).when(position % 5 == 0, position - 1).otherwise(F.floor((position + 1) / 2)).cast("int")
-    )
-    return {"pos": pos, "lemma": lemma_by_rule(lower, alpha), "dep": dep, "head_no": head}
+def lexical_labels(token) -> dict[str, Column]:
+    """Part of speech and lemma by ending. ``token`` is a token struct, or maps names to columns."""
+    return {
+        "pos": pos_by_rule(token["lower"], token["is_alpha"], token["is_punct"]),
+        "lemma": lemma_by_rule(token["lower"], token["is_alpha"]),
+    }
+
+
+def tree_labels(token) -> dict[str, Column]:
+    """Declared labels in place of a parser's: a head by arithmetic on the position. Made up, but the
+    same in both engines."""
+    position = token["sent_tok_no"]
+    dep = F.when(position == 1, "ROOT").when(F.length(token["text"]) == 11, "advcl").when(token["pos"] == "VERB", "conj")
+    head = F.when(position == 1, 1).when(position % 5 == 0, position - 1).otherwise(F.floor((position + 1) / 2))
+    return {"dep": dep.otherwise("dep"), "head_no": head.cast("int")}
+
+
+RULE_LABELS = (lexical_labels, tree_labels)
 
 
 def scratch(spark: SparkSession) -> str:

@@ -14,7 +14,7 @@ from stylograph.functions.lexicons import ALL_SERIES, PER_WORK_CONCEPTS, SENTENC
 from stylograph.operators import annotated, checks, measures, reshape, surface
 from stylograph.operators.cleaning import clean_markdown
 from stylograph.operators.pieces import chunks, paragraph_rows
-from stylograph.operators.tokens import annotate, restore_order, sentence_tokens, tokenize, unpack_sentences, with_lexical_columns
+from stylograph.operators.tokens import annotate, restore_order, sentence_tokens, tokenize, with_lexical_columns
 from stylograph.operators.zscore import zscore
 from stylograph.plans import models, reports, staging
 from stylograph.session import checkpointed
@@ -112,18 +112,20 @@ def dialogue_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labelled_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return sentence_tokens(inputs.works(spark, sf), labels=inputs.rule_labels)
+    return sentence_tokens(inputs.works(spark, sf), labels=inputs.RULE_LABELS)
+
+
+def parsed_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return annotated.sentence_counts(annotated.sentence_facts(labelled_sentences(spark, sf)))
 
 
 def tree_depth(spark: SparkSession, sf: str) -> DataFrame:
-    trees = annotated.tree_counts(annotated.sentence_trees(labelled_sentences(spark, sf)))
     wanted = {"mean_parse_tree_depth": measures.TREES["mean_parse_tree_depth"]}
-    return measures.measure(trees, wanted, "n_parsed_sentences")
+    return measures.measure(parsed_counts(spark, sf), wanted, "n_parsed_sentences")
 
 
 def sentence_types(spark: SparkSession, sf: str) -> DataFrame:
-    trees = annotated.tree_counts(annotated.sentence_trees(labelled_sentences(spark, sf)))
-    return measures.measure(trees, {s: measures.TREES[s] for s in SENTENCE_SERIES})
+    return measures.measure(parsed_counts(spark, sf), {s: measures.TREES[s] for s in SENTENCE_SERIES})
 
 
 def lexical_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -183,12 +185,8 @@ def annotate_chunks(spark: SparkSession, sf: str) -> DataFrame:
 def all_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Every count of the documents, without moving a token: surface counts in the row, labels in
     packed sentences."""
-    labelled = labelled_sentences(spark, sf)
-    speech = annotated.speech_counts(unpack_sentences(labelled)).drop("n_words")
-    trees = annotated.tree_counts(annotated.sentence_trees(labelled))
-    counts = surface_of(inputs.works(spark, sf))
-    joined = counts.join(trees, "work_id", "left").join(speech, "work_id", "left")
-    return joined.na.fill(0)
+    labelled = parsed_counts(spark, sf).drop("n_sentences", "sum_sq_sentence_words")
+    return annotated.with_zeros(surface_of(inputs.works(spark, sf)).join(labelled, "work_id", "left"))
 
 
 def tidy_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,9 +199,10 @@ def tidy_measurements(spark: SparkSession, sf: str) -> DataFrame:
 
 def token_table_measurements(spark: SparkSession, sf: str) -> DataFrame:
     """The same measures from a flat token table, as a parser would deliver it."""
-    flat = unpack_sentences(labelled_sentences(spark, sf)).withColumn("tag", F.lit(None).cast("string"))
-    numbered = tokenize(inputs.works(spark, sf)).select("work_id", "sent_no", "sent_tok_no", "tok_no")
-    tokens = checkpointed(flat.join(numbered, ["work_id", "sent_no", "sent_tok_no"]))
+    tokens = tokenize(inputs.works(spark, sf)).withColumn("tag", F.lit(None).cast("string"))
+    for labels in inputs.RULE_LABELS:
+        tokens = tokens.withColumns(labels(tokens))
+    tokens = checkpointed(tokens)
     return rounded(annotated.measured(annotated.token_counts(tokens, inputs.works(spark, sf))), "value")
 
 
