@@ -30,13 +30,16 @@ from stylograph.functions.lexicons import (
     SUBORDINATE_DEPS,
     VERBAL_POS,
 )
+from stylograph.operators import long_sentences
 from stylograph.operators.measures import ALL, measure, tidy
 from stylograph.operators.surface import FUNCTION_WORD_COUNTS, PUNCTUATION_COUNTS, term_richness
 from stylograph.operators.tokens import pack_sentences
-from stylograph.session import sql_string
+from stylograph.session import checkpointed, lookup, sql_string
 
 # Tokens swept together for the quote switch.
 TOKENS_PER_BLOCK = 65_536
+# Longest sentence packed into one row.
+PACKED_TOKENS = 20_000
 
 
 # --- per sentence -----------------------------------------------------------------------------
@@ -84,6 +87,21 @@ def sentence_facts(packed: DataFrame) -> DataFrame:
     )
 
 
+def token_sentence_facts(tokens: DataFrame, packed_tokens: int = PACKED_TOKENS) -> DataFrame:
+    """``sentence_facts`` of a flat token table. Sentences up to ``packed_tokens`` are packed into rows;
+    longer ones, should there be any, are measured token by token."""
+    tokens = tokens.select("work_id", "sent_no", "sent_tok_no", "is_alpha", "pos", "dep", "head_no")
+    sizes = tokens.groupBy("work_id", "sent_no").agg(F.count("*").alias("size"))
+    long = checkpointed(sizes.where(F.col("size") > packed_tokens))
+    longest = long.agg(F.max("size")).first()[0]
+    if longest is None:
+        return sentence_facts(pack_sentences(tokens))
+    keys = lookup(long.select("work_id", "sent_no"))
+    short = tokens.join(keys, ["work_id", "sent_no"], "left_anti")
+    rest = tokens.join(keys, ["work_id", "sent_no"], "left_semi")
+    return sentence_facts(pack_sentences(short)).unionByName(long_sentences.sentence_facts(rest, longest))
+
+
 def sentence_counts(facts: DataFrame) -> DataFrame:
     """Everything sentences sum to, per work, in one aggregation.
 
@@ -199,12 +217,11 @@ def token_counts(tokens: DataFrame, works: DataFrame | None = None, packed: Data
 
     ``works`` keeps works without tokens; ``packed`` saves the packing where sentences are at hand.
     """
-    if packed is None:
-        packed = pack_sentences(tokens.select("work_id", "sent_no", "sent_tok_no", "is_alpha", "pos", "dep", "head_no"))
+    facts = token_sentence_facts(tokens) if packed is None else sentence_facts(packed)
     parts = [
         summed_counts(tokens),
         term_richness(type_frequencies(tokens)),
-        sentence_counts(sentence_facts(packed)),
+        sentence_counts(facts),
         quoted_words(tokens),
     ]
     spine = works.select("work_id") if works is not None else tokens.select("work_id").distinct()

@@ -9,6 +9,7 @@ from stylograph.functions.arrays import token_depths
 from stylograph.functions.lexicons import ALL_SERIES, FUNCTION_WORDS, SURFACE_SERIES
 from stylograph.operators import annotated, measures, surface
 from stylograph.operators.tokens import sentence_tokens, tokenize
+from stylograph.sources import works as work_files
 from suite import inputs
 
 
@@ -112,6 +113,32 @@ def test_token_table_agrees_with_texts(spark):
     assert all(total == pytest.approx(1.0) for work, total in shares.items() if work != "empty")
 
 
+def test_works_left_in_chapters(spark):
+    """A work too large to assemble is counted from its chapters, with the same result."""
+    chapters = [(f"Chapter-{i}.md", f"He said “yes {i}.\n\nShe **did** not” know {i % 3} " + '"' * (i % 2)) for i in range(1, 13)]
+    chapters[0] = ("Chapter-1.md", "---\ntitle: x\n---\nBegin.")
+    chapters[3] = ("Chapter-4.md", "---\nkept\n---\nGoes on.")
+    rows = spark.createDataFrame([("w", n, t) for n, t in chapters] + [("v", "a.md", "The cat.")], "work_id string, name string, text string")
+    whole = surface.chaptered_counts(work_files.assemble(rows))
+    apart = surface.chaptered_counts(work_files.assemble(rows, max_chars=20))
+    assert work_files.assemble(rows, max_chars=20).count() == 13
+    assert sorted(map(tuple, apart.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_long_sentences_need_no_packing(spark):
+    """Sentences beyond the packing limit give the same facts, here a chain, a star and mixed trees."""
+    works_ = works(spark, **{f"w{i}": "A walking " + "slowly dangerous hopping word " * (i * 7) + "stopped." for i in range(4)})
+    tokens = labelled_tokens(works_)
+    chain = tokens.where("work_id = 'w1'").withColumns({"work_id": F.lit("chain"), "head_no": F.expr("greatest(sent_tok_no - 1, 1)")})
+    star = tokens.where("work_id = 'w2'").withColumns({"work_id": F.lit("star"), "head_no": F.expr("if(sent_tok_no < 3, 1, 2)")})
+    bare = tokens.where("work_id = 'w2'").withColumns({"work_id": F.lit("bare"), "head_no": F.expr("CAST(NULL AS INT)")})
+    tokens = tokens.unionByName(chain).unionByName(star).unionByName(bare)
+    want = sorted(map(tuple, annotated.token_sentence_facts(tokens).collect()))
+    assert sorted(map(tuple, annotated.token_sentence_facts(tokens, packed_tokens=10).collect())) == want
+    depths = {r[0]: r[5] for r in want}
+    assert depths["chain"] == 31 and depths["star"] == 2 and depths["bare"] is None
+
+
 def test_quote_blocks_chain(spark):
     text = 'a “ b ” c " d " e “ f g " h ” i ' * 20
     works_ = works(spark, w=text)
