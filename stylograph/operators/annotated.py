@@ -38,6 +38,8 @@ from stylograph.session import checkpointed, lookup, sql_string
 
 # Tokens swept together for the quote switch.
 TOKENS_PER_BLOCK = 65_536
+# Blocks chained together before the work is.
+BLOCKS_PER_RUN = 4_096
 # Longest sentence packed into one row.
 PACKED_TOKENS = 20_000
 
@@ -199,7 +201,9 @@ def quoted_words(tokens: DataFrame) -> DataFrame:
         ).alias("switch")
     )
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", "switch"))), lambda p: p["switch"])
-    return blocks.groupBy("work_id").agg(chained_switch(in_order)["in0"].alias("n_quoted"))
+    runs = blocks.groupBy("work_id", F.floor(F.col("at") / BLOCKS_PER_RUN).alias("run")).agg(chained_switch(in_order).alias("switch"))
+    runs = runs.withColumnRenamed("run", "at")
+    return runs.groupBy("work_id").agg(chained_switch(in_order)["in0"].alias("n_quoted"))
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:

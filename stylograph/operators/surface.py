@@ -52,12 +52,10 @@ def text_counts(text: Column) -> Column:
 
     def of_sentences(raw: Column, body: Column, by_sentence: Column) -> Column:
         words = F.flatten(by_sentence)
-        # Lower-cased as one string, not word by word.
-        lower = F.array_remove(F.split(F.lower(F.array_join(words, " ")), " "), "")
         clitics = F.when(has_apostrophe(raw), F.regexp_count(raw, F.lit(CLITIC))).otherwise(0)
         archaic = lambda terms: F.filter(terms, lambda t: t["term"].isin(*ARCHAIC_WORDS))
         return let(
-            term_counts(lower),
+            term_counts(_lower(words)),
             lambda terms: F.struct(
                 F.size(words).cast("bigint").alias("n_words"),
                 F.length(F.array_join(words, "")).cast("bigint").alias("n_letters"),
@@ -73,16 +71,24 @@ def text_counts(text: Column) -> Column:
         )
 
     def of_text(raw: Column) -> Column:
-        # A clitic is no word. An apostrophe in its place leaves sentence ends where they were.
-        body = F.when(has_apostrophe(raw), F.regexp_replace(raw, CLITIC, "'")).otherwise(raw)
         return let(
-            body,
+            _without_clitics(raw),
             lambda b: let(F.transform(sentences(b), word_texts), lambda by_sentence: of_sentences(raw, b, by_sentence)),
         )
 
     return let(text, of_text)
 
 
+def _without_clitics(text: Column) -> Column:
+    # A clitic is no word. An apostrophe in its place leaves sentence ends where they were.
+    return F.when(has_apostrophe(text), F.regexp_replace(text, CLITIC, "'")).otherwise(text)
+
+
+def _lower(words: Column) -> Column:
+    # Lower-cased as one string, not word by word.
+    return F.array_remove(F.split(F.lower(F.array_join(words, " ")), " "), "")
+
+
 def piece_counts(pieces: DataFrame, counts: Column) -> DataFrame:
     """Counts of every row's text beside the columns other than ``text``: the additive counts,
     ``terms`` (array of lower-cased word and count) and ``switch`` (see ``quote_switch``)."""
@@ -123,6 +129,30 @@ def surface_counts(works: DataFrame, in_row_chars: int = IN_ROW_CHARS, clean: bo
     return in_row.unionByName(merged_counts(piece_counts(pieces, counts)))
 
 
+def word_counts(works: DataFrame, clean: bool = True) -> DataFrame:
+    """Words per work of ``works(work_id, text)``, one row per work."""
+    prose = clean_markdown(F.col("text")) if clean else F.col("text")
+    words = let(prose, lambda text: F.size(word_texts(_without_clitics(text))))
+    return works.select("work_id", words.cast("bigint").alias("n_words"))
+
+
+def type_frequencies(works: DataFrame, in_row_chars: int = IN_ROW_CHARS, clean: bool = True) -> DataFrame:
+    """Occurrences of every lower-cased word: work_id, term, n. Counted in the row; only pieces of
+    works above ``in_row_chars`` are added up across rows."""
+    works = works.select("work_id", "text")
+    size = F.length("text")
+    short, long = works.where(size <= in_row_chars), works.where(size > in_row_chars)
+    if clean:
+        prose = clean_markdown(F.col("text"))
+        short, long = short.withColumn("text", prose), long.withColumn("text", prose)
+    terms = let(F.col("text"), lambda text: term_counts(_lower(word_texts(_without_clitics(text)))))
+
+    def exploded(df: DataFrame) -> DataFrame:
+        return df.select("work_id", F.explode(terms).alias("t")).select("work_id", "t.term", "t.n")
+
+    return exploded(short).unionByName(exploded(chunks(long)).groupBy("work_id", "term").agg(F.sum("n").alias("n")))
+
+
 def chaptered_counts(parts: DataFrame, in_row_chars: int = IN_ROW_CHARS, clean: bool = True) -> DataFrame:
     """Counts per work of assembled works ``(work_id, part, text)``: whole texts (null ``part``) in
     their row, works left in chapters from their chapters' counts.

@@ -78,11 +78,11 @@ def surface_of(works: DataFrame) -> DataFrame:
 
 
 def word_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return annotated.word_counts(tokenize(inputs.works(spark, sf)))
+    return surface.word_counts(inputs.works(spark, sf))
 
 
 def type_frequencies(spark: SparkSession, sf: str) -> DataFrame:
-    return annotated.type_frequencies(tokenize(inputs.works(spark, sf)))
+    return surface.type_frequencies(inputs.works(spark, sf))
 
 
 def lexical_metrics(spark: SparkSession, sf: str) -> DataFrame:

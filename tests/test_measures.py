@@ -113,6 +113,16 @@ def test_token_table_agrees_with_texts(spark):
     assert all(total == pytest.approx(1.0) for work, total in shares.items() if work != "empty")
 
 
+@pytest.mark.parametrize("in_row_chars", [surface.IN_ROW_CHARS, 10])
+def test_words_and_types_of_texts(spark, in_row_chars):
+    works_ = works(spark, a="The cat.\n\nDon't the *cat* İs\n\nthe", b="", c="?! 7")
+    tokens = tokenize(works_)
+    types = sorted(map(tuple, surface.type_frequencies(works_, in_row_chars).collect()))
+    assert types == sorted(map(tuple, annotated.type_frequencies(tokens).collect()))
+    assert ("a", "the", 3) in types and ("a", "do", 1) in types
+    assert dict(map(tuple, surface.word_counts(works_).collect())) == {"a": 7, "b": 0, "c": 0}
+
+
 def test_works_left_in_chapters(spark):
     """A work too large to assemble is counted from its chapters, with the same result."""
     chapters = [(f"Chapter-{i}.md", f"He said “yes {i}.\n\nShe **did** not” know {i % 3} " + '"' * (i % 2)) for i in range(1, 13)]
