@@ -15,11 +15,9 @@ from stylograph.functions.arrays import chained_switch, let, long_sum, quote_swi
 from stylograph.functions.lexicons import ARCHAIC_WORDS, FUNCTION_WORDS, PUNCTUATION_GROUPS
 from stylograph.functions.prose import CLITIC, MARK, has_apostrophe, sentences, word_texts
 from stylograph.operators.cleaning import clean_markdown
-from stylograph.operators.pieces import GLUE, chunks
-from stylograph.session import checkpointed, lookup
+from stylograph.operators.pieces import GLUE, IN_ROW_CHARS, chunks
+from stylograph.session import checkpointed, lookup, scattered
 
-# Works up to this many characters are measured inside their row (a long novel has about a million).
-IN_ROW_CHARS = 2_000_000
 # Pieces composed per task when a longer work is merged.
 PIECES_PER_BLOCK = 4096
 
@@ -107,8 +105,9 @@ def surface_counts(works: DataFrame, in_row_chars: int = IN_ROW_CHARS, clean: bo
     """All counts per ``work_id`` of ``works(work_id, text)``, one row per work.
 
     Works up to ``in_row_chars`` are finished inside their row. The scan is read a second time for
-    longer ones, but only the length is looked at unless there are any. The length is taken before
-    cleaning, which only shortens, so the filter stays at the scan.
+    longer ones, but only the length is looked at unless there are any: those are cut into pieces,
+    spread, counted, and merged. The length is taken before cleaning, which only shortens, so the
+    filter stays at the scan.
     """
     works = works.select("work_id", "text")
     size = F.length("text")
@@ -125,8 +124,9 @@ def surface_counts(works: DataFrame, in_row_chars: int = IN_ROW_CHARS, clean: bo
         "aggregate(terms, 0L, (s, t) -> s + t.n * t.n) AS sum_sq_types",
         "switch.in0 AS n_quoted",
     )
-    pieces = chunks(long).withColumnRenamed("chunk_no", "piece_no")
-    return in_row.unionByName(merged_counts(piece_counts(pieces, counts)))
+    pieces = scattered(chunks(long).withColumnRenamed("chunk_no", "piece_no"), "work_id", "piece_no")
+    # Read twice by the merge, counted once.
+    return in_row.unionByName(merged_counts(checkpointed(piece_counts(pieces, counts))))
 
 
 def word_counts(works: DataFrame, clean: bool = True) -> DataFrame:
@@ -150,7 +150,8 @@ def type_frequencies(works: DataFrame, in_row_chars: int = IN_ROW_CHARS, clean:
     def exploded(df: DataFrame) -> DataFrame:
         return df.select("work_id", F.explode(terms).alias("t")).select("work_id", "t.term", "t.n")
 
-    return exploded(short).unionByName(exploded(chunks(long)).groupBy("work_id", "term").agg(F.sum("n").alias("n")))
+    pieces = exploded(scattered(chunks(long), "work_id", "chunk_no"))
+    return exploded(short).unionByName(pieces.groupBy("work_id", "term").agg(F.sum("n").alias("n")))
 
 
 def chaptered_counts(parts: DataFrame, in_row_chars: int = IN_ROW_CHARS, clean: bool = True) -> DataFrame:

@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 from stylograph.functions.lexicons import STOP_WORDS
 from stylograph.functions.prose import sentences, token_texts
 from stylograph.operators.cleaning import clean_markdown
-from stylograph.operators.pieces import MAX_CHUNK_CHARS, chunks
-from stylograph.session import checkpointed, lookup
+from stylograph.operators.pieces import IN_ROW_CHARS, MAX_CHUNK_CHARS, chunks
+from stylograph.session import checkpointed, lookup, scattered
 
 TOKEN_SCHEMA = T.StructType(
     [
@@ -50,11 +50,22 @@ SENTENCE_FIELDS = [f.name for f in TOKEN_SCHEMA.fields if f.name not in ("work_i
 CHUNKS_PER_BLOCK = 4096
 
 
-def sentence_rows(works: DataFrame, clean: bool = True) -> DataFrame:
-    """One row per sentence of ``works(work_id, text)``: work_id, sent_no, text."""
+def sentence_rows(works: DataFrame, clean: bool = True, in_row_chars: int = IN_ROW_CHARS) -> DataFrame:
+    """One row per sentence of ``works(work_id, text)``: work_id, sent_no, text.
+
+    Sentences stay where their work was read; those of works above ``in_row_chars`` are spread, so
+    that whatever is done with them next is not left to one task.
+    """
     prose = clean_markdown(F.col("text")) if clean else F.col("text")
-    split = works.select("work_id", F.posexplode(sentences(prose)).alias("position", "text"))
-    return split.select("work_id", (F.col("position") + 1).alias("sent_no"), "text")
+    size = F.length("text")
+
+    def split(some: DataFrame) -> DataFrame:
+        rows = some.select("work_id", F.posexplode(sentences(prose)).alias("position", "text"))
+        return rows.select("work_id", (F.col("position") + 1).alias("sent_no"), "text")
+
+    return split(works.where(size <= in_row_chars)).unionByName(
+        scattered(split(works.where(size > in_row_chars)), "work_id", "sent_no")
+    )
 
 
 def is_word(text: Column) -> Column:

@@ -65,6 +65,13 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     return scan.repartition(cores, *keys)
 
 
+def scattered(rows: DataFrame, *keys: str) -> DataFrame:
+    """Spread rows that came out of few, very large rows over all shuffle partitions. The number is
+    given explicitly: by their bytes alone they would be gathered again."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(partitions, *keys)
+
+
 def lookup(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint ``small`` for broadcast after counting it; beyond ``max_rows`` leave the join to the
     shuffled plan, which adaptive execution balances."""
