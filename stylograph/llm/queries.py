@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stylograph.llm import exact_dedup, url_filter
+from stylograph.llm import exact_dedup, packing, token_files, url_filter
 from stylograph.llm.common import table
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RULES = (
     ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
@@ -22,6 +25,16 @@ def op2_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumnRenamed("digest", "text_sha256").drop("n_chars")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    rows = packing.pack_documents(table(spark, sf, "documents"), TOKENIZER)
+    return rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op7_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    rows = token_files.token_files(table(spark, sf, "documents"), TOKENIZER)
+    return rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 OP1_SQL = """
 WITH rules(verdict, host, path) AS (VALUES {rules}),
 cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -46,5 +59,5 @@ FROM (SELECT *, first_value(doc_id) OVER (PARTITION BY content ORDER BY n DESC,
              count(*) OVER (PARTITION BY content) AS group_size FROM texts)
 """
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op4_best_fit_packing, op7_token_files)}
 ORACLES = {"op1_url_filter": OP1_SQL, "op2_exact_dedup": OP2_SQL}
