@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylograph.llm import exact_dedup, packing, token_files, url_filter
+from stylograph.llm import exact_dedup, packing, quality, token_files, url_filter
 from stylograph.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,6 +35,10 @@ def op7_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 OP1_SQL = """
 WITH rules(verdict, host, path) AS (VALUES {rules}),
 cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -59,5 +63,5 @@ FROM (SELECT *, first_value(doc_id) OVER (PARTITION BY content ORDER BY n DESC,
              count(*) OVER (PARTITION BY content) AS group_size FROM texts)
 """
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op4_best_fit_packing, op7_token_files)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op4_best_fit_packing, op7_token_files, op10_quality_classifier)}
 ORACLES = {"op1_url_filter": OP1_SQL, "op2_exact_dedup": OP2_SQL}
