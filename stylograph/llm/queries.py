@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylograph.llm import exact_dedup, packing, quality, token_files, url_filter
+from stylograph.llm import exact_dedup, packing, quality, token_files, url_filter, warc
 from stylograph.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,6 +30,10 @@ def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op6_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf, "pages")).drop("url", "payload")
+
+
 def op7_token_files(spark: SparkSession, sf: str) -> DataFrame:
     rows = token_files.token_files(table(spark, sf, "documents"), TOKENIZER)
     return rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -63,5 +67,18 @@ FROM (SELECT *, first_value(doc_id) OVER (PARTITION BY content ORDER BY n DESC,
              count(*) OVER (PARTITION BY content) AS group_size FROM texts)
 """
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op4_best_fit_packing, op7_token_files, op10_quality_classifier)}
-ORACLES = {"op1_url_filter": OP1_SQL, "op2_exact_dedup": OP2_SQL}
+OP6_SQL = """
+WITH digests AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, unhex(sha1(encode(coalesce(html, ''))))::BIT::VARCHAR AS bits FROM pages),
+rows AS (
+  SELECT page_id, octet_length(payload) AS payload_bytes, max(page_id) OVER (PARTITION BY payload) AS original,
+         array_to_string(list_transform(range(32), lambda i:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ('0b' || substr(bits, 1 + 5 * i, 5))::INTEGER, 1)), '') AS payload_digest
+  FROM digests)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> original THEN original END AS refers_to
+FROM rows
+"""
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op4_best_fit_packing, op6_warc, op7_token_files, op10_quality_classifier)}
+ORACLES = {"op1_url_filter": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op6_warc": OP6_SQL}

@@ -110,7 +110,7 @@ def write_token_files(
         for batch in (part for whole in batches for part in slices(whole, "text")):
             if writer is None:
                 store.create_dir(root, recursive=True)
-                writer = FrameWriter(store.open_output_stream(temporary))
+                writer = FrameWriter(store.open_output_stream(temporary, compression=None))
             ids, bounds = encode(batch["text"], tokenizer_path, end_id)
             data = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
             writer.add(batch["id"], [data[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
