@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylograph.llm import exact_dedup, packing, quality, token_files, url_filter, warc
+from stylograph.llm import bpe, exact_dedup, packing, quality, token_files, url_filter, warc
 from stylograph.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 RULES = (
     ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
@@ -39,6 +40,14 @@ def op7_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op9_byte_level_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, sf, "documents"), RANKS, public_tokenizers.PATTERN)
+    rows = bpe.decode(encoded, RANKS, public_tokenizers.PATTERN, "doc_id")
+    return rows.select(
+        "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")
+    )
+
+
 def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
@@ -80,5 +89,5 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN
 FROM rows
 """
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op4_best_fit_packing, op6_warc, op7_token_files, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op4_best_fit_packing, op6_warc, op7_token_files, op9_byte_level_bpe, op10_quality_classifier)}
 ORACLES = {"op1_url_filter": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op6_warc": OP6_SQL}
