@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylograph.llm import bpe, exact_dedup, packing, quality, token_files, url_filter, warc
+from stylograph.llm import bpe, exact_dedup, packing, quality, token_files, topk, url_filter, warc
 from stylograph.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,6 +40,10 @@ def op7_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op8_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_byte_level_bpe(spark: SparkSession, sf: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf, "documents"), RANKS, public_tokenizers.PATTERN)
     rows = bpe.decode(encoded, RANKS, public_tokenizers.PATTERN, "doc_id")
@@ -89,5 +93,17 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN
 FROM rows
 """
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op4_best_fit_packing, op6_warc, op7_token_files, op9_byte_level_bpe, op10_quality_classifier)}
-ORACLES = {"op1_url_filter": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op6_warc": OP6_SQL}
+OP8_SQL = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op4_best_fit_packing, op6_warc, op7_token_files, op8_exact_top_k, op9_byte_level_bpe, op10_quality_classifier)}
+ORACLES = {"op1_url_filter": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op6_warc": OP6_SQL, "op8_exact_top_k": OP8_SQL}
