@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylograph.llm import bpe, exact_dedup, packing, quality, token_files, topk, url_filter, warc
+from stylograph.llm import bpe, exact_dedup, line_dedup, packing, quality, token_files, topk, url_filter, warc
 from stylograph.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +31,10 @@ def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf, "documents")).select("doc_id", "text", "lines_removed")
+
+
 def op6_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf, "pages")).drop("url", "payload")
 
@@ -105,5 +109,5 @@ ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT * FROM ranked WHERE rank <= 10
 """
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op4_best_fit_packing, op6_warc, op7_token_files, op8_exact_top_k, op9_byte_level_bpe, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op4_best_fit_packing, op5_line_dedup, op6_warc, op7_token_files, op8_exact_top_k, op9_byte_level_bpe, op10_quality_classifier)}
 ORACLES = {"op1_url_filter": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op6_warc": OP6_SQL, "op8_exact_top_k": OP8_SQL}
