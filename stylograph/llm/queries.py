@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylograph.llm import bpe, exact_dedup, line_dedup, packing, quality, token_files, topk, url_filter, warc
+from stylograph.llm import bpe, exact_dedup, line_dedup, near_dedup, packing, quality, token_files, topk, url_filter, warc
 from stylograph.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,10 @@ def op2_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumnRenamed("digest", "text_sha256").drop("n_chars")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf, "documents")).drop("version")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     rows = packing.pack_documents(table(spark, sf, "documents"), TOKENIZER)
     return rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -109,5 +113,5 @@ ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT * FROM ranked WHERE rank <= 10
 """
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op4_best_fit_packing, op5_line_dedup, op6_warc, op7_token_files, op8_exact_top_k, op9_byte_level_bpe, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_minhash_near_dedup, op4_best_fit_packing, op5_line_dedup, op6_warc, op7_token_files, op8_exact_top_k, op9_byte_level_bpe, op10_quality_classifier)}
 ORACLES = {"op1_url_filter": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op6_warc": OP6_SQL, "op8_exact_top_k": OP8_SQL}
