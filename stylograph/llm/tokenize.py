@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +22,7 @@ from tokenizers import Tokenizer
 
 #: Characters a batch is cut to, and pieces whose ids a worker remembers; neither changes a result.
 BATCH_CHARS = 8_000_000
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: The split of byte-level vocabularies, a fixed value.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Unicode white space, a fixed value.
@@ -54,7 +54,7 @@ def split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     texts = pc.fill_null(texts, "")
     lists = pc.split_pattern(texts, " ")
     flat = lists.flatten().dictionary_encode()
-    words = flat.dictionary.to_pylist()
+    words = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
     codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     bounds = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
     first = np.zeros(len(codes), bool)
@@ -91,29 +91,43 @@ def _remembered(path: str) -> dict[str, bytes]:
     return {}
 
 
-def _ids_of(pieces: list[str], path: str) -> pa.ListArray:
-    """The ids of each piece: its words, looked up or encoded by the library."""
-    known = _remembered(path)
-    if len(known) > REMEMBERED:
+def look_up(pieces: list[str], known: dict[str, bytes], pattern, encode_words: Callable[[list[str]], Iterable[bytes]], most: int = REMEMBERED) -> pa.ListArray:
+    """The ids of each piece, from what is ``known`` of words and pieces; words not met before go to ``encode_words`` and are
+    remembered, as little-endian unsigned 32-bit integers."""
+    if len(known) > most:
         known.clear()
     unseen = [p for p in pieces if p not in known]
-    words = [[p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else WORD.findall(p) for p in unseen]
-    new = list({w for piece in words for w in piece if w not in known})
-    encode = tokenizer(path).encode_batch
-    for start in range(0, len(new), 5_000):
-        part = new[start : start + 5_000]
-        known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, encode(part, add_special_tokens=False)))
-    known.update((p, b"".join([known[w] for w in piece])) for p, piece in zip(unseen, words) if len(piece) != 1)
-    found = [known[p] for p in pieces]
+    plain = []
+    if pattern.pattern == WORD.pattern:
+        plain = [p for p in unseen if p[1:].isalpha() and (p[0] == " " or p[0].isalpha())]  # a word by itself
+    mixed = list(set(unseen).difference(plain))
+    words = [pattern.findall(p) for p in mixed]
+    new = list({w for piece in words for w in piece if w not in known}.union(plain))
+    known.update(zip(new, encode_words(new)))
+    whole = {p: b"".join([known[w] for w in piece]) for p, piece in zip(mixed, words)}
+    known.update((p, ids) for p, ids in whole.items() if "\n" not in p)  # pieces over a line end hardly recur
+    found = [known[p] if p in known else whole[p] for p in pieces]
     offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.uint32)))
 
 
+def put_together(table: pa.ListArray, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the pieces ``codes`` one after the other, and the texts' bounds in them."""
+    sizes = np.diff(table.offsets.to_numpy())[codes]
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    return table.take(pa.array(codes)).flatten().to_numpy(), ends[bounds]
+
+
 def encode(texts: pa.Array, path: str, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts one after the other, and the texts' bounds in them. Null counts as empty;
     with ``end_id`` every text, also an empty one, ends with that id."""
+    def encode_words(words: list[str]) -> Iterator[bytes]:
+        batch = tokenizer(path).encode_batch
+        for start in range(0, len(words), 5_000):
+            yield from (array("I", e.ids).tobytes() for e in batch(words[start : start + 5_000], add_special_tokens=False))
+
     pieces, codes, bounds = split(texts)
-    table = _ids_of(pieces, path)
+    table = look_up(pieces, _remembered(path), WORD, encode_words)
     if end_id is not None:
         end = len(table)
         table = pa.ListArray.from_arrays(
@@ -122,10 +136,7 @@ def encode(texts: pa.Array, path: str, end_id: int | None = None) -> tuple[np.nd
         )
         codes = np.insert(codes, bounds[1:], end)
         bounds = bounds + np.arange(len(bounds))
-    sizes = np.diff(table.offsets.to_numpy())[codes]
-    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-    ids = table.take(pa.array(codes)).flatten().to_numpy()
-    return ids, ends[bounds]
+    return put_together(table, codes, bounds)
 
 
 def binary_slices(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
