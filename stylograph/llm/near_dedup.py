@@ -9,18 +9,20 @@ ascending order only up to a bound that fills all components with high probabili
 per text is its number of shingles plus a number that depends on the signature alone.
 
 Texts with equal words are one node. Signatures are cut into bands; nodes that agree in a band share a bucket. Links are tested
-exactly, by the overlap of the multisets, first between each bucket's least node and its others. Where the links found leave a bucket in
-several components, further members of it become centres, in growing numbers, until all untested pairs of different
-components are tested. A group of near copies costs about one test each, not all pairs.
+exactly, by the overlap of the multisets, first between each bucket's least node and its others, so a group of near copies
+costs about one test each. Where the links found leave a bucket in several components, its members are dealt into blocks of
+bounded size, and block meets block: counts of shingles in bins bound every overlap from above, and only pairs of different components whose bound
+allows the similarity are put out and tested. No pair that shares a bucket is left undecided, and none is tested for nothing but its bucket.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StructType
@@ -169,7 +171,79 @@ def _fit(pairs: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b")).select("a", "b")
 
 
-def links(nodes: DataFrame, texts_of, least: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
+def profiles(texts: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """node and bins: how many shingles fall into each of a power of two of bins, 4 to 8 times their number but at most 65,536,
+    as 16-bit integers; a text with 32,768 or more in a bin gets no bins, and no bound."""
+    schema = StructType([texts.schema["node"]]).add("bins", "binary")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            values, text = shingles(*word_hashes(batch["text"]), width)
+            bounds = np.searchsorted(text, np.arange(batch.num_rows + 1))
+            out = []
+            for start, stop in zip(bounds[:-1], bounds[1:]):
+                size = min(4 << int(stop - start).bit_length(), 1 << 16)
+                bins = np.bincount((values[start:stop] & np.uint64(size - 1)).astype(np.int64), minlength=size)
+                out.append(bins.astype("<u2").tobytes() if bins.max() < 1 << 15 else b"")
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(out, pa.binary())], schema=arrow)
+
+    return texts.select("node", "text").mapInArrow(run, schema)
+
+
+def possible_pairs(nodes: np.ndarray, of: np.ndarray, sizes: np.ndarray, bins: list[bytes], half: int, least: float) -> Iterator[tuple[int, int]]:
+    """Pairs (first, second) of positions, the first below ``half`` and the second from there on, or any pair if ``half`` is 0, of different components, whose
+    sizes and bins allow the similarity."""
+    width = np.array([len(b) // 2 for b in bins])
+    left = np.arange(half or len(nodes))
+    right = np.arange(half, len(nodes))
+    for w in np.unique(width):
+        for v in (u for u in np.unique(width) if u in (w // 2, w, 2 * w) or 0 in (u, w)):
+            rows, columns = left[width[left] == w], right[width[right] == v]
+            if not (len(rows) and len(columns)):
+                continue
+            fold = min(w, v)
+            table = [np.stack([np.frombuffer(bins[i], "<u2").reshape(-1, fold).sum(0, dtype=np.uint16) for i in part]) if fold else None for part in (rows, columns)]
+            for at, row in enumerate(rows):
+                others = columns[(columns > row) | bool(half)]
+                fit = (of[others] != of[row]) & (np.minimum(sizes[others], sizes[row]) >= least * np.maximum(sizes[others], sizes[row]))
+                others = others[fit]
+                if fold and len(others):
+                    common = np.minimum(table[0][at], table[1][np.searchsorted(columns, others)]).sum(1, dtype=np.int64)
+                    others = others[common >= least * (sizes[row] + sizes[others] - common)]
+                yield from ((int(row), int(other)) for other in others)
+
+
+def candidates(members: DataFrame, least: float, block: int = 256) -> DataFrame:
+    """Distinct pairs a < b of nodes that share a bucket, are of different components, and may be similar enough. ``members``:
+    bucket, node, component, shingles, bins."""
+    counts = members.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    dealt = members.join(counts, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    held = dealt.groupBy("bucket", "block", "blocks").agg(F.collect_list(F.struct("node", "component", "shingles", "bins")).alias("held"))
+    single = held.where("blocks = 1").select("held", F.lit(None).cast(held.schema["held"].dataType).alias("other"))
+    many = held.where("blocks > 1").select("bucket", "block", "held")
+    pairs = many.join(many.select("bucket", F.col("block").alias("second"), F.col("held").alias("other")), "bucket").where("block <= second")
+    pairs = pairs.select("held", F.when(F.col("block") < F.col("second"), F.col("other")).alias("other"))
+    schema = StructType().add("a", "long").add("b", "long")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for at in range(batch.num_rows):
+                own, other = batch["held"][at].values, batch["other"][at]
+                parts = [own, other.values] if other.is_valid else [own]
+                nodes, of, sizes = (np.concatenate([pc.struct_field(p, c).to_numpy() for p in parts]) for c in ("node", "component", "shingles"))
+                bins = [b for p in parts for b in pc.struct_field(p, "bins").to_pylist()]
+                half = len(own) if other.is_valid else 0
+                found += [(nodes[i], nodes[j]) for i, j in possible_pairs(nodes, of, sizes, bins, half, least)]
+            pairs = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=arrow)
+
+    return single.unionByName(pairs).mapInArrow(run, schema).distinct()
+
+
+def links(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], least: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
     """node, component of the nodes (node, shingles, bands) that have a link. ``texts_of`` gives (node, text) for a table of nodes."""
     rows = nodes.select("node", "shingles", F.explode("bands").alias("bucket"))
     centres = rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("bucket", "centre")
@@ -186,23 +260,15 @@ def links(nodes: DataFrame, texts_of, least: float = SIMILARITY, width: int = SH
     tested = landed(shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "tested")
     edges = test(tested)
     known = components(edges)
-    done, upto = 0, 8
-    while True:
-        labelled = shared.select("bucket", "node").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where(F.expr("x <> y") & (F.col("members") > max(done, 2)))
-        placed = labelled.join(split.select("bucket"), "bucket").withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("node")))
-        placed = landed(placed, "split-buckets")
-        if placed.isEmpty():
-            return known
-        centre = placed.where((F.col("place") > done) & (F.col("place") <= upto)).select("bucket", F.col("node").alias("a"), F.col("component").alias("of_a"), F.col("place").alias("place_a"))
-        pairs = centre.join(placed, "bucket").where("place > place_a AND component <> of_a").select("a", F.col("node").alias("b")).distinct()
-        pairs = landed(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(pairs)
-        found = test(pairs)
-        if not found.isEmpty():
-            edges = edges.unionByName(found)
-            known = components(edges)
-        done, upto = upto, upto * 8
+    labelled = shared.select("bucket", "node", "shingles").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = landed(labelled, "labelled-buckets")
+    split = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x <> y AND members > 2")
+    members = landed(labelled.join(split.select("bucket"), "bucket"), "split-buckets")
+    if members.isEmpty():
+        return known
+    bins = landed(profiles(texts.join(members.select("node").distinct(), "node"), width), "profiles", compression="zstd")
+    untested = candidates(members.join(bins, "node"), least).join(tested, ["a", "b"], "left_anti")
+    return components(edges.unionByName(test(landed(untested, "pairs"))))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
