@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StructType
@@ -297,3 +297,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = copies.join(by_digest, ["high", "low"]).select("*", F.posexplode(F.sequence(F.lit(1), F.col("copies"))).alias("copy", "number"))
     kept = F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("version") == F.col("keep.version")) & (F.col("copy") == 0)
     return out.select(F.col("id").alias(id_col), F.col("keep.id").alias("class_id"), F.col("class_size").cast("long").alias("class_size"), kept.alias("kept"), "version")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: one of each class. Of rows that repeat id and text any one stays."""
+    found = near_duplicates(docs, id_col, text_col, **options)
+    found = landed(found.groupBy(id_col, "version").agg(F.count_if("kept").alias("stay"), F.count("*").alias("rows")), "decisions")
+    versioned = docs.withColumn("version_of_text", F.xxhash64(text_of(text_col)))
+    gone, repeated = (
+        lookup(found.where(which).select(F.col(id_col).alias("of_id"), F.col("version").alias("of_version"))) for which in ("stay = 0", "stay = 1 AND rows > 1")
+    )
+
+    def met(other: DataFrame) -> Column:
+        return (versioned["version_of_text"] == other["of_version"]) & versioned[id_col].eqNullSafe(other["of_id"])
+
+    once = versioned.join(gone, met(gone), "left_anti").join(repeated, met(repeated), "left_anti")
+    first = versioned.join(repeated, met(repeated), "left_semi").dropDuplicates([id_col, "version_of_text"])
+    return once.unionByName(first).drop("version_of_text")

@@ -8,14 +8,12 @@ log-densities, whose Mahalanobis distances come from Cholesky factors computed o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from stylograph.llm.common import landed, text_of
 
@@ -109,20 +107,18 @@ def fit(rows: DataFrame, label: str = "label", shrinkage: float = 0.1, floor: fl
     return model
 
 
-def score(rows: DataFrame, model: dict[int, Gaussian] | None, *keep: str) -> DataFrame:
-    """``keep`` columns and the score, 0 to 1; 0.5 for every row without a model."""
-    schema = StructType([rows.schema[k] for k in keep]).add("score", "double")
+def score(model: dict[int, Gaussian] | None) -> Column:
+    """The score of a row's features, 0 to 1; 0.5 for every row without a model. Only the features go to Python."""
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = np.full(len(batch), 0.5)
-            if model and len(batch):
-                values = batch[list(FEATURES)].to_numpy(float)
-                odds = model[1].log_density(values) - model[0].log_density(values)
-                found = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-            yield batch[list(keep)].assign(score=found)
+    @F.pandas_udf("double")
+    def scored(rows: pd.DataFrame) -> pd.Series:
+        if not model:
+            return pd.Series(np.full(len(rows), 0.5))
+        values = rows.to_numpy(float)
+        odds = model[1].log_density(values) - model[0].log_density(values)
+        return pd.Series(1 / (1 + np.exp(-np.clip(odds, -500, 500))))
 
-    return rows.mapInPandas(scored, schema)
+    return scored(F.struct(*FEATURES))
 
 
 def held_out(id_col: str) -> Column:
@@ -138,5 +134,16 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     rows = landed(features(docs, id_col, text_col).withColumn("held_out", held_out("id")), "features")
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(~held_out("id"))
     model = fit(rows.join(known, "id"))
-    out = score(rows, model, "id", "held_out")
+    out = rows.withColumn("score", score(model))
     return out.select(F.col("id").alias(id_col), "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores ``least`` or more. The text alone decides. Learns from the
+    same rows as ``classify``, in a pass of its own, so texts are neither shuffled nor written."""
+    own = features(docs.where(~held_out(id_col)), id_col, text_col)
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(~held_out("id"))
+    model = fit(own.join(known, "id"))
+    row = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
+    judged = docs.select(row, *(c.alias(n) for n, c in statistics(text_of(text_col)).items())).withColumn("score", score(model))
+    return judged.where(F.col("score") >= least).select("row.*")
