@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from stylograph.llm.tokenize import binary_slices, slices, split
+from stylograph.llm.tokenize import binary_slices, look_up, put_together, slices, split
 
 #: Words a task remembers, words per recursive query, and contractions per query; none changes a result.
-REMEMBERED, WORDS, ROUNDS = 400_000, 40_000, 64
+REMEMBERED, WORDS, ROUNDS = 600_000, 40_000, 64
 #: Ids per decoding query.
 DECODED = 1_000_000
 
@@ -64,7 +64,7 @@ class Coder:
 
     def __init__(self, path: str, pattern: str):
         self.pattern, self.ranks, self.known = regex.compile(pattern), read_ranks(path), {}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB", "max_temp_directory_size": "0KB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "max_temp_directory_size": "0KB"})
         halves = [
             (left, right, rank) for token, rank in self.ranks.items() for cut in range(1, len(token))
             if (left := self.ranks.get(token[:cut])) is not None and (right := self.ranks.get(token[cut:])) is not None
@@ -99,32 +99,21 @@ class Coder:
         data = tok[order].astype("<u4").tobytes()
         return [data[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
-    def learn(self, words: set[str]) -> None:
-        """Encode the words not met before; a word that is a token itself is that token."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        rest, raw = [], []
-        for word in words - self.known.keys():
-            data = word.encode()
-            rank = self.ranks.get(data)
-            if rank is None:
-                rest.append(word)
-                raw.append(data)
-            else:
-                self.known[word] = rank.to_bytes(4, "little")
-        for at in range(0, len(rest), WORDS):
-            self.known.update(zip(rest[at : at + WORDS], self._merge(raw[at : at + WORDS])))
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """A word that is a token itself is that token; the others are merged."""
+        raw = [w.encode() for w in words]
+        found = [None if (rank := self.ranks.get(data)) is None else rank.to_bytes(4, "little") for data in raw]
+        rest = [at for at, ids in enumerate(found) if ids is None]
+        for start in range(0, len(rest), WORDS):
+            part = rest[start : start + WORDS]
+            for at, ids in zip(part, self._merge([raw[at] for at in part])):
+                found[at] = ids
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the texts' bounds in them."""
         pieces, codes, bounds = split(texts)
-        words = [self.pattern.findall(p) for p in pieces]
-        self.learn({w for piece in words for w in piece})
-        found = [b"".join([self.known[w] for w in piece]) for piece in words]
-        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
-        table = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.uint32)))
-        sizes = np.concatenate([[0], np.cumsum(np.diff(ends)[codes])])
-        return table.take(pa.array(codes)).flatten().to_numpy(), sizes[bounds]
+        return put_together(look_up(pieces, self.known, self.pattern, self.encode_words, REMEMBERED), codes, bounds)
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         """The bytes of each document."""
@@ -155,13 +144,23 @@ def coder(path: str, pattern: str) -> Coder:
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and ids (little-endian unsigned 32-bit integers in a binary) per row; null texts count as empty and have no
     ids. Strings of special tokens are ordinary text. A batch's rows are encoded together, whole."""
+    return round_trip(docs, ranks_path, pattern, id_col, text_col, decoded=False)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = True) -> DataFrame:
+    """As ``encode``, and the bytes that the ids decode to, by the same worker."""
     schema = StructType([docs.schema[id_col]]).add("ids", "binary")
+    schema = schema.add("bytes", "binary") if decoded else schema
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, text_col)):
-            ids, bounds = coder(ranks_path, pattern).encode(batch[text_col])
-            yield pa.RecordBatch.from_arrays([batch[id_col], binary_slices(ids, bounds)], schema=arrow)
+            worker = coder(ranks_path, pattern)
+            ids, bounds = worker.encode(batch[text_col])
+            columns = [batch[id_col], binary_slices(ids, bounds)]
+            if decoded:
+                columns.append(pa.array(worker.decode(ids, bounds), pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 

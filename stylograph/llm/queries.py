@@ -53,8 +53,7 @@ def op8_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_byte_level_bpe(spark: SparkSession, sf: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, sf, "documents"), RANKS, public_tokenizers.PATTERN)
-    rows = bpe.decode(encoded, RANKS, public_tokenizers.PATTERN, "doc_id")
+    rows = bpe.round_trip(table(spark, sf, "documents"), RANKS, public_tokenizers.PATTERN)
     return rows.select(
         "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")
     )
