@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stylograph.functions.lexicons import CLOSE_QUOTE, OPEN_QUOTE, STRAIGHT_QUOTE
-from stylograph.functions.prose import QUOTE, word_texts
+from stylograph.functions.prose import QUOTE, WORD
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -53,10 +53,11 @@ def long_sum(array: Column, value) -> Column:
 
 
 def token_depths(heads: Column) -> Column:
-    """Hops from every token to its root. ``heads`` is 1-based; a root points to itself.
+    """Hops from every token to its root. ``heads`` is 1-based; a root points to itself. A token that reaches no
+    root, for its heads run in a circle or out of the array, has null.
 
     Pointer doubling: each round adds the depth of the ancestor reached so far and jumps to that
-    ancestor's ancestor, so ceil(log2(n)) rounds suffice, also on a malformed (cyclic) tree.
+    ancestor's ancestor, so ceil(log2(n)) rounds suffice.
     """
     start = F.struct(
         heads.alias("up"),
@@ -71,7 +72,11 @@ def token_depths(heads: Column) -> Column:
             F.transform(depth, lambda d, i: d + F.get(depth, F.get(up, i) - 1)).alias("depth"),
         )
 
-    return F.aggregate(F.sequence(F.lit(1), rounds), start, double, lambda state: state["depth"])
+    def rooted(state: Column) -> Column:
+        up = state["up"]
+        return F.transform(state["depth"], lambda d, i: F.when(F.get(heads, F.get(up, i) - 1) == F.get(up, i), d))
+
+    return F.aggregate(F.sequence(F.lit(1), rounds), start, double, rooted)
 
 
 # The quote switch of a stretch of text, for either state it may be entered in:
@@ -96,7 +101,7 @@ def quote_switch(body: Column, n_words: Column) -> Column:
         )
 
     marks = F.regexp_extract_all(body, F.lit(QUOTE), F.lit(0))
-    stretches = F.transform(F.split(body, QUOTE), lambda part: F.size(word_texts(part)).cast("bigint"))
+    stretches = F.transform(F.split(body, QUOTE), lambda part: F.regexp_count(part, F.lit(WORD)).cast("bigint"))
     swept = let(
         F.struct(marks.alias("marks"), stretches.alias("n")),
         lambda t: F.aggregate(

@@ -42,16 +42,28 @@ TOKENS_PER_BLOCK = 65_536
 BLOCKS_PER_RUN = 4_096
 # Longest sentence packed into one row.
 PACKED_TOKENS = 20_000
+# Type of the positions heads name.
+HEAD = "int"
 
 
 # --- per sentence -----------------------------------------------------------------------------
 
 
 def tree_depth(tokens: Column) -> Column:
-    """Deepest token's distance to the root, from a packed sentence; null without heads."""
-    heads = F.transform(tokens, lambda t: t["head_no"])
-    parsed = ~F.exists(heads, lambda h: h.isNull())
-    return F.when(parsed, F.array_max(token_depths(heads)))
+    """Deepest token's distance to the root, from a packed sentence; null without heads, and where a token reaches no root.
+
+    Heads name positions, which may have gaps."""
+
+    def placed(ts: Column) -> Column:
+        heads, positions = F.transform(ts, lambda t: t["head_no"]), F.transform(ts, lambda t: t["sent_tok_no"])
+        gapless = (F.element_at(positions, 1) == 1) & (F.element_at(positions, -1) == F.size(positions))
+        return F.when(gapless, heads).otherwise(F.transform(heads, lambda h: F.array_position(positions, h).cast(HEAD)))
+
+    def deepest(depths: Column) -> Column:
+        return F.when(~F.exists(depths, lambda d: d.isNull()), F.array_max(depths))
+
+    parsed = (F.size(tokens) > 0) & ~F.exists(tokens, lambda t: t["head_no"].isNull())
+    return F.when(parsed, let(let(tokens, placed), lambda heads: let(token_depths(heads), deepest)))
 
 
 def sentence_kind(tokens: Column) -> Column:
@@ -59,8 +71,8 @@ def sentence_kind(tokens: Column) -> Column:
 
     def classify(ts: Column) -> Column:
         def coordinated(t: Column) -> Column:
-            head = F.get(ts, t["head_no"] - 1)
-            return (t["dep"] == COORDINATE_DEP) & t["pos"].isin(*VERBAL_POS) & (head["dep"] == ROOT_DEP)
+            at_root = F.exists(ts, lambda h: (h["sent_tok_no"] == t["head_no"]) & (h["dep"] == ROOT_DEP))
+            return (t["dep"] == COORDINATE_DEP) & t["pos"].isin(*VERBAL_POS) & at_root
 
         return (
             F.when(F.exists(ts, lambda t: t["dep"].isNull()), F.lit(None).cast("string"))

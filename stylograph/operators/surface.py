@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from stylograph.functions.arrays import chained_switch, let, long_sum, quote_switch, term_counts
 from stylograph.functions.lexicons import ARCHAIC_WORDS, FUNCTION_WORDS, PUNCTUATION_GROUPS
-from stylograph.functions.prose import CLITIC, MARK, has_apostrophe, sentences, word_texts
+from stylograph.functions.prose import CLITIC, MARK, WORD, has_apostrophe, sentences, word_texts
 from stylograph.operators.cleaning import clean_markdown
-from stylograph.operators.pieces import GLUE, IN_ROW_CHARS, chunks
-from stylograph.session import checkpointed, lookup, scattered
+from stylograph.operators.pieces import IN_ROW_CHARS, chunks
+from stylograph.session import checkpointed, scattered
 
 # Pieces composed per task when a longer work is merged.
 PIECES_PER_BLOCK = 4096
@@ -132,7 +132,7 @@ def surface_counts(works: DataFrame, in_row_chars: int = IN_ROW_CHARS, clean: bo
 def word_counts(works: DataFrame, clean: bool = True) -> DataFrame:
     """Words per work of ``works(work_id, text)``, one row per work."""
     prose = clean_markdown(F.col("text")) if clean else F.col("text")
-    words = let(prose, lambda text: F.size(word_texts(_without_clitics(text))))
+    words = let(prose, lambda text: F.regexp_count(_without_clitics(text), F.lit(WORD)))
     return works.select("work_id", words.cast("bigint").alias("n_words"))
 
 
@@ -154,34 +154,13 @@ def type_frequencies(works: DataFrame, in_row_chars: int = IN_ROW_CHARS, clean:
     return exploded(short).unionByName(pieces.groupBy("work_id", "term").agg(F.sum("n").alias("n")))
 
 
-def chaptered_counts(parts: DataFrame, in_row_chars: int = IN_ROW_CHARS, clean: bool = True) -> DataFrame:
-    """Counts per work of assembled works ``(work_id, part, text)``: whole texts (null ``part``) in
-    their row, works left in chapters from their chapters' counts.
-
-    Chapters are cleaned one by one, so markup that opens in one chapter of such a work and closes
-    in another stays; only the first chapter can begin with front matter.
-    """
-    whole = surface_counts(parts.where("part IS NULL"), in_row_chars, clean)
-    chapters = parts.where("part IS NOT NULL")
-    first = chapters.groupBy("work_id").agg(F.min("part").alias("part")).withColumn("first", F.lit(True))
-    if clean:
-        # A blank line in front of a later chapter keeps its first rule line from opening front matter.
-        chapters = chapters.join(lookup(first), ["work_id", "part"], "left")
-        placed = F.when(F.col("first"), F.col("text")).otherwise(F.concat(F.lit(GLUE), F.col("text")))
-        chapters = chapters.select("work_id", "part", clean_markdown(placed).alias("text"))
-    counted = piece_counts(chapters.select("work_id", "part", "text"), text_counts(F.col("text")))
-    # Range partitions hold consecutive chapters; written down, their numbers are safe block numbers.
-    ordered = counted.repartitionByRange("work_id", "part").withColumn("block", F.spark_partition_id())
-    return whole.unionByName(merged_counts(checkpointed(ordered), "part", F.col("block")))
-
-
-def merged_counts(pieces: DataFrame, order: str = "piece_no", block: Column | None = None) -> DataFrame:
-    """Counts per work from counted pieces ``(work_id, <order>, ..., terms, switch)``.
+def merged_counts(pieces: DataFrame) -> DataFrame:
+    """Counts per work from counted pieces ``(work_id, piece_no, ..., terms, switch)``.
 
     First per (work, block of consecutive pieces), then per work: a work holding most of the corpus
     is spread over its blocks, and what reaches its last task is one row per block.
     """
-    block = F.floor(F.col(order) / PIECES_PER_BLOCK) if block is None else block
+    block = F.floor(F.col("piece_no") / PIECES_PER_BLOCK)
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", "switch"))), lambda p: p["switch"])
 
     def level(df: DataFrame, *keys: str) -> DataFrame:
@@ -190,7 +169,7 @@ def merged_counts(pieces: DataFrame, order: str = "piece_no", block: Column | No
             chained_switch(in_order).alias("switch"),
         )
 
-    placed = pieces.select("work_id", block.alias("block"), F.col(order).alias("at"), "switch", *ADDITIVE_COUNTS)
+    placed = pieces.select("work_id", block.alias("block"), F.col("piece_no").alias("at"), "switch", *ADDITIVE_COUNTS)
     counts = level(level(placed, "work_id", "block").withColumnRenamed("block", "at"), "work_id")
     richness = term_richness(
         pieces.select("work_id", F.explode("terms").alias("t")).select("work_id", "t.term", "t.n")

@@ -15,8 +15,6 @@ from stylograph.session import checkpointed, lookup
 PROSE_BANDS = (("short-story", 10_000), ("novella", 40_000))
 LONGEST_BAND = "novel"
 
-# Authors that may be marked as "self".
-MAX_SELF_AUTHORS = 1_000
 
 
 # --- dimensions -------------------------------------------------------------------------------
@@ -161,16 +159,10 @@ def int_vocab_jaccard(stg_vocab: DataFrame, dim_work: DataFrame, dim_author: Dat
 
 
 def fact_vocab_overlap(jaccard: DataFrame, dim_author: DataFrame) -> DataFrame:
-    """Author pairs (self, other). The self keys are stamped as literals: one pair per self author."""
-    selves = [
-        row.author_key
-        for row in dim_author.where("is_self").select("author_key").limit(MAX_SELF_AUTHORS + 1).collect()
-    ]
-    if len(selves) > MAX_SELF_AUTHORS:
-        raise ValueError(f"more than {MAX_SELF_AUTHORS} authors are marked as self")
-    keys = F.array(*(F.lit(key) for key in selves)) if selves else F.array().cast("array<string>")
-    return jaccard.select(
-        F.explode(keys).alias("author_key_a"),
+    """Author pairs (self, other): one for each self author, of whom there are few beside the rows they are paired with."""
+    selves = lookup(dim_author.where("is_self").select(F.col("author_key").alias("author_key_a")).distinct())
+    return jaccard.crossJoin(selves).select(
+        "author_key_a",
         F.col("author_key").alias("author_key_b"),
         "my_vocab_size",
         "their_vocab_size",

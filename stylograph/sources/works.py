@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from stylograph.operators.pieces import GLUE
 from stylograph.session import lookup
 
-# Works with up to this many characters in all become one text. Larger ones stay in chapters.
-MAX_WORK_CHARS = 256_000_000
-
 
 def chapter_number(name: Column) -> Column:
     """The number after "Chapter-" in a file name, else 0."""
@@ -39,26 +36,16 @@ def chapters(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """The files of every work of ``manifest(work_id, path)``: the file at its path, or those
     directly in the folder at its path. Columns work_id, name, text."""
     places = lookup(manifest.select("work_id", F.rtrim("path", F.lit("/")).alias("place")))
-    alone = files.join(places, F.col("path") == F.col("place"))
-    in_folder = files.join(places, F.col("folder") == F.col("place"))
-    return alone.unionByName(in_folder).select("work_id", "name", "text")
+    placed = files.select("*", F.explode(F.array_distinct(F.array("path", "folder"))).alias("place"))
+    return placed.join(places, "place").select("work_id", "name", "text")
 
 
-def assemble(chapters: DataFrame, max_chars: int = MAX_WORK_CHARS) -> DataFrame:
-    """Whole texts: the chapters of a work in numeric order, then by name, joined by a blank line.
+def assemble(chapters: DataFrame) -> DataFrame:
+    """Whole texts (work_id, text): the chapters of a work in numeric order, then by name, joined by a blank line.
 
-    A work beyond ``max_chars`` is not pulled into one task: it stays as one row per chapter.
-    ``part`` is null for a whole text, and otherwise the chapter's place in the order (number,
-    name), so no text is lost.
+    Chapters are joined before anything is cleaned, at every size, since markup may run over their ends. A work is
+    one row, and so bounded by the longest string Spark holds (2 GB).
     """
     placed = chapters.select("work_id", F.struct(chapter_number(F.col("name")).alias("n"), "name").alias("part"), "text")
-    sizes = placed.groupBy("work_id").agg(F.sum(F.length("text") + len(GLUE)).alias("chars"))
-    large = lookup(sizes.where(F.col("chars") - len(GLUE) > max_chars).select("work_id"))
     in_order = F.array_sort(F.collect_list(F.struct("part", "text")))
-    whole = (
-        placed.join(large, "work_id", "left_anti")
-        .groupBy("work_id")
-        .agg(F.array_join(F.transform(in_order, lambda c: c["text"]), GLUE).alias("text"))
-        .select("work_id", F.lit(None).cast(placed.schema["part"].dataType).alias("part"), "text")
-    )
-    return whole.unionByName(placed.join(large, "work_id", "left_semi"))
+    return placed.groupBy("work_id").agg(F.array_join(F.transform(in_order, lambda c: c["text"]), GLUE).alias("text"))

@@ -37,6 +37,26 @@ def spaced_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     return works(spark, sf_dir).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
 
 
+#: Markup around a document's text, chosen by its number: each rule of the cleaning meets its case.
+MARKUP_SAMPLES = (
+    ("first\r\nsecond\rthird\n", "\r\n"), ("---\ntitle: x\n---\n", ""), ("# Heading\n  ### Sub #\n#none\n", "\n###### last one"),
+    ("a\n * * *\n", "\n***\n"), ("a\n----\n", "\n ---\nb"), ("a\n___\n", "\n____ \nb"), ("> said\n >said again\n", "\n> end"),
+    ("![a picture](p.png) x ", " ![](q.png)"), ("see [the page](http://x/y) and ", " [b](c)"), ("**bold\ntext** ", " **b**"),
+    ("__bold\ntext__ ", " __b__"), ("*it* * ", " *last*"), ("_it_ _ ", " _last_"), ("`code\nmore` ", " `c`"), ("a\n\n\n\nb ", "\n\n\nc"),
+    (" \n\t lead ", " trail \t\n "),
+)
+
+
+def marked_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with markup before and after their texts."""
+    pairs = F.array(*(F.struct(F.lit(before).alias("before"), F.lit(after).alias("after")) for before, after in MARKUP_SAMPLES))
+    sample = F.get(pairs, (F.col("doc_id") % len(MARKUP_SAMPLES)).cast("int"))
+    scan = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("work_id"), F.concat(sample["before"], "text", sample["after"]).alias("text")
+    )
+    return spread(scan, "work_id")
+
+
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation is a work, a turn a chapter file."""
     name = F.concat(F.lit("Chapter-"), F.col("turn").cast("string"), F.lit(".md"))

@@ -15,6 +15,7 @@ from stylograph.functions.lexicons import (
     STOP_WORDS,
 )
 from stylograph.operators.tokens import LEMMA_ENDINGS, POS_ENDINGS
+from suite.inputs import MARKUP_SAMPLES
 from suite.queries import BANDS, CHOSEN_METRICS, CHUNK_CHARS, SUSPECT
 
 BLANK = r"[\s\x0B\x1C-\x1F\x{85}\pZ]"
@@ -29,6 +30,15 @@ CONTRACTED = (
     "SELECT CAST(doc_id AS VARCHAR) AS work_id, "
     "replace(replace(text, ' the ', ' don''t '), ' le ', ' it’s ') AS text FROM documents"
 )
+def _quoted(text: str) -> str:
+    return " || ".join(f"chr({ord(c)})" if c in "\r\n\t'" else f"'{c}'" for c in text) or "''"
+
+
+MARKED = (
+    "SELECT CAST(doc_id AS VARCHAR) AS work_id, CASE doc_id % " + str(len(MARKUP_SAMPLES)) + " "
+    + " ".join(f"WHEN {n} THEN {_quoted(before)} || text || {_quoted(after)}" for n, (before, after) in enumerate(MARKUP_SAMPLES))
+    + " END AS text FROM documents"
+)
 PAGES = "SELECT CAST(page_id AS VARCHAR) AS work_id, html AS text FROM pages"
 BENCHMARK = "SELECT CAST(item_id AS VARCHAR) AS work_id, text FROM benchmark"
 
@@ -42,6 +52,7 @@ def number(condition: str) -> str:
 
 
 def cleaned(text: str) -> str:
+    # What counts as markup.
     for pattern, replacement in (
         (r"\r\n|\r", r"\n"),
         (r"\A---\n(?s:.*?)\n---\n", ""),
@@ -248,17 +259,18 @@ mart AS (
 """ + ",\n".join(f"    max(CASE WHEN metric_name = '{s}' THEN zscore END) AS \"{s}\"" for s in sorted(ALL_SERIES)) + """
   FROM normalized JOIN catalogue USING (work_id) GROUP BY work_id, title, author)"""
 
+# A term has an owner flag and the others who use it; every other author's row counts terms in both and in either.
 JACCARD = """
-author_vocab AS (SELECT DISTINCT author, is_self, term FROM vocab JOIN catalogue USING (work_id)),
-me AS (SELECT term FROM author_vocab WHERE is_self),
-them AS (SELECT author, term FROM author_vocab WHERE NOT is_self),
-sizes AS (SELECT author, count(*) AS theirs FROM them GROUP BY author),
-shared AS (SELECT author, count(*) AS n FROM them JOIN me USING (term) GROUP BY author),
+owned AS (
+  SELECT term, bool_or(is_self) AS mine, list(DISTINCT author) FILTER (WHERE NOT is_self) AS users
+  FROM vocab JOIN catalogue USING (work_id) GROUP BY term),
+writers AS (SELECT DISTINCT unnest(users) AS author FROM owned),
+seen AS (SELECT author, mine, coalesce(list_contains(users, author), false) AS theirs FROM owned CROSS JOIN writers),
 overlap AS (
-  SELECT md5(author) AS author_key, (SELECT count(*) FROM me) AS my_vocab_size, theirs AS their_vocab_size,
-    coalesce(n, 0) AS shared_terms,
-    coalesce(n, 0) * 1.0::DOUBLE / ((SELECT count(*) FROM me) + theirs - coalesce(n, 0)) AS jaccard
-  FROM sizes LEFT JOIN shared USING (author))"""
+  SELECT md5(author) AS author_key, CAST(count_if(mine) AS BIGINT) AS my_vocab_size, CAST(count_if(theirs) AS BIGINT) AS their_vocab_size,
+    CAST(count_if(mine AND theirs) AS BIGINT) AS shared_terms,
+    count_if(mine AND theirs)::DOUBLE / count_if(mine OR theirs)::DOUBLE AS jaccard
+  FROM seen GROUP BY author)"""
 
 WHOLE = (*ALL_PARTS, TIDY, NORMALIZED, CATALOGUE, FACT)
 
@@ -312,7 +324,7 @@ def spread_over(columns) -> str:
 
 
 ORACLES = {
-    "clean_documents": f"SELECT work_id, md5(text) AS digest, length(text) AS n_chars FROM (SELECT work_id, {cleaned('text')} AS text FROM ({DOCUMENTS}))",
+    "clean_documents": f"SELECT work_id, md5(text) AS digest, length(text) AS n_chars FROM (SELECT work_id, {cleaned('text')} AS text FROM ({MARKED}))",
     "assemble_chapters": "SELECT CAST(conv_id AS VARCHAR) AS work_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
     "split_paragraphs": query(PARAGRAPHS, select="SELECT work_id, CAST(paragraph_no AS INTEGER) AS paragraph_no, md5(text) AS digest FROM paras"),
     "chunk_paragraphs": query(CHUNKS, select="SELECT work_id, chunk_no, length(text) AS n_chars, md5(text) AS digest FROM chunked"),
@@ -382,11 +394,11 @@ FROM tok GROUP BY work_id""",
     ),
     "staged_vocab": query(tokens(), LABELS, VOCABULARY, select=f"SELECT *, {LOADED_AT} AS loaded_at FROM vocab"),
     "raw_landing": query(
-        tokens(), LABELS, WORDS, VOCABULARY,
+        *ALL_PARTS, TIDY, WORDS, VOCABULARY,
         select=f"""SELECT table_name, {LOADED_AT} AS loaded_at, count(*) AS n_rows, count(DISTINCT work_id) AS n_works,
           CAST(sum(amount) AS BIGINT) AS amount FROM (
             SELECT 'raw_works' AS table_name, work_id, n_words AS amount FROM words
-            UNION ALL SELECT 'raw_measurements', work_id, 1 FROM words UNION ALL SELECT 'raw_measurements', work_id, 1 FROM words
+            UNION ALL SELECT 'raw_measurements', work_id, 1 FROM tidy
             UNION ALL SELECT 'raw_vocab', work_id, term_count FROM vocab) GROUP BY table_name""",
     ),
     "seed_tables": query(CATALOGUE, select="SELECT * FROM catalogue"),

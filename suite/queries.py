@@ -36,7 +36,7 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def clean_documents(spark: SparkSession, sf: str) -> DataFrame:
-    text = inputs.works(spark, sf).select("work_id", clean_markdown(F.col("text")).alias("text"))
+    text = inputs.marked_works(spark, sf).select("work_id", clean_markdown(F.col("text")).alias("text"))
     return text.select("work_id", F.md5("text").alias("digest"), F.length("text").cast("bigint").alias("n_chars"))
 
 
@@ -238,7 +238,7 @@ def raw_landing(spark: SparkSession, sf: str) -> DataFrame:
             F.lit("raw_works").alias("table_name"), "work_id", F.col("word_count").alias("amount"), "loaded_at"
         ),
         landing.land_measurements(
-            tables, measures.tidy(measures.measure(annotated.speech_counts(tokens), measures.SPEECH), measures.SPEECH), stamp
+            tables, tidy_rows(spark, sf), stamp
         ).select(F.lit("raw_measurements").alias("table_name"), "work_id", F.lit(1).cast("bigint").alias("amount"), "loaded_at"),
         landing.land_vocab(tables, annotated.vocabulary(tokens), stamp).select(
             F.lit("raw_vocab").alias("table_name"), "work_id", F.col("term_count").alias("amount"), "loaded_at"
@@ -306,11 +306,6 @@ def dim_work(spark: SparkSession, sf: str) -> DataFrame:
     return models.dim_work(inputs.catalogue(spark, sf), measured, BANDS)
 
 
-def dim_work_of(spark: SparkSession, sf: str) -> DataFrame:
-    counts = inputs.works(spark, sf).select("work_id", F.lit(None).cast("bigint").alias("word_count"))
-    return models.dim_work(inputs.catalogue(spark, sf), counts, BANDS)
-
-
 def normalized(spark: SparkSession, sf: str) -> DataFrame:
     staged = checkpointed(staging.stg_measurements(raw_measurements(spark, sf)))
     return models.int_measurements_normalized(staged, models.dim_metric(seeds.seed_metrics(spark)))
@@ -321,7 +316,7 @@ def normalized_measurements(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fact(spark: SparkSession, sf: str) -> DataFrame:
-    return models.fact_style_measurement(normalized(spark, sf), dim_work_of(spark, sf))
+    return models.fact_style_measurement(normalized(spark, sf), dim_work(spark, sf))
 
 
 def fact_style_measurement(spark: SparkSession, sf: str) -> DataFrame:
@@ -329,7 +324,7 @@ def fact_style_measurement(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mart(spark: SparkSession, sf: str) -> DataFrame:
-    return models.mart_work_fingerprint(fact(spark, sf), dim_work_of(spark, sf), dim_author(spark, sf), list(ALL_SERIES))
+    return models.mart_work_fingerprint(fact(spark, sf), dim_work(spark, sf), dim_author(spark, sf), list(ALL_SERIES))
 
 
 def mart_work_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
@@ -343,7 +338,7 @@ def pivot_by_values(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    return models.int_vocab_jaccard(staged_vocab(spark, sf), dim_work_of(spark, sf), dim_author(spark, sf))
+    return models.int_vocab_jaccard(staged_vocab(spark, sf), dim_work(spark, sf), dim_author(spark, sf))
 
 
 def vocab_jaccard(spark: SparkSession, sf: str) -> DataFrame:

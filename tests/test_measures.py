@@ -123,16 +123,14 @@ def test_words_and_types_of_texts(spark, in_row_chars):
     assert dict(map(tuple, surface.word_counts(works_).collect())) == {"a": 7, "b": 0, "c": 0}
 
 
-def test_works_left_in_chapters(spark):
-    """A work too large to assemble is counted from its chapters, with the same result."""
-    chapters = [(f"Chapter-{i}.md", f"He said “yes {i}.\n\nShe **did** not” know {i % 3} " + '"' * (i % 2)) for i in range(1, 13)]
-    chapters[0] = ("Chapter-1.md", "---\ntitle: x\n---\nBegin.")
-    chapters[3] = ("Chapter-4.md", "---\nkept\n---\nGoes on.")
-    rows = spark.createDataFrame([("w", n, t) for n, t in chapters] + [("v", "a.md", "The cat.")], "work_id string, name string, text string")
-    whole = surface.chaptered_counts(work_files.assemble(rows))
-    apart = surface.chaptered_counts(work_files.assemble(rows, max_chars=20))
-    assert work_files.assemble(rows, max_chars=20).count() == 13
-    assert sorted(map(tuple, apart.collect())) == sorted(map(tuple, whole.collect()))
+def test_markup_may_cross_chapter_ends(spark):
+    """Chapters are joined before they are cleaned."""
+    texts = ["---\ntitle: x\n---\nHe **said", "loudly** “yes [a", "page](http://x) no” `code", "more` end."]
+    rows = [("w", f"Chapter-{i}.md", t) for i, t in enumerate(texts, start=9)] + [("v", "a.md", "The cat.")]
+    assembled = work_files.assemble(spark.createDataFrame(rows, "work_id string, name string, text string"))
+    counts = {r["work_id"]: r for r in surface.surface_counts(assembled).collect()}
+    want = surface.surface_counts(works(spark, w="He said loudly “yes a page no” code more end.")).collect()[0]
+    assert counts["w"]["n_words"] == want["n_words"] == 10 and counts["w"]["n_quoted"] == want["n_quoted"]
 
 
 def test_long_sentences_need_no_packing(spark):
@@ -142,11 +140,15 @@ def test_long_sentences_need_no_packing(spark):
     chain = tokens.where("work_id = 'w1'").withColumns({"work_id": F.lit("chain"), "head_no": F.expr("greatest(sent_tok_no - 1, 1)")})
     star = tokens.where("work_id = 'w2'").withColumns({"work_id": F.lit("star"), "head_no": F.expr("if(sent_tok_no < 3, 1, 2)")})
     bare = tokens.where("work_id = 'w2'").withColumns({"work_id": F.lit("bare"), "head_no": F.expr("CAST(NULL AS INT)")})
-    tokens = tokens.unionByName(chain).unionByName(star).unionByName(bare)
+    gaps = tokens.where("work_id = 'w1'").withColumns({"work_id": F.lit("gaps"), "sent_tok_no": F.expr("sent_tok_no * 3"), "head_no": F.expr("greatest(sent_tok_no - 1, 1) * 3")})
+    cycle = tokens.where("work_id = 'w2'").withColumns({"work_id": F.lit("cycle"), "head_no": F.expr("if(sent_tok_no = 2, 3, if(sent_tok_no = 3, 2, 1))")})
+    lost = tokens.where("work_id = 'w2'").withColumns({"work_id": F.lit("lost"), "head_no": F.expr("if(sent_tok_no = 2, 999, 1)")})
+    tokens = tokens.unionByName(chain).unionByName(star).unionByName(bare).unionByName(gaps).unionByName(cycle).unionByName(lost)
     want = sorted(map(tuple, annotated.token_sentence_facts(tokens).collect()))
     assert sorted(map(tuple, annotated.token_sentence_facts(tokens, packed_tokens=10).collect())) == want
     depths = {r[0]: r[5] for r in want}
-    assert depths["chain"] == 31 and depths["star"] == 2 and depths["bare"] is None
+    assert depths["chain"] == depths["gaps"] == 31 and depths["star"] == 2
+    assert depths["bare"] is None and depths["cycle"] is None and depths["lost"] is None
 
 
 def test_quote_blocks_chain(spark):
@@ -168,7 +170,7 @@ def test_depths(spark):
     assert depths[0] == [0, 1, 2, 3, 3]
     assert depths[1] == [0]
     assert depths[2] == list(range(300))
-    assert len(depths[3]) == 2  # a cycle ends
+    assert depths[3] == [None, None]  # a cycle has no root
 
 
 PACKED = "work_id string, sent_no int, tokens array<struct<sent_tok_no:int,is_alpha:boolean,pos:string,dep:string,head_no:int>>"
