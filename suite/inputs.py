@@ -15,6 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: (what stands in the texts, what is put in its place), in this order.
+CONTRACTIONS = (
+    (" the ", " don't "), (" le ", " it’s "), (" of ", " we've "), (" and ", " I’ll "), (" de ", " I'm "), (" la ", " they’re "), (" die ", " he'd "),
+    (" in ", " didn’t "),
+)
+PAGE_MARKS = (("<p>", " “"), ("</p>", "” … "), ("<li>", " — "), ("</li>", " -- "), ("<title>", " – "), ("</title>", " ... "))
+
+
+def replaced(text: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+    for old, new in pairs:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document is a work."""
     scan = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("work_id"), "text")
@@ -22,14 +36,15 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scan = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("work_id"), F.col("html").alias("text"))
+    """A page's source is a work, with marks for tags: curly quotes, both dashes, both ellipses."""
+    text = replaced(F.col("html"), PAGE_MARKS)
+    scan = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("work_id"), text.alias("text"))
     return spread(scan, "work_id")
 
 
 def contracted_works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts hold no apostrophe; two common words are replaced by contractions."""
-    text = F.replace(F.replace("text", F.lit(" the "), F.lit(" don't ")), F.lit(" le "), F.lit(" it’s "))
-    return works(spark, sf_dir).withColumn("text", text)
+    """The texts hold no apostrophe; common words are replaced by contractions with every clitic."""
+    return works(spark, sf_dir).withColumn("text", replaced(F.col("text"), CONTRACTIONS))
 
 
 def spaced_works(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +73,8 @@ def marked_works(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A conversation is a work, a turn a chapter file."""
-    name = F.concat(F.lit("Chapter-"), F.col("turn").cast("string"), F.lit(".md"))
+    """A conversation is a work, a turn a chapter file; the numbers pass 9, where their order is not that of their names."""
+    name = F.concat(F.lit("Chapter-"), (F.col("turn") * 4).cast("string"), F.lit(".md"))
     return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("string").alias("work_id"), name.alias("name"), "text"
     )

@@ -15,7 +15,7 @@ from stylograph.functions.lexicons import (
     STOP_WORDS,
 )
 from stylograph.operators.tokens import LEMMA_ENDINGS, POS_ENDINGS
-from suite.inputs import MARKUP_SAMPLES
+from suite.inputs import CONTRACTIONS, MARKUP_SAMPLES, PAGE_MARKS
 from suite.queries import BANDS, CHOSEN_METRICS, CHUNK_CHARS, SUSPECT
 
 BLANK = r"[\s\x0B\x1C-\x1F\x{85}\pZ]"
@@ -26,10 +26,17 @@ LOADED_AT = "TIMESTAMP '2024-01-02 03:04:05'"
 
 DOCUMENTS = "SELECT CAST(doc_id AS VARCHAR) AS work_id, text FROM documents"
 SPACED = "SELECT CAST(doc_id AS VARCHAR) AS work_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents"
-CONTRACTED = (
-    "SELECT CAST(doc_id AS VARCHAR) AS work_id, "
-    "replace(replace(text, ' the ', ' don''t '), ' le ', ' it’s ') AS text FROM documents"
-)
+
+
+def replaced(column: str, pairs) -> str:
+    for old, new in pairs:
+        column = "replace({}, '{}', '{}')".format(column, old.replace("'", "''"), new.replace("'", "''"))
+    return column
+
+
+CONTRACTED = f"SELECT CAST(doc_id AS VARCHAR) AS work_id, {replaced('text', CONTRACTIONS)} AS text FROM documents"
+
+
 def _quoted(text: str) -> str:
     return " || ".join(f"chr({ord(c)})" if c in "\r\n\t'" else f"'{c}'" for c in text) or "''"
 
@@ -39,7 +46,7 @@ MARKED = (
     + " ".join(f"WHEN {n} THEN {_quoted(before)} || text || {_quoted(after)}" for n, (before, after) in enumerate(MARKUP_SAMPLES))
     + " END AS text FROM documents"
 )
-PAGES = "SELECT CAST(page_id AS VARCHAR) AS work_id, html AS text FROM pages"
+PAGES = f"SELECT CAST(page_id AS VARCHAR) AS work_id, {replaced('html', PAGE_MARKS)} AS text FROM pages"
 BENCHMARK = "SELECT CAST(item_id AS VARCHAR) AS work_id, text FROM benchmark"
 
 
