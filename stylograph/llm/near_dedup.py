@@ -191,12 +191,13 @@ def profiles(texts: DataFrame, width: int = SHINGLE) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, schema)
 
 
-def possible_pairs(nodes: np.ndarray, of: np.ndarray, sizes: np.ndarray, bins: list[bytes], half: int, least: float) -> Iterator[tuple[int, int]]:
+def possible_pairs(bucket: int, bands: np.ndarray, of: np.ndarray, sizes: np.ndarray, bins: list[bytes], half: int, least: float) -> Iterator[tuple[int, int]]:
     """Pairs (first, second) of positions, the first below ``half`` and the second from there on, or any pair if ``half`` is 0, of different components, whose
-    sizes and bins allow the similarity."""
+    sizes and bins allow the similarity. A pair that shares several buckets belongs to the first of them alone."""
+    place = (bands == bucket).argmax(1)
     width = np.array([len(b) // 2 for b in bins])
-    left = np.arange(half or len(nodes))
-    right = np.arange(half, len(nodes))
+    left = np.arange(half or len(of))
+    right = np.arange(half, len(of))
     for w in np.unique(width):
         for v in (u for u in np.unique(width) if u in (w // 2, w, 2 * w) or 0 in (u, w)):
             rows, columns = left[width[left] == w], right[width[right] == v]
@@ -208,6 +209,7 @@ def possible_pairs(nodes: np.ndarray, of: np.ndarray, sizes: np.ndarray, bins: l
                 others = columns[(columns > row) | bool(half)]
                 fit = (of[others] != of[row]) & (np.minimum(sizes[others], sizes[row]) >= least * np.maximum(sizes[others], sizes[row]))
                 others = others[fit]
+                others = others[(bands[others] == bands[row]).argmax(1) == place[row]]
                 if fold and len(others):
                     common = np.minimum(table[0][at], table[1][np.searchsorted(columns, others)]).sum(1, dtype=np.int64)
                     others = others[common >= least * (sizes[row] + sizes[others] - common)]
@@ -215,15 +217,15 @@ def possible_pairs(nodes: np.ndarray, of: np.ndarray, sizes: np.ndarray, bins: l
 
 
 def candidates(members: DataFrame, least: float, block: int = 256) -> DataFrame:
-    """Distinct pairs a < b of nodes that share a bucket, are of different components, and may be similar enough. ``members``:
-    bucket, node, component, shingles, bins."""
+    """Pairs a < b, each once, of nodes that share a bucket, are of different components, and may be similar enough. ``members``:
+    bucket, node, component, shingles, bins, bands."""
     counts = members.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     dealt = members.join(counts, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    held = dealt.groupBy("bucket", "block", "blocks").agg(F.collect_list(F.struct("node", "component", "shingles", "bins")).alias("held"))
-    single = held.where("blocks = 1").select("held", F.lit(None).cast(held.schema["held"].dataType).alias("other"))
+    held = dealt.groupBy("bucket", "block", "blocks").agg(F.collect_list(F.struct("node", "component", "shingles", "bins", "bands")).alias("held"))
+    single = held.where("blocks = 1").select("bucket", "held", F.lit(None).cast(held.schema["held"].dataType).alias("other"))
     many = held.where("blocks > 1").select("bucket", "block", "held")
     pairs = many.join(many.select("bucket", F.col("block").alias("second"), F.col("held").alias("other")), "bucket").where("block <= second")
-    pairs = pairs.select("held", F.when(F.col("block") < F.col("second"), F.col("other")).alias("other"))
+    pairs = pairs.select("bucket", "held", F.when(F.col("block") < F.col("second"), F.col("other")).alias("other"))
     schema = StructType().add("a", "long").add("b", "long")
     arrow = to_arrow_schema(schema)
 
@@ -235,12 +237,13 @@ def candidates(members: DataFrame, least: float, block: int = 256) -> DataFrame:
                 parts = [own, other.values] if other.is_valid else [own]
                 nodes, of, sizes = (np.concatenate([pc.struct_field(p, c).to_numpy() for p in parts]) for c in ("node", "component", "shingles"))
                 bins = [b for p in parts for b in pc.struct_field(p, "bins").to_pylist()]
+                bands = np.concatenate([pc.struct_field(p, "bands").flatten().to_numpy() for p in parts]).reshape(len(nodes), -1)
                 half = len(own) if other.is_valid else 0
-                found += [(nodes[i], nodes[j]) for i, j in possible_pairs(nodes, of, sizes, bins, half, least)]
+                found += [(nodes[i], nodes[j]) for i, j in possible_pairs(batch["bucket"][at].as_py(), bands, of, sizes, bins, half, least)]
             pairs = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=arrow)
 
-    return single.unionByName(pairs).mapInArrow(run, schema).distinct()
+    return single.unionByName(pairs).mapInArrow(run, schema)
 
 
 def links(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], least: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
@@ -267,6 +270,7 @@ def links(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], least: f
     if members.isEmpty():
         return known
     bins = landed(profiles(texts.join(members.select("node").distinct(), "node"), width), "profiles", compression="zstd")
+    bins = bins.join(nodes.select("node", "bands"), "node")
     untested = candidates(members.join(bins, "node"), least).join(tested, ["a", "b"], "left_anti")
     return components(edges.unionByName(test(landed(untested, "pairs"))))
 
