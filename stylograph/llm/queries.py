@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylograph.llm import bpe, exact_dedup, line_dedup, near_dedup, packing, quality, token_files, topk, url_filter, warc
+from stylograph.llm import bpe, exact_dedup, near_dedup, packing, passages, quality, token_files, topk, url_filter, warc
 from stylograph.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,7 +36,7 @@ def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf, "documents")).select("doc_id", "text", "lines_removed")
+    return passages.dedup_passages(table(spark, sf, "documents")).select("doc_id", "text", "lines_removed")
 
 
 def op6_warc(spark: SparkSession, sf: str) -> DataFrame:
