@@ -48,3 +48,13 @@ def test_without():
     assert cut("a b\n\nc d\n\ne", (1, 3)) == ("a\n\ne", 2, 3)
     assert cut("a b c", (1, 1)) == ("a c", 0, 1)
     assert cut("a\x85b\n \nc", (0, 1), (2, 2)) == ("", 3, 3)
+
+
+def test_query_removes_a_tail_that_the_first_occurrence_lacks(spark, tmp_path):
+    """Windows that end in the tail are compared with every earlier place, not with the passage's first alone."""
+    passage = "\n".join(" ".join(f"p{line}x{n}" for n in range(20)) for line in range(3))
+    tail = " ".join(f"t{n}" for n in range(10))
+    rows = [(1, f"{passage}\na"), *((i, f"{passage}\n{tail}\nown{i}") for i in range(2, 6))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: (r.text, r.lines_removed) for r in QUERIES["op5_line_dedup"](spark, str(tmp_path)).collect()}
+    assert out == {1: (rows[0][1], 0), 2: (f"{tail}\nown2", 3), **{i: (f"own{i}", 4) for i in range(3, 6)}}
