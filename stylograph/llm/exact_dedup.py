@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stylograph.llm.common import landed, text_of
-from stylograph.session import lookup
+from stylograph.session import BROADCAST_ROWS, lookup
 
 #: Characters that don't count: blank, tab, line feed, vertical tab, form feed, carriage return.
 IGNORED = " \t\n\x0b\f\r"
@@ -31,6 +31,20 @@ def sha256(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
 
+def _salted(scan: DataFrame, repeated: DataFrame, salts: int) -> DataFrame:
+    """The contents of repeated digests, combined by (digest, salt): digest, salt, content, n_chars, id, copies.
+
+    The digests with the most rows, BROADCAST_ROWS at most, are always looked up on the scan's partitions, so their copies are combined
+    there. Only the texts of other digests, none of which has more rows than those, are moved to be looked up."""
+    scan = scan.withColumn("salt", F.spark_partition_id() % salts)
+    hot = landed(repeated.orderBy(F.desc("group_size"), "digest").limit(BROADCAST_ROWS).select("digest"), "exact-hot-digests")
+    found = scan.join(F.broadcast(hot), "digest", "left_semi")
+    if repeated.count() > BROADCAST_ROWS:
+        rest = repeated.select("digest").join(F.broadcast(hot), "digest", "left_anti")
+        found = found.unionByName(scan.join(F.broadcast(hot), "digest", "left_anti").join(rest, "digest", "left_semi"))
+    return found.groupBy("digest", "salt", "content", "n_chars").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+
+
 def exact_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32, digest: Callable[[Column], Column] = sha256
 ) -> DataFrame:
@@ -53,14 +67,8 @@ def exact_duplicates(
     sizes = narrow.groupBy("digest").agg(
         F.sum("copies").alias("group_size"), F.max("n_chars").alias("n_chars"), F.min("id").alias("id"), F.count("*").alias("distinct_rows")
     )
-    repeated = lookup(landed(sizes.where("distinct_rows > 1").select("digest"), "exact-digests"))
-
-    salted = (
-        scan.withColumn("digest", digest(F.col("content")))
-        .join(repeated, "digest", "left_semi")
-        .withColumn("salt", F.spark_partition_id() % salts)
-        .groupBy("digest", "salt", "content", "n_chars").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    )
+    repeated = landed(sizes.where("distinct_rows > 1").select("digest", "group_size"), "exact-digests")
+    salted = _salted(scan.withColumn("digest", digest(F.col("content"))), repeated, salts)
     best = F.min(F.struct((-F.col("n_chars")).alias("order"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id")))
     contents = (
         salted.groupBy("digest", "salt", "content").agg(best.alias("best"), F.sum("copies").alias("copies"))
