@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -27,21 +28,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, StructType
-from tokenizers import Tokenizer
+from tokenizers import Regex, Tokenizer
+from tokenizers.pre_tokenizers import Split
 
 from stylograph.llm.tokenize import put_together, slices
 
-#: Bytes of pieces and words with their ids, and pairs of tokens, that a worker remembers; pairs tested at once. None changes a result.
+#: Bytes of words with their ids, and pairs of tokens, that a worker remembers; pairs tested at once. None changes a result.
 REMEMBERED_BYTES, REMEMBERED_PAIRS, PAIRS = 160_000_000, 1_000_000, 20_000
 NEVER = np.int32(2**31 - 1)
 
 #: The settings of a tokenizer file that this module covers; another file is refused.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
-#: The same split of printable ASCII and its white space in lower case.
-PLAIN = re.compile(r"[\t-\r -~]*")
-PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
-
+#: The same split of Latin letters in lower case, all pieces at once: a blank stands between pieces. Text with any other
+#: character goes through the library's own normaliser and splitter.
+LATIN = re.compile(r"[^\t-\r -~\xa1-\u012f\u0131-\u017f]")
+LATIN_SPLIT = re.compile(
+    r" |'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-\u017f]+|[0-9²³¹¼½¾]|[^\t-\r 0-9²³¹¼½¾a-zªµºß-öø-\u017f]+"
+)
+#: Words of up to so many symbols are merged by scanning them, longer ones on a heap.
+SHORT = 64
 
 class Speculator:
     """The merges of a tokenizer file, what they say of neighbours, and the words a worker has met."""
@@ -55,14 +61,14 @@ class Speculator:
         vocabulary: dict[str, int] = model["vocab"]
         self.size = max(vocabulary.values()) + 1
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        #: (left, right) -> (rank, token made)
-        self.merges = {(vocabulary[a], vocabulary[b]): (rank, vocabulary[a + b]) for rank, (a, b) in enumerate(pairs)}
+        #: left * size + right -> rank * size + token made
+        self.merges = {vocabulary[a] * self.size + vocabulary[b]: rank * self.size + vocabulary[a + b] for rank, (a, b) in enumerate(pairs)}
         self.inner = {t: i for t, i in vocabulary.items() if not t.endswith(suffix)}
         self.last = {t.removesuffix(suffix): i for t, i in vocabulary.items() if t.endswith(suffix)}
-        keys = np.array([a * self.size + b for a, b in self.merges], np.int64)
+        keys = np.fromiter(self.merges, np.int64, len(self.merges))
         order = np.argsort(keys)
         self.keys = keys[order]
-        self.ranks = np.array([rank for rank, _ in self.merges.values()], np.int32)[order]
+        self.ranks = (np.fromiter(self.merges.values(), np.int64, len(keys))[order] // self.size).astype(np.int32)
         self._edges()
 
         self.special = {t["content"]: t["id"] for t in described["added_tokens"]}
@@ -70,10 +76,12 @@ class Speculator:
         names = {i: t for t, i in vocabulary.items()} | {i: t for t, i in self.special.items()}
         self.names = pa.array([names.get(i) for i in range(max(names) + 1)], pa.large_string())
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        library = Tokenizer.from_file(path)
-        self.normalize, self.pre_tokenize = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.normalize = Tokenizer.from_file(path).normalizer.normalize_str
+        self.pre_tokenize = Split(Regex(SPLIT), "removed", invert=True).pre_tokenize_str
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        odd = [b for b in range(256) if b not in plain]  # written as letters from 256 on
+        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(odd)}
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
         self.held = 0
         self.neighbours: dict[int, bool] = {}
 
@@ -92,12 +100,13 @@ class Speculator:
 
     def _edges(self) -> None:
         """For every token that merging makes: the parts on its left and right edge, and the rank at which each is consumed."""
-        made = {token for _, token in self.merges.values()}
+        made = {merged % self.size for merged in self.merges.values()}
         born = {token: -1 for token in (*self.inner.values(), *self.last.values()) if token not in made}
         self.left = {token: [(token, NEVER)] for token in born}
         self.right = {token: [(token, NEVER)] for token in born}
         self.ordered = len(made) == len(self.merges)
-        for (a, b), (rank, token) in self.merges.items():
+        for pair, merged in self.merges.items():
+            (a, b), (rank, token) = divmod(pair, self.size), divmod(merged, self.size)
             self.ordered &= a in born and b in born
             born[token] = rank
             if a in self.right and b in self.left and self._first_across(a, b) == rank:
@@ -125,8 +134,8 @@ class Speculator:
         least = int(NEVER)
         for x, x_end in self.right[a]:
             for y, y_end in self.left[b]:
-                rank = self.merges.get((x, y), (NEVER,))[0]
-                if rank < x_end and rank <= y_end:
+                merged = self.merges.get(x * self.size + y)
+                if merged is not None and (rank := merged // self.size) < x_end and rank <= y_end:
                     least = min(least, rank)
         return least
 
@@ -167,27 +176,45 @@ class Speculator:
         vocabulary lacks are left out."""
         tokens = [self.inner.get(c) for c in word[:-1]] + [self.last.get(word[-1])]
         tokens = [t for t in tokens if t is not None]
-        after, before = list(range(1, len(tokens) + 1)), list(range(-1, len(tokens) - 1))
-        queue = []
+        return self._merge_short(tokens) if len(tokens) <= SHORT else self._merge_long(tokens)
+
+    def _merge_short(self, tokens: list[int]) -> list[int]:
+        merges, size = self.merges, self.size
+        none = size * size  # above every rank
+        found = [merges.get(a * size + b, none) for a, b in zip(tokens, tokens[1:])]
+        while found and (least := min(found)) < none:
+            at = found.index(least)
+            tokens[at : at + 2] = [least % size]
+            del found[at]
+            if at:
+                found[at - 1] = merges.get(tokens[at - 1] * size + tokens[at], none)
+            if at < len(found):
+                found[at] = merges.get(tokens[at] * size + tokens[at + 1], none)
+        return tokens
+
+    def _merge_long(self, tokens: list[int]) -> list[int]:
+        merges, size, end = self.merges, self.size, len(tokens)
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        queue = [
+            (found // size, at, pair, found % size) for at in range(end - 1)
+            if (found := merges.get(pair := tokens[at] * size + tokens[at + 1])) is not None
+        ]
+        heapify(queue)
 
         def offer(at: int) -> None:
-            if at >= 0 and after[at] < len(tokens):
-                pair = tokens[at], tokens[after[at]]
-                if (found := self.merges.get(pair)) is not None:
-                    heappush(queue, (found[0], at, pair, found[1]))
-
-        for at in range(len(tokens) - 1):
-            if (found := self.merges.get((tokens[at], tokens[at + 1]))) is not None:
-                queue.append((found[0], at, (tokens[at], tokens[at + 1]), found[1]))
-        heapify(queue)
+            if at >= 0 and after[at] < end:
+                pair = tokens[at] * size + tokens[after[at]]
+                if (found := merges.get(pair)) is not None:
+                    heappush(queue, (found // size, at, pair, found % size))
+
         while queue:
             _, at, pair, token = heappop(queue)
             gone = after[at]
-            if tokens[at] != pair[0] or gone >= len(tokens) or tokens[gone] != pair[1]:
+            if tokens[at] < 0 or gone >= end or tokens[at] * size + tokens[gone] != pair:
                 continue
             tokens[at], tokens[gone] = token, -1
             after[at] = after[gone]
-            if after[gone] < len(tokens):
+            if after[gone] < end:
                 before[after[gone]] = at
             offer(before[at])
             offer(at)
@@ -217,48 +244,68 @@ class Speculator:
         failing |= sizes == 0
         return [self.merge(w) if fails else g for w, g, fails in zip(words, guessed, failing.tolist())]
 
-    def _words(self, piece: str) -> list[str | int]:
-        """A piece's words in the vocabulary's letters, and the ids of special tokens."""
-        out: list[str | int] = []
-        for part in self.special_split.split(piece) if "<" in piece else (piece,):
-            if part in self.special:
-                out.append(self.special[part])
-            elif PLAIN.fullmatch(part):
-                out += PLAIN_SPLIT.findall(part.lower())
-            else:
-                out += [w for w, _ in self.pre_tokenize(self.normalize(part))]
-        return out
+    def _spelled(self, word: str) -> str:
+        """A word in the vocabulary's letters, one for each byte."""
+        return word if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode()))
 
-    def _known(self, word: str) -> bytes | None:
-        """The ids of a remembered word; a word in ASCII is a piece as well."""
-        ids = self.words.get(word)
-        return self.pieces.get(word) if ids is None and word.isascii() else ids
+    def _words(self, piece: str) -> list[str]:
+        """The words of a piece and the special tokens in it, as the library splits it."""
+        out = []
+        for part in self.special_split.split(piece) if self.special else (piece,):
+            out += [part] if part in self.special else [w for w, _ in self.pre_tokenize(self.normalize(part))]
+        return out
 
-    def table(self, pieces: list[str]) -> pa.ListArray:
-        """The ids of each piece, from what is remembered; words not met before are speculated on together."""
+    def split(self, pieces: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The distinct words of all pieces, the words of all pieces in order by number, and where each piece's begin."""
+        special = self.special_split.search if self.special else lambda _: False
+        plain = [p for p in pieces if not LATIN.search(p) and not special(p)]
+        words: list[str] = LATIN_SPLIT.findall(" ".join(plain).lower())
+        if plain:
+            words.append(" ")
+        place = {p: n for n, p in enumerate(plain)}
+        for piece in pieces:
+            if piece not in place:
+                place[piece] = len(place)
+                words += self._words(piece)
+                words.append(" ")
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        distinct, codes = coded.dictionary, coded.indices.to_numpy()
+        blank = pc.index(distinct, " ").as_py()
+        ends = np.flatnonzero(codes == blank)
+        starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+        order = np.fromiter((place[p] for p in pieces), np.int64, len(pieces))
+        # without the blanks between pieces
+        kept = codes[codes != blank]
+        return distinct, kept, np.stack([starts - np.arange(len(starts)), ends - np.arange(len(ends))], 1)[order]
+
+    def ids_of(self, distinct: list[str]) -> pa.ListArray:
+        """The ids of each word; words not met before are speculated on together."""
         if self.held > REMEMBERED_BYTES:
-            self.pieces.clear()
             self.words.clear()
             self.held = 0
-        cut = {p: self._words(p) for p in pieces if p not in self.pieces}
-        new = list({w for words in cut.values() for w in words if isinstance(w, str) and self._known(w) is None})
-        fresh = {w: np.array(ids, "<u4").tobytes() for w, ids in zip(new, self.encode_words(new))}
-
-        def ids_of(w: str | int) -> bytes:
-            if isinstance(w, int):
-                return w.to_bytes(4, "little")
-            return fresh[w] if w in fresh else self._known(w)
-
-        whole = {p: ids_of(words[0]) if len(words) == 1 else b"".join(map(ids_of, words)) for p, words in cut.items()}
-        found = [whole[p] if p in whole else self.pieces[p] for p in pieces]
-        for store, more in ((self.pieces, whole), (self.words, fresh)):
-            for text, ids in more.items():
-                if len(text) <= 64 and not (store is self.words and text in whole and text.isascii()):  # long ones hardly recur
-                    store[text] = ids
-                    self.held += 2 * len(text) + len(ids) + 150
+        new = [w for w in distinct if w not in self.words and w not in self.special and w != " "]
+        encoded = self.encode_words([self._spelled(w) for w in new])
+        fresh = {w: array("I", ids).tobytes() for w, ids in zip(new, encoded)} | {w: i.to_bytes(4, "little") for w, i in self.special.items()}
+        found = [fresh[w] if w in fresh else self.words.get(w, b"") for w in distinct]
+        for word, ids in fresh.items():
+            if len(word) <= 64:  # long ones hardly recur
+                self.words[word] = ids
+                self.held += len(word) + len(ids) + 180
         offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<u4")))
 
+    def table(self, pieces: list[str]) -> pa.ListArray:
+        """The ids of each piece."""
+        distinct, codes, bounds = self.split(pieces)
+        words = self.ids_of(distinct.to_pylist())
+        sizes = np.concatenate([[0], np.cumsum(np.diff(words.offsets.to_numpy())[codes], dtype=np.int64)])
+        flat = words.take(pa.array(codes)).flatten()
+        begin, stop = sizes[bounds[:, 0]], sizes[bounds[:, 1]]
+        lengths = stop - begin
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        at = np.repeat(begin - offsets[:-1], lengths) + np.arange(offsets[-1])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat.take(pa.array(at)))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the texts' bounds in them. A blank ends a piece; no word runs over one."""
         lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
