@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from stylograph.llm.tokenize import binary_slices, look_up, put_together, slices, split
+from stylograph.llm.tokenize import Known, binary_slices, put_together, slices, split
 
-#: Words a task remembers, words per recursive query, and contractions per query; none changes a result.
-REMEMBERED, WORDS, ROUNDS = 600_000, 40_000, 64
+#: Words per recursive query, and contractions per query; neither changes a result.
+WORDS, ROUNDS = 40_000, 64
 #: Ids per decoding query.
 DECODED = 1_000_000
 
@@ -63,7 +63,7 @@ class Coder:
     """The DuckDB side of one worker."""
 
     def __init__(self, path: str, pattern: str):
-        self.pattern, self.ranks, self.known = regex.compile(pattern), read_ranks(path), {}
+        self.pattern, self.ranks, self.known = regex.compile(pattern), read_ranks(path), Known()
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "max_temp_directory_size": "0KB"})
         halves = [
             (left, right, rank) for token, rank in self.ranks.items() for cut in range(1, len(token))
@@ -113,7 +113,8 @@ class Coder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the texts' bounds in them."""
         pieces, codes, bounds = split(texts)
-        return put_together(look_up(pieces, self.known, self.pattern, self.encode_words, REMEMBERED), codes, bounds)
+        table, places = self.known.look_up(pieces, self.pattern, self.encode_words)
+        return put_together(table, places[codes], bounds)
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         """The bytes of each document."""

@@ -13,6 +13,7 @@ packing of everything.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +30,21 @@ from stylograph.llm.tokenize import binary_slices, encode, slices
 FULL = 1 << 62
 
 
-def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents' pieces: id, piece, start, length, ids (binary) and a number of their own, piece_key.
+def pieces_of(
+    docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", ids: bool = False
+) -> DataFrame:
+    """The documents' pieces: id, piece, start, length, ids_crc32 (of the ids as little-endian unsigned 32-bit integers) and a number of
+    their own, piece_key; with ``ids`` the ids (binary) too.
 
-    Null texts count as empty. A document without any id, when there is no end id, has no piece."""
-    schema = StructType([docs.schema[id_col]]).add("piece", "integer").add("start", "long").add("length", "long").add("ids", "binary").add("piece_key", "long")
+    Null texts count as empty. A document without any id, when there is no end id, has no piece. Other columns are dropped."""
+    schema = StructType([docs.schema[id_col]]).add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long").add("piece_key", "long")
+    schema = schema.add("ids", "binary") if ids else schema
     arrow = to_arrow_schema(schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = TaskContext.get().partitionId() << 36
         for batch in (part for whole in batches for part in slices(whole, text_col)):
-            ids, bounds = encode(batch[text_col], tokenizer_path, end_id)
+            found, bounds = encode(batch[text_col], tokenizer_path, end_id)
             sizes = np.diff(bounds)
             counts = -(-sizes // capacity)
             row = np.repeat(np.arange(len(sizes)), counts)
@@ -47,13 +52,13 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id
             stop = sizes[row] - (counts[row] - 1 - piece) * capacity
             start = np.maximum(stop - capacity, 0)
             cuts = np.concatenate([bounds[row] + start, bounds[-1:]])
-            out = pa.RecordBatch.from_arrays(
-                [
-                    batch[id_col].take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(stop - start),
-                    binary_slices(ids, cuts), pa.array(np.arange(key, key + len(row))),
-                ],
-                schema=arrow,
-            )
+            data = memoryview(np.ascontiguousarray(found, "<u4")).cast("B")
+            crcs = [crc32(data[4 * a : 4 * b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            columns = [
+                batch[id_col].take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(stop - start),
+                pa.array(crcs, pa.int64()), pa.array(np.arange(key, key + len(row))),
+            ]
+            out = pa.RecordBatch.from_arrays(columns + [binary_slices(found, cuts)] * ids, schema=arrow)
             key += len(row)
             for at in range(0, out.num_rows, 1_000):
                 yield out.slice(at, 1_000)
@@ -133,10 +138,14 @@ def pack(
     return packed.unionByName(full)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Encode, cut and pack: one row per piece of each document with its ids, its sequence and its place there.
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, **options) -> DataFrame:
+    """Encode, cut and pack: one row per piece of each document with its sequence and its place there.
 
-    Pieces: id, piece (from 0), start (the document's ids before it), length, ids, sequence_id, offset.
-    Rows that repeat an id are packed each. The pieces are landed once, so nothing is encoded twice."""
-    pieces = landed(pieces_of(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces", compression="zstd")
-    return pack(pieces, capacity, **options).drop("piece_key")
+    Pieces: id, piece (from 0), start (the document's ids before it), length, ids_crc32, sequence_id, offset; with ``ids`` the ids too.
+    Rows that repeat an id are packed each. The pieces are landed once, so nothing is encoded twice; only their lengths and
+    checksums are dealt to the packing tasks, and ids, if wanted, meet their places afterwards."""
+    pieces = landed(pieces_of(docs, tokenizer_path, capacity, end_id, id_col, text_col, ids), "pieces", compression="zstd")
+    packed = pack(pieces.drop("ids"), capacity, **options)
+    if ids:
+        packed = packed.join(pieces.select("piece_key", "ids"), "piece_key")
+    return packed.drop("piece_key")

@@ -34,8 +34,7 @@ def op3_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
-    rows = packing.pack_documents(table(spark, sf, "documents"), TOKENIZER)
-    return rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack_documents(table(spark, sf, "documents"), TOKENIZER)
 
 
 def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:

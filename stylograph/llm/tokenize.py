@@ -20,22 +20,29 @@ import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
-#: Characters a batch is cut to, and pieces whose ids a worker remembers; neither changes a result.
+#: Characters a batch is cut to, and bytes of pieces and words with their ids that a worker remembers; neither changes a result.
 BATCH_CHARS = 3_000_000
-REMEMBERED = 800_000
+REMEMBERED_BYTES = 120_000_000
 #: The split of byte-level vocabularies, a fixed value.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Unicode white space, a fixed value.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str) -> Tokenizer:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    loaded = Tokenizer.from_file(path)
-    loaded.encode_special_tokens = True  # their strings in a text are ordinary text
-    return loaded
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=4)
+def special_tokens(path: str) -> tuple[str, ...]:
+    """The strings that stand for a token of their own wherever they occur."""
+    added = tokenizer(path).get_added_tokens_decoder().values()
+    if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added):
+        raise ValueError("a special token that takes more than its own characters")
+    return tuple(sorted((t.content for t in added), key=len, reverse=True))
 
 
 def slices(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
@@ -50,12 +57,12 @@ def slices(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
     pa.default_memory_pool().release_unused()
 
 
-def split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct pieces, the piece numbers of all texts in order, and each text's bounds in them."""
     texts = pc.fill_null(texts, "")
     lists = pc.split_pattern(texts, " ")
     flat = lists.flatten().dictionary_encode()
-    words = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+    words = flat.dictionary
     codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     bounds = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
     first = np.zeros(len(codes), bool)
@@ -63,19 +70,22 @@ def split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     last = np.zeros(len(codes), bool)
     last[bounds[1:] - 1] = True
     # A blank begins a piece, unless white space stands before it.
-    loose = np.fromiter((not w or w[-1].isspace() for w in words), bool, len(words))[codes]
-    empty_first = first & np.fromiter((not w for w in words), bool, len(words))[codes]
-    odd = np.logical_or.reduceat(loose & ~last & ~empty_first, bounds[:-1]) if len(codes) else np.zeros(0, bool)
+    empty = pc.equal(words, "")
+    spaced = pc.or_(empty, pc.utf8_is_space(pc.utf8_slice_codeunits(words, -1)))
+    empty, spaced = (x.to_numpy(zero_copy_only=False) for x in (empty, spaced))
+    loose = spaced[codes]
+    odd = np.logical_or.reduceat(loose & ~last & ~(first & empty[codes]), bounds[:-1]) if len(codes) else np.zeros(0, bool)
 
     keys = codes * 2 + ~first
     used = np.flatnonzero(np.bincount(keys, minlength=2 * len(words)))
     number = np.zeros(2 * len(words), np.int64)
     number[used] = np.arange(len(used))
     keys = number[keys]
-    pieces = [(" " if k & 1 else "") + words[k >> 1] for k in used.tolist()]
+    blank = pc.if_else(pa.array(used % 2 == 1), " ", "")
+    pieces = pc.binary_join_element_wise(blank, words.take(pa.array(used // 2)), "")
     if not odd.any():
         return pieces, keys, bounds
-    numbers = {p: n for n, p in enumerate(pieces)}
+    numbers = {p: n for n, p in enumerate(pieces.to_pylist())}
     parts, counts = [], []
     for row, (start, stop) in enumerate(zip(bounds[:-1], bounds[1:])):
         if odd[row]:
@@ -84,32 +94,57 @@ def split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
             part = keys[start:stop]
         parts.append(part)
         counts.append(len(part))
-    return list(numbers), np.concatenate(parts), np.concatenate([[0], np.cumsum(counts)])
-
-
-@lru_cache(maxsize=4)
-def _remembered(path: str) -> dict[str, bytes]:
-    return {}
-
-
-def look_up(pieces: list[str], known: dict[str, bytes], pattern, encode_words: Callable[[list[str]], Iterable[bytes]], most: int = REMEMBERED) -> pa.ListArray:
-    """The ids of each piece, from what is ``known`` of words and pieces; words not met before go to ``encode_words`` and are
-    remembered, as little-endian unsigned 32-bit integers."""
-    if len(known) > most:
-        known.clear()
-    unseen = [p for p in pieces if p not in known]
-    plain = []
-    if pattern.pattern == WORD.pattern:
-        plain = [p for p in unseen if p[1:].isalpha() and (p[0] == " " or p[0].isalpha())]  # a word by itself
-    mixed = list(set(unseen).difference(plain))
-    words = [pattern.findall(p) for p in mixed]
-    new = list({w for piece in words for w in piece if w not in known}.union(plain))
-    known.update(zip(new, encode_words(new)))
-    whole = {p: b"".join([known[w] for w in piece]) for p, piece in zip(mixed, words)}
-    known.update((p, ids) for p, ids in whole.items() if "\n" not in p)  # pieces over a line end hardly recur
-    found = [known[p] if p in known else whole[p] for p in pieces]
-    offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.uint32)))
+    return pa.array(list(numbers), pa.string()), np.concatenate(parts), np.concatenate([[0], np.cumsum(counts)])
+
+
+class Known:
+    """Pieces a worker has met, as one array with their ids, and the words of those that hold several."""
+
+    def __init__(self, special: tuple[str, ...] = ()):
+        self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.uint32()))
+        self.words: dict[str, bytes] = {}
+        self.held = 0
+
+    def _words(self, piece: str, pattern) -> list[str]:
+        """The pattern's words in a piece; a special token is a word whatever the pattern says."""
+        if self.special is None or not self.special.search(piece):
+            return pattern.findall(piece)
+        parts = self.special.split(piece)
+        return [w for n, part in enumerate(parts) for w in ([part] if n % 2 else pattern.findall(part))]
+
+    def look_up(self, pieces: pa.Array, pattern, encode_words: Callable[[list[str]], Iterable[bytes]], most: int = REMEMBERED_BYTES) -> tuple[pa.ListArray, np.ndarray]:
+        """Ids by row, and the row of each piece. Words not met before go to ``encode_words``, which gives little-endian
+        unsigned 32-bit integers; what is remembered is bounded by ``most`` bytes."""
+        if self.held + self.keys.nbytes + self.ids.nbytes > most:
+            self.clear()
+        rows = pc.index_in(pieces, value_set=self.keys)
+        fresh = pieces.filter(rows.is_null())
+        unseen = fresh.to_pylist()
+        plain = [False] * len(unseen)
+        if pattern.pattern == WORD.pattern:
+            plain = [p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) for p in unseen]  # a word by itself
+        cut = {p: self._words(p, pattern) for p, alone in zip(unseen, plain) if not alone}
+        alone = [p for p, is_one in zip(unseen, plain) if is_one]
+        new = list({w for words in cut.values() for w in words if w not in self.words})
+        found = dict(zip(new + alone, encode_words(new + alone)))
+        for word in new:
+            self.words[word] = found[word]
+            self.held += len(word) + len(found[word]) + 180
+        data = [b"".join([self.words[w] for w in cut[p]]) if p in cut else found[p] for p in unseen]
+        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, data), np.int64, len(data)) // 4)])
+        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(data), np.uint32)))
+        table = pa.concat_arrays([self.ids, ids]) if len(self.ids) else ids
+        places = rows.to_numpy(zero_copy_only=False) if rows.null_count == 0 else np.array(pc.fill_null(rows, -1))
+        places = places.astype(np.int64)
+        places[places < 0] = len(self.ids) + np.arange(len(fresh))
+        short = pc.less(pc.binary_length(fresh), 100)  # long ones, and those over a line end, hardly recur
+        short = pc.and_(short, pc.invert(pc.match_substring(fresh, "\n")))
+        self.keys, self.ids = pa.concat_arrays([self.keys, fresh.filter(short)]), pa.concat_arrays([self.ids, ids.filter(short)])
+        return table, places
 
 
 def put_together(table: pa.ListArray, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,8 +154,14 @@ def put_together(table: pa.ListArray, codes: np.ndarray, bounds: np.ndarray) ->
     return table.take(pa.array(codes)).flatten().to_numpy(), ends[bounds]
 
 
+@lru_cache(maxsize=4)
+def _known(path: str) -> Known:
+    return Known(special_tokens(path))
+
+
 def encode(texts: pa.Array, path: str, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts one after the other, and the texts' bounds in them. Null counts as empty;
+    """The ids of all texts one after the other, and the texts' bounds in them, as the library gives them without special tokens
+    round a text; a special token's string in a text is that token. Null counts as empty;
     with ``end_id`` every text, also an empty one, ends with that id."""
     def encode_words(words: list[str]) -> Iterator[bytes]:
         batch = tokenizer(path).encode_batch
@@ -128,13 +169,11 @@ def encode(texts: pa.Array, path: str, end_id: int | None = None) -> tuple[np.nd
             yield from (array("I", e.ids).tobytes() for e in batch(words[start : start + 5_000], add_special_tokens=False))
 
     pieces, codes, bounds = split(texts)
-    table = look_up(pieces, _remembered(path), WORD, encode_words)
+    table, places = _known(path).look_up(pieces, WORD, encode_words)
+    codes = places[codes]
     if end_id is not None:
         end = len(table)
-        table = pa.ListArray.from_arrays(
-            pa.concat_arrays([table.offsets.slice(0, end + 1), pa.array([table.offsets[end].as_py() + 1], pa.int32())]),
-            pa.concat_arrays([table.values, pa.array([end_id], pa.uint32())]),
-        )
+        table = pa.concat_arrays([table, pa.array([[end_id]], pa.list_(pa.uint32()))])
         codes = np.insert(codes, bounds[1:], end)
         bounds = bounds + np.arange(len(bounds))
     return put_together(table, codes, bounds)

@@ -1,4 +1,5 @@
 import io
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,6 @@ from .conftest import DATA, ODD
 @pytest.fixture(scope="module")
 def library(tokenizer_path):
     loaded = Tokenizer.from_file(tokenizer_path)
-    loaded.encode_special_tokens = True
     return lambda text: loaded.encode(text or "", add_special_tokens=False).ids
 
 
@@ -25,7 +25,7 @@ def texts(spark):
 
 
 def test_encode_equals_the_library(spark, tokenizer_path, library):
-    rows = [t for _, t in ODD] + ["   x", "a\n b", "a \n\nb  \t c", "x\u3000y  z", "a\x1c b\x1c\x1c c", "\n\n", "a   b    c\n\n\n  d "] + texts(spark)
+    rows = [t for _, t in ODD] + ["   x", "a\n b", "a \n\nb  \t c", "x\u3000y  z", "a\x1c b\x1c\x1c c", "\n\n", "a   b    c\n\n\n  d ", "<|endoftext|> x", "a  <|endoftext|>b<|endoftext|>\n c", " <|endoftext|>  c", "<|endoftext|"] + texts(spark)
     ids, bounds = encode(pa.array(rows), tokenizer_path, end_id=9)
     for text, a, b in zip(rows, bounds, bounds[1:]):
         assert ids[a:b].tolist() == [*library(text), 9]
@@ -46,7 +46,7 @@ def check_packing(rows, library, found, capacity):
     by_sequence, by_row = {}, {}
     for r in found:
         ids = np.frombuffer(r.ids, "<u4")
-        assert len(ids) == r.length <= capacity
+        assert len(ids) == r.length <= capacity and crc32(r.ids) == r.ids_crc32
         by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
         by_row.setdefault(r.doc_id, []).append((r.piece, r.start, ids.tolist()))
     for places in by_sequence.values():
@@ -68,11 +68,11 @@ def check_packing(rows, library, found, capacity):
 def test_pack_documents(spark, odd, nothing, tokenizer_path, library):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    n = check_packing(rows, library, packing.pack_documents(docs, tokenizer_path).collect(), 1024)
+    n = check_packing(rows, library, packing.pack_documents(docs, tokenizer_path, ids=True).collect(), 1024)
     least = -(-sum(len(library(t)) + 1 for _, t in rows) // 1024)
     assert n <= 1.02 * least + 1
-    assert check_packing(ODD, library, packing.pack_documents(odd, tokenizer_path, 64).collect(), 64)
-    bounded = packing.pack_documents(docs, tokenizer_path, max_documents=2, max_attention=300_000, shard_items=50).collect()
+    assert check_packing(ODD, library, packing.pack_documents(odd, tokenizer_path, 64, ids=True).collect(), 64)
+    bounded = packing.pack_documents(docs, tokenizer_path, max_documents=2, max_attention=300_000, shard_items=50, ids=True).collect()
     check_packing(rows, library, bounded, 1024)
     cost = {}
     for r in bounded:
