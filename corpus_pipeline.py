@@ -37,7 +37,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return packing.pack_documents(docs, TOKENIZER).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack_documents(docs, TOKENIZER)
 
 
 STAGES = [
