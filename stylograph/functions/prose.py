@@ -41,10 +41,15 @@ def has_apostrophe(text: Column) -> Column:
     return text.contains("'") | text.contains("’")
 
 
+def sentence_parts(text: Column) -> Column:
+    """The parts of a text between sentence ends, blank ones too."""
+    marked = F.regexp_replace(F.replace(text, F.lit(SENTENCE_MARK), F.lit(" ")), SENTENCE_BREAK, "$1" + SENTENCE_MARK)
+    return F.split(marked, SENTENCE_MARK)
+
+
 def sentences(text: Column) -> Column:
     """Non-blank sentences of a text, in order."""
-    marked = F.regexp_replace(F.replace(text, F.lit(SENTENCE_MARK), F.lit(" ")), SENTENCE_BREAK, "$1" + SENTENCE_MARK)
-    return F.filter(F.split(marked, SENTENCE_MARK), lambda s: ~is_blank(s))
+    return F.filter(sentence_parts(text), lambda s: ~is_blank(s))
 
 
 def paragraphs(text: Column) -> Column:

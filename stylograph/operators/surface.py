@@ -2,8 +2,8 @@
 
 A work is one row, so everything a measure needs is already in one place. The counts below are
 array expressions over that row: no token is exploded or shuffled, and a corpus of ordinary works
-is one map-only pass. A work too long to be held as word arrays is cut at blank lines; its pieces'
-counts are integers (and a composable quote switch), so merging them is exact in any order.
+is one map-only pass. A work too long to be held as word arrays is cut into pieces at token ends; their
+counts are integers, a composable quote switch and the sizes of sentences that touch a cut, so merging them is exact.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from stylograph.functions.arrays import chained_switch, let, long_sum, quote_switch, term_counts
 from stylograph.functions.lexicons import ARCHAIC_WORDS, FUNCTION_WORDS, PUNCTUATION_GROUPS
 from stylograph.functions.prose import CLITIC, MARK, WORD, has_apostrophe, sentences, word_texts
+from stylograph.operators import long_texts
 from stylograph.operators.cleaning import clean_markdown
-from stylograph.operators.pieces import IN_ROW_CHARS, chunks
+from stylograph.operators.pieces import IN_ROW_CHARS
 from stylograph.session import checkpointed, scattered
 
 # Pieces composed per task when a longer work is merged.
@@ -104,19 +105,12 @@ def piece_counts(pieces: DataFrame, counts: Column) -> DataFrame:
 def surface_counts(works: DataFrame, in_row_chars: int = IN_ROW_CHARS, clean: bool = True) -> DataFrame:
     """All counts per ``work_id`` of ``works(work_id, text)``, one row per work.
 
-    Works up to ``in_row_chars`` are finished inside their row. The scan is read a second time for
-    longer ones, but only the length is looked at unless there are any: those are cut into pieces,
-    spread, counted, and merged. The length is taken before cleaning, which only shortens, so the
-    filter stays at the scan.
+    Works up to ``in_row_chars`` are finished inside their row; longer ones, if there are any, are cut into pieces (see
+    ``long_texts``). The length is taken before cleaning, which only shortens, so the filter stays at the scan.
     """
-    works = works.select("work_id", "text")
-    size = F.length("text")
-    short, long = works.where(size <= in_row_chars), works.where(size > in_row_chars)
-    if clean:
-        prose = clean_markdown(F.col("text"))
-        short, long = short.withColumn("text", prose), long.withColumn("text", prose)
-    counts = text_counts(F.col("text"))
-    in_row = piece_counts(short, counts).selectExpr(
+    short, pieces = split_by_length(works, in_row_chars)
+    text = clean_markdown(F.col("text")) if clean else F.col("text")
+    in_row = piece_counts(short.withColumn("text", text), text_counts(F.col("text"))).selectExpr(
         "work_id",
         *ADDITIVE_COUNTS,
         "CAST(size(terms) AS BIGINT) AS n_types",
@@ -124,9 +118,25 @@ def surface_counts(works: DataFrame, in_row_chars: int = IN_ROW_CHARS, clean: bo
         "aggregate(terms, 0L, (s, t) -> s + t.n * t.n) AS sum_sq_types",
         "switch.in0 AS n_quoted",
     )
-    pieces = scattered(chunks(long).withColumnRenamed("chunk_no", "piece_no"), "work_id", "piece_no")
-    # Read twice by the merge, counted once.
-    return in_row.unionByName(merged_counts(checkpointed(piece_counts(pieces, counts))))
+    return in_row if pieces is None else in_row.unionByName(surface_counts_of_pieces(pieces, clean))
+
+
+def split_by_length(works: DataFrame, in_row_chars: int) -> tuple[DataFrame, DataFrame | None]:
+    """Works of up to ``in_row_chars``, and the pieces of longer ones, or nothing if there are none."""
+    works = works.select("work_id", "text")
+    size = F.length("text")
+    long = works.where(size > in_row_chars)
+    return works.where(size <= in_row_chars), None if long.isEmpty() else long_texts.in_pieces(long, min(in_row_chars, long_texts.PIECE_CHARS))
+
+
+def surface_counts_of_pieces(pieces: DataFrame, clean: bool = True) -> DataFrame:
+    """As ``surface_counts``, for works given as ``pieces(work_id, piece_no, text)`` cut at any character: counted where they
+    lie, merged by integer sums, the quote switch, and the sentences that touch a cut."""
+    pieces = long_texts.cleaned_pieces(pieces) if clean else pieces
+    pieces = scattered(long_texts.moved_cuts(pieces, long_texts.AFTER_TOKEN), "work_id", "piece_no")
+    sizes = let(F.col("text"), lambda text: long_texts.part_sizes(_without_clitics(text), WORD))
+    # Read several times by the merge, counted once.
+    return merged_counts(checkpointed(piece_counts(pieces.withColumn("sizes", sizes), text_counts(F.col("text")))))
 
 
 def word_counts(works: DataFrame, clean: bool = True) -> DataFrame:
@@ -139,23 +149,25 @@ def word_counts(works: DataFrame, clean: bool = True) -> DataFrame:
 def type_frequencies(works: DataFrame, in_row_chars: int = IN_ROW_CHARS, clean: bool = True) -> DataFrame:
     """Occurrences of every lower-cased word: work_id, term, n. Counted in the row; only pieces of
     works above ``in_row_chars`` are added up across rows."""
-    works = works.select("work_id", "text")
-    size = F.length("text")
-    short, long = works.where(size <= in_row_chars), works.where(size > in_row_chars)
-    if clean:
-        prose = clean_markdown(F.col("text"))
-        short, long = short.withColumn("text", prose), long.withColumn("text", prose)
+    short, pieces = split_by_length(works, in_row_chars)
+    in_row = _exploded_terms(short.withColumn("text", clean_markdown(F.col("text"))) if clean else short)
+    return in_row if pieces is None else in_row.unionByName(type_frequencies_of_pieces(pieces, clean))
+
+
+def _exploded_terms(texts: DataFrame) -> DataFrame:
     terms = let(F.col("text"), lambda text: term_counts(_lower(word_texts(_without_clitics(text)))))
+    return texts.select("work_id", F.explode(terms).alias("t")).select("work_id", "t.term", "t.n")
 
-    def exploded(df: DataFrame) -> DataFrame:
-        return df.select("work_id", F.explode(terms).alias("t")).select("work_id", "t.term", "t.n")
 
-    pieces = exploded(scattered(chunks(long), "work_id", "chunk_no"))
-    return exploded(short).unionByName(pieces.groupBy("work_id", "term").agg(F.sum("n").alias("n")))
+def type_frequencies_of_pieces(pieces: DataFrame, clean: bool = True) -> DataFrame:
+    """As ``type_frequencies``, for works given as pieces cut at any character."""
+    pieces = long_texts.cleaned_pieces(pieces) if clean else pieces
+    pieces = scattered(long_texts.moved_cuts(pieces, long_texts.AFTER_TOKEN), "work_id", "piece_no")
+    return _exploded_terms(pieces).groupBy("work_id", "term").agg(F.sum("n").alias("n"))
 
 
 def merged_counts(pieces: DataFrame) -> DataFrame:
-    """Counts per work from counted pieces ``(work_id, piece_no, ..., terms, switch)``.
+    """Counts per work from counted pieces ``(work_id, piece_no, ..., terms, switch, sizes)``.
 
     First per (work, block of consecutive pieces), then per work: a work holding most of the corpus
     is spread over its blocks, and what reaches its last task is one row per block.
@@ -174,6 +186,8 @@ def merged_counts(pieces: DataFrame) -> DataFrame:
     richness = term_richness(
         pieces.select("work_id", F.explode("terms").alias("t")).select("work_id", "t.term", "t.n")
     )
+    sums = long_texts.sentence_sums(pieces.select("work_id", "piece_no", "sizes"))  # a sentence may lie in several pieces
+    counts = counts.drop("n_sentences", "sum_sq_sentence_words").join(sums, "work_id")
     return counts.join(richness, "work_id", "left").selectExpr(
         "work_id", *ADDITIVE_COUNTS, *(f"coalesce({c}, 0L) AS {c}" for c in RICHNESS_COUNTS), "switch.in0 AS n_quoted"
     )

@@ -18,9 +18,11 @@ from pyspark.sql import types as T
 
 from stylograph.functions.lexicons import STOP_WORDS
 from stylograph.functions.prose import sentences, token_texts
+from stylograph.operators import long_texts
 from stylograph.operators.cleaning import clean_markdown
 from stylograph.operators.pieces import IN_ROW_CHARS, MAX_CHUNK_CHARS, chunks
-from stylograph.session import checkpointed, lookup, scattered
+from stylograph.operators.surface import split_by_length
+from stylograph.session import checkpointed, lookup
 
 TOKEN_SCHEMA = T.StructType(
     [
@@ -53,19 +55,15 @@ CHUNKS_PER_BLOCK = 4096
 def sentence_rows(works: DataFrame, clean: bool = True, in_row_chars: int = IN_ROW_CHARS) -> DataFrame:
     """One row per sentence of ``works(work_id, text)``: work_id, sent_no, text.
 
-    Sentences stay where their work was read; those of works above ``in_row_chars`` are spread, so
-    that whatever is done with them next is not left to one task.
+    Sentences stay where their work was read; works above ``in_row_chars`` are cut at sentence ends and spread.
     """
     prose = clean_markdown(F.col("text")) if clean else F.col("text")
-    size = F.length("text")
-
-    def split(some: DataFrame) -> DataFrame:
-        rows = some.select("work_id", F.posexplode(sentences(prose)).alias("position", "text"))
-        return rows.select("work_id", (F.col("position") + 1).alias("sent_no"), "text")
-
-    return split(works.where(size <= in_row_chars)).unionByName(
-        scattered(split(works.where(size > in_row_chars)), "work_id", "sent_no")
-    )
+    short, pieces = split_by_length(works, in_row_chars)
+    rows = short.select("work_id", F.posexplode(sentences(prose)).alias("position", "text"))
+    rows = rows.select("work_id", (F.col("position") + 1).alias("sent_no"), "text")
+    if pieces is None:
+        return rows
+    return rows.unionByName(long_texts.numbered_sentences(long_texts.cleaned_pieces(pieces) if clean else pieces))
 
 
 def is_word(text: Column) -> Column:
@@ -76,8 +74,27 @@ def is_mark(text: Column) -> Column:
     return text.rlike(r"^\p{P}+$")
 
 
-def tokenize(works: DataFrame, clean: bool = True) -> DataFrame:
-    """Flat surface tokens of ``works(work_id, text)``. Narrow: each work numbers its own tokens."""
+def tokenize(works: DataFrame, clean: bool = True, in_row_chars: int = IN_ROW_CHARS) -> DataFrame:
+    """Flat surface tokens of ``works(work_id, text)``. Narrow: each work numbers its own tokens; works above ``in_row_chars``
+    are numbered in pieces."""
+    short, pieces = split_by_length(works, in_row_chars)
+    tokens = _with_surface_columns(_numbered_in_row(short, clean))
+    return tokens if pieces is None else tokens.unionByName(tokenize_pieces(pieces, clean))
+
+
+def tokenize_pieces(pieces: DataFrame, clean: bool = True) -> DataFrame:
+    """As ``tokenize``, for works given as ``pieces(work_id, piece_no, text)`` cut at any character."""
+    return _with_surface_columns(long_texts.numbered_tokens(long_texts.cleaned_pieces(pieces) if clean else pieces))
+
+
+def _with_surface_columns(tokens: DataFrame) -> DataFrame:
+    text = F.col("text")
+    return tokens.select(
+        "work_id", "sent_no", "tok_no", "text", F.lower(text).alias("lower"), "sent_tok_no", is_word(text).alias("is_alpha"), is_mark(text).alias("is_punct")
+    )
+
+
+def _numbered_in_row(works: DataFrame, clean: bool) -> DataFrame:
     prose = clean_markdown(F.col("text")) if clean else F.col("text")
 
     def numbered(sentence: Column, s: Column) -> Column:
@@ -89,17 +106,7 @@ def tokenize(works: DataFrame, clean: bool = True) -> DataFrame:
     rows = works.select(
         "work_id", F.posexplode(F.flatten(F.transform(sentences(prose), numbered))).alias("position", "t")
     )
-    text = F.col("t.text")
-    return rows.select(
-        "work_id",
-        F.col("t.sent_no").alias("sent_no"),
-        (F.col("position") + 1).cast("bigint").alias("tok_no"),
-        text.alias("text"),
-        F.lower(text).alias("lower"),
-        F.col("t.sent_tok_no").alias("sent_tok_no"),
-        is_word(text).alias("is_alpha"),
-        is_mark(text).alias("is_punct"),
-    )
+    return rows.select("work_id", "t.sent_no", (F.col("position") + 1).cast("bigint").alias("tok_no"), "t.sent_tok_no", "t.text")
 
 
 # Suffix rules, first match wins: (ending, least length of the word, part of speech).

@@ -1,12 +1,24 @@
-"""Works from text files: one file, or a folder of chapters in numeric order."""
+"""Works from text files: one file, or a folder of chapters in numeric order.
+
+``read_pieces`` reads files by byte ranges into ordered rows, however large a file or a work is; ``read_files`` and ``assemble``
+give whole texts for those who need them in a row.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from stylograph.operators.long_texts import PIECE_CHARS
 from stylograph.operators.pieces import GLUE
-from stylograph.session import lookup
+from stylograph.session import checkpointed, lookup
 
 
 def chapter_number(name: Column) -> Column:
@@ -17,27 +29,115 @@ def chapter_number(name: Column) -> Column:
 def read_files(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     """Text files below ``root``, one row each: path (relative), folder, name, text."""
     files = spark.read.text(root, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
-    full = F.regexp_replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), r"^[a-z0-9]+:/+", "/")
-    base = root.rstrip("/").split("://")[-1]
-    relative = F.substring(full, F.lit(len(base) + 2), F.length(full))
-    return (
-        files.select("*", "_metadata.file_path", F.col("_metadata.file_name").alias("_name"))
-        .withColumn("path", relative)
-        .select(
-            "path",
-            F.regexp_replace("path", r"/?[^/]*$", "").alias("folder"),
-            F.regexp_extract("path", r"[^/]*$", 0).alias("name"),
-            F.col("value").alias("text"),
-        )
+    return files.select(F.col("value").alias("text"), _below(root, "_metadata.file_path").alias("path")).select(*_named(), "text")
+
+
+def _below(root: str, path: str) -> Column:
+    """A file's path relative to ``root``."""
+    full = F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), r"^[a-z0-9]+:/+", "/")
+    base = re.sub(r"^[a-z0-9]+:/+", "/", root.rstrip("/"))
+    return F.substring(full, F.lit(len(base) + 2), F.length(full))
+
+
+def _named() -> tuple[Column | str, ...]:
+    return "path", F.regexp_replace("path", r"/?[^/]*$", "").alias("folder"), F.regexp_extract("path", r"[^/]*$", 0).alias("name")
+
+
+def file_list(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
+    """The files below ``root``, empty ones too, without reading them: path, folder, name, bytes."""
+    files = spark.read.format("binaryFile").options(pathGlobFilter=pattern, recursiveFileLookup=True).load(root)
+    return files.select(_below(root, "path").alias("path"), F.col("length").alias("bytes")).select(*_named(), "bytes")
+
+
+def file_pieces(spark: SparkSession, root: str, pattern: str = "*.md", chars: int = PIECE_CHARS) -> DataFrame:
+    """The texts below ``root`` in rows of about ``chars`` characters: path, start (of the byte range a task read), part, text.
+
+    Spark splits files into byte ranges at line ends and each task joins its lines again, so a file is read by many tasks. A
+    single line is read whole. A line end that the last line lacks is taken off by ``read_pieces``."""
+    lines = spark.read.text(root, lineSep="\n", pathGlobFilter=pattern, recursiveFileLookup=True)
+    lines = lines.select(_below(root, "_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+    schema = StructType().add("path", "string").add("start", "long").add("part", "long").add("text", "string")
+    arrow = to_arrow_schema(schema)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, part, held, size = None, 0, [], 0
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"path": place[0], "start": place[1], "part": part, "text": "".join(held)}], arrow)
+
+        for batch in batches:
+            for path, start, line in zip(*(batch[c].to_pylist() for c in ("path", "start", "value"))):
+                if held and (place != (path, start) or size >= chars):
+                    yield row()
+                    part, held, size = part + 1, [], 0
+                if place != (path, start):
+                    place, part = (path, start), 0
+                line += "\n"
+                while size + len(line) > 2 * chars:
+                    held.append(line[: chars - min(size, chars - 1)])
+                    line = line[len(held[-1]) :]
+                    yield row()
+                    part, held, size = part + 1, [], 0
+                held.append(line)
+                size += len(line)
+        if held:
+            yield row()
+
+    return lines.mapInArrow(joined, schema)
+
+
+def read_pieces(spark: SparkSession, root: str, manifest: DataFrame, pattern: str = "*.md", chars: int = PIECE_CHARS) -> DataFrame:
+    """The works of ``manifest(work_id, path)`` as ordered pieces (work_id, piece_no, text): the file at a work's path, or those directly
+    in the folder at its path, in numeric order, then by name, joined by a blank line. Joined in order, the pieces are the
+    work's text; no row holds more than a few times ``chars`` characters, and only rows of numbers are put in order."""
+    texts = checkpointed(file_pieces(spark, root, pattern, chars).withColumn("bytes", F.octet_length("text")))
+    files = file_list(spark, root, pattern)
+    by_number = Window.partitionBy("work_id").orderBy(chapter_number(F.col("name")), "name")
+    ranked = placed_files(files, manifest).withColumn("chapter", F.row_number().over(by_number))
+    spoken = texts.groupBy("path").agg(F.sum("bytes").alias("read"), F.max(F.struct("start", "part")).alias("last"))
+    ranked = ranked.join(spoken, "path", "left")
+    parts = ranked.join(texts.select("path", "start", "part"), "path", "left")
+    in_work = Window.partitionBy("work_id").orderBy("chapter", "start", "part")
+    here = F.struct("start", "part")
+    numbered = parts.select(
+        "work_id", "path", "start", "part", (F.row_number().over(in_work) - 1).cast("long").alias("piece_no"),
+        ((F.col("chapter") > 1) & (F.col("start").isNull() | ((F.col("start") == 0) & (F.col("part") == 0)))).alias("joins"),
+        ((F.col("read") > F.col("bytes")) & (here == F.col("last"))).alias("unended"),
+    )
+    text = F.coalesce("text", F.lit(""))
+    text = F.when(F.col("unended"), F.expr("left(coalesce(text, ''), length(text) - 1)")).otherwise(text)
+    return numbered.join(texts.drop("bytes"), ["path", "start", "part"], "left").select(
+        "work_id", "piece_no", F.concat(F.when(F.col("joins"), GLUE).otherwise(""), text).alias("text")
     )
 
 
+def write_files(rows: DataFrame, root: str) -> int:
+    """Write ``rows(path, text)`` as one file each below ``root``, a folder all executors share; a file that is there is replaced."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(f"file://{root}" if root.startswith("/") else root)
+        for batch in batches:
+            for path, text in zip(batch["path"].to_pylist(), batch["text"].to_pylist()):
+                place = f"{base.rstrip('/')}/{path}"
+                store.create_dir(place.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(place, compression=None) as sink:
+                    sink.write((text or "").encode())
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    return rows.select("path", "text").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def chapters(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """The files of every work of ``manifest(work_id, path)``: the file at its path, or those
     directly in the folder at its path. Columns work_id, name, text."""
+    return placed_files(files, manifest).select("work_id", "name", "text")
+
+
+def placed_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``files(path, folder, name, ...)`` with the works they belong to."""
     places = lookup(manifest.select("work_id", F.rtrim("path", F.lit("/")).alias("place")))
     placed = files.select("*", F.explode(F.array_distinct(F.array("path", "folder"))).alias("place"))
-    return placed.join(places, "place").select("work_id", "name", "text")
+    return placed.join(places, "place").drop("place")
 
 
 def assemble(chapters: DataFrame) -> DataFrame:

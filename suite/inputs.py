@@ -72,6 +72,37 @@ def marked_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(scan, "work_id")
 
 
+#: Markup that is opened in one document and closed in a later one, by number: before and after the text.
+OPEN_SAMPLES = (
+    ("", " [words of"), ("a link](an address, ", " long) **bold"), ("words** ", " ![a picture"), ("of it](pic", "ture.png) `code\n"), ("more` \n# A heading of ", " "),
+    ("many words\n", " *one line"), ("of words* “", " never [closed"), ("brackets] (here)” ", "\n\n\n"), ("\n---\n", " __under"), ("lined__ ", " end."),
+)
+
+
+def source_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source is a work, a document one of its pieces; markup runs from piece to piece, and no blank line parts them."""
+    pairs = F.array(*(F.struct(F.lit(before).alias("before"), F.lit(after).alias("after")) for before, after in OPEN_SAMPLES))
+    sample = F.get(pairs, (F.col("doc_id") % len(OPEN_SAMPLES)).cast("int"))
+    return table(spark, sf_dir, "documents").select(
+        F.col("source").alias("work_id"), F.col("doc_id").alias("piece_no"), F.concat(sample["before"], "text", sample["after"]).alias("text")
+    )
+
+
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with markup, a file each, and the conversations, a folder of chapters each: path, text."""
+    single = marked_works(spark, sf_dir).select(F.concat(F.lit("works/"), "work_id", F.lit(".md")).alias("path"), "text")
+    folders = chapters(spark, sf_dir).select(F.concat(F.lit("talks/"), "work_id", F.lit("/"), "name").alias("path"), "text")
+    return single.unionByName(folders)
+
+
+def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("n"))
+    talks = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("n")).distinct()
+    return documents.select(F.concat(F.lit("d"), "n").alias("work_id"), F.concat(F.lit("works/"), "n", F.lit(".md")).alias("path")).unionByName(
+        talks.select(F.concat(F.lit("c"), "n").alias("work_id"), F.concat(F.lit("talks/"), "n").alias("path"))
+    )
+
+
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation is a work, a turn a chapter file; the numbers pass 9, where their order is not that of their names."""
     name = F.concat(F.lit("Chapter-"), (F.col("turn") * 4).cast("string"), F.lit(".md"))

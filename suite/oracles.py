@@ -14,8 +14,9 @@ from stylograph.functions.lexicons import (
     SENTENCE_KINDS,
     STOP_WORDS,
 )
+from stylograph.operators.measures import SURFACE
 from stylograph.operators.tokens import LEMMA_ENDINGS, POS_ENDINGS
-from suite.inputs import CONTRACTIONS, MARKUP_SAMPLES, PAGE_MARKS
+from suite.inputs import CONTRACTIONS, MARKUP_SAMPLES, OPEN_SAMPLES, PAGE_MARKS
 from suite.queries import BANDS, CHOSEN_METRICS, CHUNK_CHARS, SUSPECT
 
 BLANK = r"[\s\x0B\x1C-\x1F\x{85}\pZ]"
@@ -41,11 +42,15 @@ def _quoted(text: str) -> str:
     return " || ".join(f"chr({ord(c)})" if c in "\r\n\t'" else f"'{c}'" for c in text) or "''"
 
 
-MARKED = (
-    "SELECT CAST(doc_id AS VARCHAR) AS work_id, CASE doc_id % " + str(len(MARKUP_SAMPLES)) + " "
-    + " ".join(f"WHEN {n} THEN {_quoted(before)} || text || {_quoted(after)}" for n, (before, after) in enumerate(MARKUP_SAMPLES))
-    + " END AS text FROM documents"
-)
+def between(samples) -> str:
+    """The text between the before and after of the sample its number picks."""
+    cases = " ".join(f"WHEN {n} THEN {_quoted(before)} || text || {_quoted(after)}" for n, (before, after) in enumerate(samples))
+    return f"CASE doc_id % {len(samples)} {cases} END"
+
+
+MARKED = f"SELECT CAST(doc_id AS VARCHAR) AS work_id, {between(MARKUP_SAMPLES)} AS text FROM documents"
+SOURCES = f"SELECT source AS work_id, string_agg({between(OPEN_SAMPLES)}, '' ORDER BY doc_id) AS text FROM documents GROUP BY source"
+TALKS = "SELECT CAST(conv_id AS VARCHAR) AS work_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id"
 PAGES = f"SELECT CAST(page_id AS VARCHAR) AS work_id, {replaced('html', PAGE_MARKS)} AS text FROM pages"
 BENCHMARK = "SELECT CAST(item_id AS VARCHAR) AS work_id, text FROM benchmark"
 
@@ -332,7 +337,24 @@ def spread_over(columns) -> str:
 
 ORACLES = {
     "clean_documents": f"SELECT work_id, md5(text) AS digest, length(text) AS n_chars FROM (SELECT work_id, {cleaned('text')} AS text FROM ({MARKED}))",
-    "assemble_chapters": "SELECT CAST(conv_id AS VARCHAR) AS work_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
+    "clean_long_works": f"SELECT work_id, md5(text) AS digest, length(text) AS n_chars FROM (SELECT work_id, {cleaned('text')} AS text FROM ({SOURCES}))",
+    "assemble_chapters": TALKS,
+    "files_to_works": f"""SELECT work_id, md5(text) AS digest, length(text) AS n_chars
+      FROM (SELECT 'd' || work_id AS work_id, text FROM ({MARKED}) UNION ALL SELECT 'c' || work_id, text FROM ({TALKS}))""",
+    "long_work_tokens": query(
+        tokens(SOURCES),
+        select="SELECT work_id, sent_no, count(*) AS n_tokens, min(tok_no) AS first_token, max(sent_tok_no) AS last_in_sentence, "
+        "md5(string_agg(text, ' ' ORDER BY sent_tok_no)) AS digest FROM tok GROUP BY work_id, sent_no",
+    ),
+    "long_work_types": query(tokens(SOURCES), TYPES, select="SELECT work_id, term, n FROM types"),
+    "long_work_measures": query(
+        tokens(SOURCES), TYPES, LEXICAL, RHYTHM, PUNCTUATION, CONTRACTIONS, QUOTES,
+        select="SELECT source.work_id, round(yules_k, 6) AS yules_k, round(honore_r, 6) AS honore_r, round(sentence_length_stdev, 6) AS sentence_length_stdev, "
+        "n_clitics / contractions.n_words AS contraction_rate, n_quoted / quoted.n_words AS dialogue_narration_ratio, "
+        + ", ".join(f'"{s}"::DOUBLE AS "{s}"' for s in SURFACE if s not in ("yules_k", "honore_r", "sentence_length_stdev", "contraction_rate", "dialogue_narration_ratio"))
+        + " FROM source JOIN richness USING (work_id) JOIN lexical USING (work_id) JOIN rhythm USING (work_id) JOIN punctuation USING (work_id)"
+        " JOIN contractions USING (work_id) JOIN quoted USING (work_id)",
+    ),
     "split_paragraphs": query(PARAGRAPHS, select="SELECT work_id, CAST(paragraph_no AS INTEGER) AS paragraph_no, md5(text) AS digest FROM paras"),
     "chunk_paragraphs": query(CHUNKS, select="SELECT work_id, chunk_no, length(text) AS n_chars, md5(text) AS digest FROM chunked"),
     "sentence_token_lists": query(

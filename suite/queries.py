@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stylograph.functions.lexicons import ALL_SERIES, PER_WORK_CONCEPTS, SENTENCE_SERIES
-from stylograph.operators import annotated, checks, measures, reshape, surface
+from stylograph.operators import annotated, checks, long_texts, measures, reshape, surface
 from stylograph.operators.cleaning import clean_markdown
 from stylograph.operators.pieces import chunks, paragraph_rows
-from stylograph.operators.tokens import annotate, restore_order, sentence_tokens, tokenize, with_lexical_columns
+from stylograph.operators.tokens import annotate, restore_order, sentence_tokens, tokenize, tokenize_pieces, with_lexical_columns
 from stylograph.operators.zscore import zscore
 from stylograph.plans import models, reports, staging
 from stylograph.session import checkpointed
@@ -22,6 +22,7 @@ from stylograph.sources import landing, seeds, works as work_files
 from suite import inputs
 
 CHUNK_CHARS = 2_000
+PIECE_CHARS = 2_000
 BANDS = (("short-story", 100), ("novella", 400))
 LOADED_AT = datetime(2024, 1, 2, 3, 4, 5)
 SUSPECT = "src3"
@@ -70,6 +71,35 @@ def sentence_token_lists(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def whole_texts(pieces: DataFrame) -> DataFrame:
+    """The pieces of each work joined, for a digest of it."""
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "text"))), lambda p: p["text"])
+    text = pieces.groupBy("work_id").agg(F.array_join(in_order, "").alias("text"))
+    return text.select("work_id", F.md5("text").alias("digest"), F.length("text").cast("bigint").alias("n_chars"))
+
+
+def clean_long_works(spark: SparkSession, sf: str) -> DataFrame:
+    """Works of many rows, cleaned row by row."""
+    return whole_texts(long_texts.cleaned_pieces(inputs.source_pieces(spark, sf)))
+
+
+def files_to_works(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts written as files and folders of chapters, and read back by the manifest in pieces."""
+    root = inputs.scratch(spark)
+    work_files.write_files(inputs.text_files(spark, sf), root)
+    return whole_texts(work_files.read_pieces(spark, root, inputs.file_manifest(spark, sf), chars=PIECE_CHARS))
+
+
+def long_work_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """The sentences of works of many rows, numbered over the whole work."""
+    tokens = tokenize_pieces(inputs.source_pieces(spark, sf))
+    words = F.transform(F.array_sort(F.collect_list(F.struct("sent_tok_no", "text"))), lambda t: t["text"])
+    return tokens.groupBy("work_id", "sent_no").agg(
+        F.count("*").alias("n_tokens"), F.min("tok_no").alias("first_token"), F.max("sent_tok_no").alias("last_in_sentence"),
+        F.md5(F.array_join(words, " ")).alias("digest"),
+    )
+
+
 # --- measures ---------------------------------------------------------------------------------
 
 
@@ -111,6 +141,16 @@ def dialogue_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return measures.measure(counts, measures.STRUCTURAL, "n_words", "n_quoted")
 
 
+def long_work_measures(spark: SparkSession, sf: str) -> DataFrame:
+    """Every surface measure of works of many rows."""
+    wide = measures.measure(surface.surface_counts_of_pieces(inputs.source_pieces(spark, sf)), measures.SURFACE)
+    return rounded(wide, "yules_k", "honore_r", "sentence_length_stdev")
+
+
+def long_work_types(spark: SparkSession, sf: str) -> DataFrame:
+    return surface.type_frequencies_of_pieces(inputs.source_pieces(spark, sf))
+
+
 def labelled_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return sentence_tokens(inputs.works(spark, sf), labels=inputs.RULE_LABELS)
 
@@ -413,7 +453,7 @@ def report_first_page(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        clean_documents, assemble_chapters, split_paragraphs, chunk_paragraphs, sentence_token_lists,
+        clean_documents, clean_long_works, assemble_chapters, files_to_works, long_work_tokens, long_work_measures, long_work_types, split_paragraphs, chunk_paragraphs, sentence_token_lists,
         word_counts, type_frequencies, lexical_metrics, sentence_metrics, punctuation_rates, contraction_rate,
         dialogue_ratio, tree_depth, sentence_types, pos_densities, vocabulary, lexicon_lookup, annotate_chunks,
         tidy_measurements, token_table_measurements, staged_works, staged_measurements, staged_vocab,
