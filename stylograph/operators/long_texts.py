@@ -15,15 +15,17 @@ text that stands for what was opened and one that stands for what closes it, so
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stylograph.functions.arrays import let, long_sum
-from stylograph.functions.prose import BLANK, BLANK_CHARS, is_blank, sentence_parts, sentences, token_texts
+from stylograph.functions.prose import BLANK, BLANK_CHARS, PARAGRAPH_BREAK, is_blank, sentence_parts, sentences, token_texts
 from stylograph.operators.cleaning import MARKUP
 from stylograph.session import checkpointed, scattered
 
@@ -382,3 +384,111 @@ def numbered_sentences(pieces: DataFrame) -> DataFrame:
     )
     rows = split.join(offsets, ["work_id", "piece_no"]).select("work_id", "offset", F.posexplode("found").alias("position", "text"))
     return rows.select("work_id", (F.col("offset") + F.col("position") + 1).cast("int").alias("sent_no"), "text")
+
+
+# --- chunks over many rows ------------------------------------------------------------------------
+
+# A cut after a blank line that is followed by text in the same piece.
+AFTER_PARAGRAPH = r"\n" + BLANK + r"*\n(?=(?:(?!\n)" + BLANK + ")*(?!" + BLANK + r")(?s:.))"
+
+
+def paragraph_arrays(pieces: DataFrame) -> DataFrame:
+    """work_id, piece_no and ``paragraphs``, those that begin in the piece; no paragraph lies in two pieces."""
+    pieces = checkpointed(moved_cuts(pieces, AFTER_PARAGRAPH))
+    last = pieces.groupBy("work_id").agg(F.max("piece_no").alias("last"))
+    parts = F.split("text", PARAGRAPH_BREAK)
+    # Every piece but the last ends with a break.
+    whole = let(parts, lambda p: F.when(F.col("piece_no") < F.col("last"), F.slice(p, 1, F.size(p) - 1)).otherwise(p))
+    return pieces.join(last, "work_id").select("work_id", "piece_no", whole.alias("paragraphs"))
+
+
+def jumps(lengths: Sequence[int], max_chars: int, glue: int) -> list[int | None]:
+    """For a chunk that begins at each paragraph: where the next one begins, None if not in this piece."""
+    ends = list(accumulate(n + glue for n in lengths))  # after each paragraph and its glue
+    out: list[int | None] = []
+    for at in range(len(lengths)):
+        before = ends[at - 1] if at else 0
+        nxt = max(bisect_right(ends, before + max_chars + glue, at), at + 1)
+        out.append(nxt if nxt < len(lengths) else None)
+    return out
+
+
+def chunk_summary(lengths: Sequence[int], max_chars: int, glue: int) -> tuple[list[int], list[int], int]:
+    """What a piece does to the chunk that is open where it begins, of any size: ``limits[j]``, the size up to which the chunk
+    takes all paragraphs up to j in; ``sizes[j]``, the size of the chunk open at the end if one begins at j; and the size of all."""
+    follow, total = jumps(lengths, max_chars, glue), sum(lengths) + glue * len(lengths)
+    ends = list(accumulate(n + glue for n in lengths))
+    sizes = [0] * len(lengths)
+    for at in range(len(lengths) - 1, -1, -1):
+        sizes[at] = total - (ends[at - 1] if at else 0) if follow[at] is None else sizes[follow[at]]
+    limits = [max_chars + glue - end for end in ends]
+    reached = next((j + 1 for j, limit in enumerate(limits) if limit < 0), len(limits))  # no chunk takes more in
+    return limits[:reached], sizes[:reached], total
+
+
+def entered(limits: Sequence[int], size: int) -> int | None:
+    """The paragraph at which a chunk of ``size`` that is open before the piece ends, None if it takes the piece in."""
+    return next((j for j, limit in enumerate(limits) if size > limit), None)
+
+
+def chunk_starts(lengths: Sequence[int], size: int | None, max_chars: int, glue: int) -> list[int]:
+    """The paragraphs at which chunks begin, given the size of the chunk that is open before the piece, None at the start of a work."""
+    if not lengths:
+        return []
+    limits, _, _ = chunk_summary(lengths, max_chars, glue)
+    at = 0 if size is None else entered(limits, size)
+    follow, out = jumps(lengths, max_chars, glue), []
+    while at is not None:
+        out.append(at)
+        at = follow[at]
+    return out
+
+
+def chunks_of_pieces(pieces: DataFrame, max_chars: int, glue: str) -> DataFrame:
+    """Paragraphs packed greedily into chunks, as ``pieces.chunks`` packs a whole text: work_id, chunk_no, text.
+
+    A piece is summarised by the paragraphs at which a chunk open before it may end, and what is then open at its end (jump
+    pointers over its paragraphs, as far as one chunk reaches); summaries are composed in order, so a work is never in one row."""
+    found = checkpointed(paragraph_arrays(pieces))
+    lengths = found.select("work_id", "piece_no", F.transform("paragraphs", lambda p: F.length(p).cast("long")).alias("lengths"))
+
+    def summarised(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [chunk_summary(list(x), max_chars, len(glue)) for x in frame["lengths"]]
+            yield frame[["work_id", "piece_no"]].assign(limits=[r[0] for r in rows], sizes=[r[1] for r in rows], total=[r[2] for r in rows])
+
+    summary = lengths.mapInPandas(summarised, "work_id string, piece_no long, limits array<long>, sizes array<long>, total long")
+
+    def composed(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("piece_no", ignore_index=True)
+        size, sizes = None, []
+        for limits, ends, total in zip(frame["limits"], frame["sizes"], frame["total"]):
+            sizes.append(size)
+            if len(limits):
+                at = 0 if size is None else entered(limits, size)
+                size = size + total if at is None else int(ends[at])
+        return frame[["work_id", "piece_no"]].assign(size=pd.array(sizes, dtype="Int64"))
+
+    sizes = summary.groupBy("work_id").applyInPandas(composed, "work_id string, piece_no long, size long")
+
+    def begun(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            starts = [
+                chunk_starts(list(x), None if pd.isna(size) else int(size), max_chars, len(glue)) for x, size in zip(frame["lengths"], frame["size"])
+            ]
+            yield frame[["work_id", "piece_no"]].assign(starts=starts)
+
+    starts = lengths.join(sizes, ["work_id", "piece_no"]).mapInPandas(begun, "work_id string, piece_no long, starts array<int>")
+    before = Window.partitionBy("work_id").orderBy("piece_no").rowsBetween(Window.unboundedPreceding, -1)
+    starts = checkpointed(starts.select("*", F.coalesce(F.sum(F.size("starts")).over(before), F.lit(0)).alias("base")))
+    opens = F.coalesce(F.get("starts", F.lit(0)) == 0, F.lit(False))
+    firsts = F.when(opens, F.col("starts")).otherwise(F.concat(F.array(F.lit(0)), "starts"))
+    # Parts of chunks in each piece; the first continues the chunk open before it unless one begins there.
+    parts = F.transform("firsts", lambda at, n: F.struct(
+        (F.col("base") + n - F.when(F.col("opens"), 0).otherwise(1)).cast("int").alias("chunk_no"),
+        F.array_join(F.slice("paragraphs", at + 1, F.coalesce(F.get("firsts", n + 1), F.size("paragraphs")) - at), glue).alias("text"),
+    ))
+    rows = found.where(F.size("paragraphs") > 0).join(starts, ["work_id", "piece_no"])
+    rows = rows.withColumn("opens", opens).withColumn("firsts", firsts).select("work_id", "piece_no", F.explode(parts).alias("p"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "p.text"))), lambda p: p["text"])
+    return rows.groupBy("work_id", F.col("p.chunk_no").alias("chunk_no")).agg(F.array_join(in_order, glue).alias("text"))

@@ -139,6 +139,19 @@ def surface_counts_of_pieces(pieces: DataFrame, clean: bool = True) -> DataFrame
     return merged_counts(checkpointed(piece_counts(pieces.withColumn("sizes", sizes), text_counts(F.col("text")))))
 
 
+def sentence_lengths(works: DataFrame, in_row_chars: int = IN_ROW_CHARS, clean: bool = True) -> DataFrame:
+    """Sparse histogram of sentence lengths in words: work_id, length, n. Counted in the row, as type frequencies are."""
+    short, pieces = split_by_length(works, in_row_chars)
+    prose = clean_markdown(F.col("text")) if clean else F.col("text")
+    sizes = let(prose, lambda text: F.transform(sentences(_without_clitics(text)), lambda s: F.regexp_count(s, F.lit(WORD)).cast("long")))
+    rows = short.select("work_id", F.explode(term_counts(sizes)).alias("t")).select("work_id", F.col("t.term").alias("length"), "t.n")
+    if pieces is None:
+        return rows
+    split = long_texts.numbered_sentences(long_texts.cleaned_pieces(pieces) if clean else pieces)
+    length = F.regexp_count(_without_clitics(F.col("text")), F.lit(WORD)).cast("long")
+    return rows.unionByName(split.groupBy("work_id", length.alias("length")).agg(F.count("*").alias("n")))
+
+
 def word_counts(works: DataFrame, clean: bool = True) -> DataFrame:
     """Words per work of ``works(work_id, text)``, one row per work."""
     prose = clean_markdown(F.col("text")) if clean else F.col("text")

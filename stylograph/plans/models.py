@@ -158,6 +158,48 @@ def int_vocab_jaccard(stg_vocab: DataFrame, dim_work: DataFrame, dim_author: Dat
     )
 
 
+# Salts of a term that very many authors use, and how many that is.
+TERM_SALTS, FREQUENT_AUTHORS = 64, 10_000
+
+
+def vocab_cosine(stg_vocab: DataFrame, dim_work: DataFrame, dim_author: DataFrame) -> DataFrame:
+    """Likeness of every other author's vocabulary to the self authors', weighted: author_key, shared_terms, cosine.
+
+    A term weighs how often an author uses it times ln(works / works that hold it), so a term that every work holds weighs
+    nothing. Weights live in one row per term; the rows of a term that very many authors use are dealt over salts, and the term's
+    row is repeated for each, so no term is a task's whole work. An author without any weight has a null cosine."""
+    placed = checkpointed(
+        stg_vocab.select("work_id", "term", "term_count")
+        .join(dim_work.select("work_id", "author_key"), "work_id")
+        .groupBy("author_key", "work_id", "term").agg(F.sum("term_count").alias("n"))
+    )
+    n_works = placed.select("work_id").distinct().count()
+    authors = dim_author.select("author_key", "is_self").distinct()
+    pooled = checkpointed(
+        placed.groupBy("author_key", "term").agg(F.sum("n").alias("n"), F.count("*").alias("works")).join(lookup(authors), "author_key")
+    )
+    terms = pooled.groupBy("term").agg(
+        F.log(F.lit(float(n_works)) / F.sum("works")).alias("idf"), F.coalesce(F.sum(F.when(F.col("is_self"), F.col("n"))), F.lit(0)).alias("mine"),
+        (F.count("*") > FREQUENT_AUTHORS).alias("frequent"),
+    )
+    terms = checkpointed(terms.select("term", "idf", (F.col("mine") * F.col("idf")).alias("my_weight"), "frequent"))
+    my_norm = terms.agg(F.sqrt(F.sum(F.col("my_weight") * F.col("my_weight")))).first()[0]
+    every = F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))
+    salted = terms.withColumn("salt", F.explode(F.when(F.col("frequent"), every).otherwise(F.array(F.lit(0)))))
+    frequent = lookup(terms.where("frequent").select("term", F.lit(True).alias("spread")))
+    others = pooled.where(~F.col("is_self")).join(frequent, "term", "left")
+    others = others.withColumn("salt", F.when(F.col("spread"), F.pmod(F.xxhash64("author_key"), F.lit(TERM_SALTS)).cast("int")).otherwise(0))
+    weighed = others.join(salted, ["term", "salt"]).select(
+        "author_key", (F.col("n") * F.col("idf")).alias("weight"), "my_weight", (F.col("my_weight") != 0).alias("shared")
+    )
+    sums = weighed.groupBy("author_key").agg(
+        F.count_if(F.col("shared") & (F.col("weight") != 0)).alias("shared_terms"),
+        F.sum(F.col("weight") * F.col("my_weight")).alias("dot"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),
+    )
+    norms = F.nullif(F.col("norm") * F.lit(my_norm).cast("double"), F.lit(0.0))
+    return sums.select("author_key", "shared_terms", (F.col("dot") / norms).alias("cosine"))
+
+
 def fact_vocab_overlap(jaccard: DataFrame, dim_author: DataFrame) -> DataFrame:
     """Author pairs (self, other): one for each self author, of whom there are few beside the rows they are paired with."""
     selves = lookup(dim_author.where("is_self").select(F.col("author_key").alias("author_key_a")).distinct())

@@ -88,6 +88,13 @@ def source_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spaced_source_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``source_pieces``, with blank lines for line ends and no markup; a paragraph may run from one piece to the next."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("source").alias("work_id"), F.col("doc_id").alias("piece_no"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")
+    )
+
+
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents with markup, a file each, and the conversations, a folder of chapters each: path, text."""
     single = marked_works(spark, sf_dir).select(F.concat(F.lit("works/"), "work_id", F.lit(".md")).alias("path"), "text")
@@ -133,11 +140,18 @@ def lexical_labels(token) -> dict[str, Column]:
     }
 
 
+#: Words of these lengths stand for heads of subordinate clauses.
+SUBORDINATE_LENGTHS = {11: "advcl", 12: "ccomp", 13: "xcomp", 14: "acl", 15: "relcl", 16: "csubj"}
+
+
 def tree_labels(token) -> dict[str, Column]:
     """Declared labels in place of a parser's: a head by arithmetic on the position. Made up, but the
     same in both engines."""
     position = token["sent_tok_no"]
-    dep = F.when(position == 1, "ROOT").when(F.length(token["text"]) == 11, "advcl").when(token["pos"] == "VERB", "conj")
+    dep = F.when(position == 1, "ROOT")
+    for length, label in SUBORDINATE_LENGTHS.items():
+        dep = dep.when(F.length(token["text"]) == length, label)
+    dep = dep.when(token["pos"] == "VERB", "conj")
     head = F.when(position == 1, 1).when(position % 5 == 0, position - 1).otherwise(F.floor((position + 1) / 2))
     return {"dep": dep.otherwise("dep"), "head_no": head.cast("int")}
 

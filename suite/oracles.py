@@ -6,6 +6,8 @@ two apart. White space is spelled out as in the package.
 
 from __future__ import annotations
 
+import csv
+
 from stylograph.functions.lexicons import (
     ALL_SERIES,
     ARCHAIC_WORDS,
@@ -16,7 +18,9 @@ from stylograph.functions.lexicons import (
 )
 from stylograph.operators.measures import SURFACE
 from stylograph.operators.tokens import LEMMA_ENDINGS, POS_ENDINGS
-from suite.inputs import CONTRACTIONS, MARKUP_SAMPLES, OPEN_SAMPLES, PAGE_MARKS
+from stylograph.plans.warehouse import MART_CHECKS
+from stylograph.sources.seeds import METRICS_FILE
+from suite.inputs import CONTRACTIONS, MARKUP_SAMPLES, OPEN_SAMPLES, PAGE_MARKS, SUBORDINATE_LENGTHS
 from suite.queries import BANDS, CHOSEN_METRICS, CHUNK_CHARS, SUSPECT
 
 BLANK = r"[\s\x0B\x1C-\x1F\x{85}\pZ]"
@@ -50,6 +54,7 @@ def between(samples) -> str:
 
 MARKED = f"SELECT CAST(doc_id AS VARCHAR) AS work_id, {between(MARKUP_SAMPLES)} AS text FROM documents"
 SOURCES = f"SELECT source AS work_id, string_agg({between(OPEN_SAMPLES)}, '' ORDER BY doc_id) AS text FROM documents GROUP BY source"
+SPACED_SOURCES = "SELECT source AS work_id, string_agg(replace(text, chr(10), chr(10) || chr(10)), '' ORDER BY doc_id) AS text FROM documents GROUP BY source"
 TALKS = "SELECT CAST(conv_id AS VARCHAR) AS work_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id"
 PAGES = f"SELECT CAST(page_id AS VARCHAR) AS work_id, {replaced('html', PAGE_MARKS)} AS text FROM pages"
 BENCHMARK = "SELECT CAST(item_id AS VARCHAR) AS work_id, text FROM benchmark"
@@ -132,7 +137,7 @@ LABELS = f"""
 tagged AS (SELECT *, {pos()} AS pos, {lemma()} AS lemma, lower IN ({sql_list(STOP_WORDS)}) AS is_stop FROM tok),
 labelled AS (
   SELECT *,
-    CASE WHEN sent_tok_no = 1 THEN 'ROOT' WHEN length(text) = 11 THEN 'advcl' WHEN pos = 'VERB' THEN 'conj' ELSE 'dep' END AS dep,
+    CASE WHEN sent_tok_no = 1 THEN 'ROOT' {" ".join(f"WHEN length(text) = {n} THEN '{d}'" for n, d in SUBORDINATE_LENGTHS.items())} WHEN pos = 'VERB' THEN 'conj' ELSE 'dep' END AS dep,
     CASE WHEN sent_tok_no = 1 THEN 1 WHEN sent_tok_no % 5 = 0 THEN sent_tok_no - 1 ELSE (sent_tok_no + 1) // 2 END AS head_no
   FROM tagged)"""
 
@@ -300,13 +305,16 @@ dim_work AS (
   SELECT md5(work_id) AS work_key, md5(author) AS author_key, work_id, title, word_count, {band("word_count")} AS prose_type
   FROM catalogue LEFT JOIN measured USING (work_id))"""
 
-PARAGRAPHS = rf"""
-source AS ({SPACED}),
+def paragraphs(source: str) -> str:
+    return rf"""
+source AS ({source}),
 parts AS (SELECT work_id, regexp_split_to_array(text, '\n{BLANK}*\n') AS parts FROM source),
 paras AS (SELECT work_id, unnest(parts) AS text, generate_subscripts(parts, 1) - 1 AS paragraph_no FROM parts)"""
 
+
+PARAGRAPHS = paragraphs(SPACED)
 # One paragraph after the other: (chunk, size) carried along.
-CHUNKS = PARAGRAPHS + f""",
+PACKED = f""",
 packed AS (
   SELECT work_id, paragraph_no, text, 0 AS chunk_no, length(text) + 2 AS size FROM paras WHERE paragraph_no = 0
   UNION ALL
@@ -318,6 +326,8 @@ chunked AS (
   SELECT work_id, CAST(chunk_no AS INTEGER) AS chunk_no, string_agg(text, chr(10) || chr(10) ORDER BY paragraph_no) AS text
   FROM packed GROUP BY ALL)"""
 
+CHUNKS = PARAGRAPHS + PACKED
+
 BRANDS = """
 brands AS (
   SELECT p_brand AS metric_name, max(p_type) AS display_name, min(p_type) AS category, CAST(max(p_size) AS VARCHAR) AS unit
@@ -335,6 +345,61 @@ def spread_over(columns) -> str:
     return ", ".join(f'coalesce("{c}", 0.0) AS "{c}"' for c in columns)
 
 
+# The pooled texts of every group, a row per work and level.
+GROUPS = """
+documented AS (SELECT CAST(doc_id AS VARCHAR) AS work_id, source AS author, lang FROM documents),
+groups AS (
+  SELECT work_id, 'work' AS level, work_id AS key FROM documented UNION ALL SELECT work_id, 'author', author FROM documented
+  UNION ALL SELECT work_id, 'language', lang FROM documented UNION ALL SELECT work_id, 'total', '' FROM documented)"""
+POOLED = f"""
+members AS (SELECT level, key, count(*) AS n_works FROM groups GROUP BY ALL),
+by_word AS (
+  SELECT level, key, count(*) AS big_n, sum(length(text)) AS letters, count_if(lower IN ({sql_list(ARCHAIC_WORDS)})) AS archaic
+  FROM tok JOIN groups USING (work_id) WHERE is_alpha GROUP BY ALL),
+by_term AS (SELECT level, key, lower, count(*) AS n FROM tok JOIN groups USING (work_id) WHERE is_alpha GROUP BY ALL),
+by_type AS (SELECT level, key, CAST(sum(n * n) AS BIGINT) AS s2, count(*) AS v, count_if(n = 1) AS v1 FROM by_term GROUP BY ALL),
+by_sentence AS (SELECT level, key, avg(n) AS mean, CASE WHEN count(*) > 1 THEN stddev_pop(n) ELSE 0.0 END AS dev FROM lengths JOIN groups USING (work_id) GROUP BY ALL)"""
+
+# The marts with the faults of the query, and what each check finds in them.
+with open(METRICS_FILE, encoding="utf-8", newline="") as _file:
+    SEED_METRICS = ", ".join(f"('{r['metric_name']}', '{r['additivity']}')" for r in csv.DictReader(_file))
+FAULTY = f"""
+t_dim_metric AS (SELECT md5(name) AS metric_key, additivity FROM (VALUES {SEED_METRICS}) m(name, additivity)),
+t_dim_author AS (SELECT DISTINCT md5(author) AS author_key FROM catalogue WHERE author <> '{SUSPECT}'),
+t_dim_work AS (
+  SELECT md5(work_id) AS work_key, md5(author) AS author_key, CASE WHEN title NOT LIKE '%3' THEN coalesce(n_words, 0) END AS word_count,
+    CASE WHEN title LIKE '%7' THEN 'poem' WHEN n_words >= 40000 THEN 'novel' WHEN n_words >= 10000 THEN 'novella' ELSE 'short-story' END AS prose_type
+  FROM catalogue LEFT JOIN words USING (work_id)),
+t_fact_style_measurement AS MATERIALIZED (
+  SELECT * FROM fact WHERE NOT (author_key = md5('{SUSPECT}') AND metric_name = 'contraction_rate')
+  UNION ALL SELECT * FROM fact WHERE metric_name = 'yules_k' AND NOT (author_key = md5('{SUSPECT}') AND metric_name = 'contraction_rate')),
+t_int_measurements_normalized AS (
+  SELECT CASE WHEN metric_name = 'yules_k' THEN 'lost' WHEN metric_name <> 'honore_r' THEN metric_key END AS metric_key FROM normalized),
+t_int_vocab_jaccard AS (SELECT author_key, jaccard + CASE WHEN author_key < '8' THEN 1 ELSE 0 END AS jaccard FROM overlap),
+t_fact_vocab_overlap AS (
+  SELECT md5(md5('src0') || chr(31) || author_key) AS overlap_key, md5('src0') AS author_key_a, author_key AS author_key_b, jaccard FROM overlap),
+t_mart_work_fingerprint AS (SELECT md5(work_id) AS work_key, md5(author) AS author_key FROM catalogue)"""
+
+
+def violations(kind: str, table: str, column: str, arguments: tuple) -> str:
+    """SQL that counts what a check finds."""
+    table = f"t_{table}"
+    if kind == "not_null":
+        found = f"SELECT count(*) FROM {table} WHERE {column} IS NULL"
+    elif kind == "unique":
+        found = f"SELECT count(*) FROM (SELECT {column} FROM {table} WHERE {column} IS NOT NULL GROUP BY 1 HAVING count(*) > 1)"
+    elif kind == "accepted_values":
+        found = f"SELECT count(DISTINCT {column}) FROM {table} WHERE {column} NOT IN ({sql_list(arguments[0])})"
+    elif kind == "accepted_range":
+        found = f"SELECT count(*) FROM {table} WHERE NOT {column} BETWEEN {arguments[0]} AND {arguments[1]}"
+    elif kind == "relationships":
+        parent, field = arguments
+        found = f"SELECT count(DISTINCT {column}) FROM {table} WHERE {column} NOT IN (SELECT {field} FROM t_{parent})"
+    else:
+        found = f"SELECT count(*) FROM (SELECT {column} FROM {table} GROUP BY 1 HAVING count(DISTINCT {arguments[0]}) <> {arguments[1]})"
+    return f"SELECT '{kind}' AS kind, '{table[2:]}' AS table_name, '{column}' AS column_name, ({found}) AS violations"
+
+
 ORACLES = {
     "clean_documents": f"SELECT work_id, md5(text) AS digest, length(text) AS n_chars FROM (SELECT work_id, {cleaned('text')} AS text FROM ({MARKED}))",
     "clean_long_works": f"SELECT work_id, md5(text) AS digest, length(text) AS n_chars FROM (SELECT work_id, {cleaned('text')} AS text FROM ({SOURCES}))",
@@ -357,6 +422,9 @@ ORACLES = {
     ),
     "split_paragraphs": query(PARAGRAPHS, select="SELECT work_id, CAST(paragraph_no AS INTEGER) AS paragraph_no, md5(text) AS digest FROM paras"),
     "chunk_paragraphs": query(CHUNKS, select="SELECT work_id, chunk_no, length(text) AS n_chars, md5(text) AS digest FROM chunked"),
+    "chunk_long_works": query(
+        paragraphs(SPACED_SOURCES) + PACKED, select="SELECT work_id, chunk_no, length(text) AS n_chars, md5(text) AS digest FROM chunked"
+    ),
     "sentence_token_lists": query(
         tokens(),
         select=f"SELECT work_id, sent_no, count(*) AS n_tokens, {number('is_alpha')} AS n_words, {number('is_punct')} AS n_marks, "
@@ -384,6 +452,14 @@ ORACLES = {
         select="SELECT source.work_id, coalesce(n_words, 0) AS n_words, coalesce(n_clitics, 0) AS n_clitics, "
         "coalesce(n_clitics / nullif(n_words, 0), 0.0) AS contraction_rate FROM source LEFT JOIN contractions USING (work_id)",
     ),
+    "tagged_contractions": query(
+        tokens(CONTRACTED),
+        "tagged AS (SELECT *, lower IN ('''s', '’s') AND tok_no % 2 = 0 AS possessive, replace(lower, '’', '''') AS clitic FROM tok)",
+        select="""SELECT work_id, CAST(count_if(is_alpha) AS BIGINT) AS n_words,
+          CAST(count_if(clitic IN ('n''t', '''re', '''ve', '''ll', '''m', '''d') OR (clitic = '''s' AND NOT possessive)) AS BIGINT) AS n_clitics,
+          coalesce(count_if(clitic IN ('n''t', '''re', '''ve', '''ll', '''m', '''d') OR (clitic = '''s' AND NOT possessive)) / nullif(count_if(is_alpha), 0), 0.0) AS contraction_rate
+          FROM tagged GROUP BY work_id""",
+    ),
     "dialogue_ratio": query(
         tokens(PAGES, clean=False), QUOTES,
         select="SELECT source.work_id, coalesce(n_words, 0) AS n_words, coalesce(n_quoted, 0) AS n_quoted, "
@@ -456,6 +532,50 @@ FROM tok GROUP BY work_id""",
         *WHOLE, MART,
         select="SELECT work_key, work_id, title, author_key, author, " + ", ".join(f'round("{s}", 6) AS "{s}"' for s in ALL_SERIES) + " FROM mart",
     ),
+    "vocab_cosine": query(
+        tokens(), LABELS, VOCABULARY, CATALOGUE, """
+held AS (
+  SELECT work_id, author, term, term_count FROM (SELECT * FROM vocab UNION ALL SELECT work_id, 'everywhere', 3 FROM source) JOIN catalogue USING (work_id)),
+idfs AS (SELECT term, ln((SELECT count(DISTINCT work_id) FROM held)::DOUBLE / count(DISTINCT work_id)) AS idf FROM held GROUP BY term),
+weights AS (SELECT author, term, sum(term_count) * any_value(idf) AS w FROM held JOIN idfs USING (term) GROUP BY ALL),
+mine AS (SELECT term, w FROM weights WHERE author = 'src0')""",
+        select="""SELECT md5(o.author) AS author_key, CAST(count_if(o.w <> 0 AND m.w <> 0) AS BIGINT) AS shared_terms,
+          round(sum(o.w * m.w) / nullif(sqrt(sum(o.w * o.w)) * (SELECT sqrt(sum(w * w)) FROM mine), 0), 6) AS cosine
+          FROM weights o LEFT JOIN mine m USING (term) WHERE o.author <> 'src0' GROUP BY o.author""",
+    ),
+    "pooled_levels": query(
+        tokens(), RHYTHM, GROUPS, POOLED,
+        select="""SELECT level, key, n_works, round(coalesce(letters / big_n, 0.0), 6) AS mean_word_length, round(coalesce(archaic / big_n, 0.0), 6) AS archaic_word_rate,
+          round(coalesce(10000.0::DOUBLE * (s2 - big_n) / (big_n::DOUBLE * big_n), 0.0), 6) AS yules_k,
+          round(CASE WHEN v1 < v THEN 100.0::DOUBLE * ln(big_n) / (1 - v1 / v) ELSE 0.0 END, 6) AS honore_r,
+          round(coalesce(mean, 0.0), 6) AS mean_sentence_length, round(coalesce(dev, 0.0), 6) AS sentence_length_stdev
+          FROM members LEFT JOIN by_word USING (level, key) LEFT JOIN by_type USING (level, key) LEFT JOIN by_sentence USING (level, key)""",
+    ),
+    "sentence_histogram": query(
+        tokens(), RHYTHM, GROUPS,
+        "sized AS (SELECT author, n, CAST(n // 5 * 5 AS BIGINT) AS bucket FROM lengths JOIN documented USING (work_id))",
+        "spans AS (SELECT author, unnest(range(0, max(bucket) + 5, 5)) AS bucket FROM sized GROUP BY author)",
+        select="SELECT s.author, CAST(s.bucket AS BIGINT) AS bucket, count(n) AS n FROM spans s LEFT JOIN sized z ON z.author = s.author AND z.bucket = s.bucket GROUP BY 1, 2",
+    ),
+    "sentence_quantiles": query(
+        tokens(), RHYTHM, GROUPS,
+        "sorted AS (SELECT author, list(n ORDER BY n) AS l FROM lengths JOIN documented USING (work_id) GROUP BY author)",
+        select="SELECT author, len(l) AS n_sentences, CAST(l[ceil(len(l) * 0.1)::INTEGER] AS BIGINT) AS q10, CAST(l[ceil(len(l) * 0.5)::INTEGER] AS BIGINT) AS median, "
+        "CAST(l[ceil(len(l) * 0.9)::INTEGER] AS BIGINT) AS q90, CAST(l[len(l)] AS BIGINT) AS longest FROM sorted",
+    ),
+    "mart_check_counts": query(
+        *WHOLE, WORDS, VOCABULARY, JACCARD, FAULTY, select=" UNION ALL ".join(violations(c.kind, c.table, c.column, c.arguments) for c in MART_CHECKS)
+    ),
+    "appended_scores": query(
+        *ALL_PARTS, TIDY, "loaded AS (SELECT work_id, metric, CASE WHEN work_id::BIGINT % 30 = 0 THEN value * 2 ELSE value END AS value FROM tidy)",
+        select=f"""SELECT work_id, metric, {ROUNDED}, round((round(value, 9) - avg(round(value, 9)) OVER w) / nullif(stddev_pop(round(value, 9)) OVER w, 0), 6) AS zscore
+          FROM loaded WINDOW w AS (PARTITION BY metric)""",
+    ),
+    "appended_terms": query(
+        tokens(), LABELS, VOCABULARY, CATALOGUE,
+        select="SELECT author, term, count(*) AS n_works, CAST(sum(CASE WHEN work_id::BIGINT % 30 = 0 THEN 2 * term_count ELSE term_count END) AS BIGINT) AS n "
+        "FROM vocab JOIN catalogue USING (work_id) GROUP BY author, term",
+    ),
     "pivot_by_values": """SELECT o_custkey, """
     + ", ".join(
         f"max(CASE WHEN o_orderpriority = '{p}' THEN o_totalprice END) AS \"{p.lower().replace(' ', '_').replace('-', '_')}\""
@@ -491,3 +611,4 @@ FROM tok GROUP BY work_id""",
     ),
     "report_first_page": "SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 15",
 }
+ORACLES["published_marts"] = ORACLES["mart_work_fingerprint"]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pandas as pd
 import regex
@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from stylograph.functions.lexicons import ALL_SERIES, PER_WORK_CONCEPTS, SENTENCE_SERIES
 from stylograph.operators import annotated, checks, long_texts, measures, reshape, surface
 from stylograph.operators.cleaning import clean_markdown
-from stylograph.operators.pieces import chunks, paragraph_rows
+from stylograph.operators.pieces import GLUE, chunks, paragraph_rows
 from stylograph.operators.tokens import annotate, restore_order, sentence_tokens, tokenize, tokenize_pieces, with_lexical_columns
 from stylograph.operators.zscore import zscore
-from stylograph.plans import models, reports, staging
+from stylograph.plans import models, pooled, reports, staging, warehouse
+from stylograph.plans.appending import Appended
 from stylograph.session import checkpointed
 from stylograph.sources import landing, seeds, works as work_files
+from stylograph.sources.releases import Releases
 from suite import inputs
 
 CHUNK_CHARS = 2_000
@@ -55,6 +57,12 @@ def chunk_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("work_id", "chunk_no", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
 
 
+def chunk_long_works(spark: SparkSession, sf: str) -> DataFrame:
+    """Works of many rows, packed into chunks over the rows' ends."""
+    rows = long_texts.chunks_of_pieces(inputs.spaced_source_pieces(spark, sf), CHUNK_CHARS, GLUE)
+    return rows.select("work_id", "chunk_no", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
+
+
 def sentence_token_lists(spark: SparkSession, sf: str) -> DataFrame:
     packed = sentence_tokens(inputs.works(spark, sf))
 
@@ -136,6 +144,14 @@ def contraction_rate(spark: SparkSession, sf: str) -> DataFrame:
     return measures.measure(counts, {"contraction_rate": measures.MECHANICAL["contraction_rate"]}, "n_words", "n_clitics")
 
 
+def tagged_contractions(spark: SparkSession, sf: str) -> DataFrame:
+    """Contractions of a token table with tags: every other 's is a possessive."""
+    possessive = F.col("lower").isin("'s", "’s") & (F.col("tok_no") % 2 == 0)
+    tokens = tokenize(inputs.contracted_works(spark, sf)).withColumn("tag", F.when(possessive, "POS").when(F.col("tok_no") % 3 > 0, "X"))
+    counts = annotated.summed_counts(tokens)
+    return measures.measure(counts, {"contraction_rate": measures.MECHANICAL["contraction_rate"]}, "n_words", "n_clitics")
+
+
 def dialogue_ratio(spark: SparkSession, sf: str) -> DataFrame:
     counts = surface.surface_counts(inputs.page_works(spark, sf), clean=False)
     return measures.measure(counts, measures.STRUCTURAL, "n_words", "n_quoted")
@@ -229,8 +245,13 @@ def all_counts(spark: SparkSession, sf: str) -> DataFrame:
     return annotated.with_zeros(surface_of(inputs.works(spark, sf)).join(labelled, "work_id", "left"))
 
 
-def tidy_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return annotated.measured(all_counts(spark, sf))
+def landed_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """All counts, written once: measures, word counts and dimensions are taken from them, so a query measures a text once."""
+    return checkpointed(all_counts(spark, sf))
+
+
+def tidy_rows(spark: SparkSession, sf: str, counts: DataFrame | None = None) -> DataFrame:
+    return annotated.measured(all_counts(spark, sf) if counts is None else counts)
 
 
 def tidy_measurements(spark: SparkSession, sf: str) -> DataFrame:
@@ -249,16 +270,16 @@ def token_table_measurements(spark: SparkSession, sf: str) -> DataFrame:
 # --- models -----------------------------------------------------------------------------------
 
 
-def raw_measurements(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy_rows(spark, sf).withColumn("loaded_at", landing.batch_timestamp(LOADED_AT))
+def raw_measurements(spark: SparkSession, sf: str, counts: DataFrame | None = None) -> DataFrame:
+    return tidy_rows(spark, sf, counts).withColumn("loaded_at", landing.batch_timestamp(LOADED_AT))
 
 
 def staged_measurements(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(staging.stg_measurements(raw_measurements(spark, sf)), "value")
 
 
-def staged_works(spark: SparkSession, sf: str) -> DataFrame:
-    raw = word_counts(spark, sf).withColumnRenamed("n_words", "word_count")
+def staged_works(spark: SparkSession, sf: str, counts: DataFrame | None = None) -> DataFrame:
+    raw = (word_counts(spark, sf) if counts is None else counts.select("work_id", "n_words")).withColumnRenamed("n_words", "word_count")
     return staging.stg_works(raw.withColumn("loaded_at", landing.batch_timestamp(LOADED_AT)))
 
 
@@ -339,24 +360,27 @@ def dim_metric(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def dim_work(spark: SparkSession, sf: str) -> DataFrame:
+def dim_work(spark: SparkSession, sf: str, counts: DataFrame | None = None) -> DataFrame:
     """Works labelled 0 have no text measured, so they keep a null word count."""
     unmeasured = inputs.table(spark, sf, "labels").where("quality = 0").select(F.col("doc_id").cast("string").alias("work_id"))
-    measured = staged_works(spark, sf).join(unmeasured, "work_id", "left_anti")
+    measured = staged_works(spark, sf, counts).join(unmeasured, "work_id", "left_anti")
     return models.dim_work(inputs.catalogue(spark, sf), measured, BANDS)
 
 
-def normalized(spark: SparkSession, sf: str) -> DataFrame:
-    staged = checkpointed(staging.stg_measurements(raw_measurements(spark, sf)))
-    return models.int_measurements_normalized(staged, models.dim_metric(seeds.seed_metrics(spark)))
+def normalized(spark: SparkSession, sf: str, counts: DataFrame | None = None) -> DataFrame:
+    counts = landed_counts(spark, sf) if counts is None else counts
+    return models.int_measurements_normalized(
+        staging.stg_measurements(raw_measurements(spark, sf, counts)), models.dim_metric(seeds.seed_metrics(spark))
+    )
 
 
 def normalized_measurements(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(normalized(spark, sf), "value", "zscore")
 
 
-def fact(spark: SparkSession, sf: str) -> DataFrame:
-    return models.fact_style_measurement(normalized(spark, sf), dim_work(spark, sf))
+def fact(spark: SparkSession, sf: str, counts: DataFrame | None = None) -> DataFrame:
+    counts = landed_counts(spark, sf) if counts is None else counts
+    return models.fact_style_measurement(normalized(spark, sf, counts), dim_work(spark, sf, counts))
 
 
 def fact_style_measurement(spark: SparkSession, sf: str) -> DataFrame:
@@ -364,7 +388,8 @@ def fact_style_measurement(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mart(spark: SparkSession, sf: str) -> DataFrame:
-    return models.mart_work_fingerprint(fact(spark, sf), dim_work(spark, sf), dim_author(spark, sf), list(ALL_SERIES))
+    counts = landed_counts(spark, sf)
+    return models.mart_work_fingerprint(fact(spark, sf, counts), dim_work(spark, sf, counts), dim_author(spark, sf), list(ALL_SERIES))
 
 
 def mart_work_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
@@ -389,6 +414,114 @@ def fact_vocab_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return models.fact_vocab_overlap(jaccard(spark, sf), dim_author(spark, sf))
 
 
+def vocab_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    """Weighted overlap of vocabularies; one term is in every work's."""
+    everywhere = inputs.works(spark, sf).select("work_id", F.lit("everywhere").alias("term"), F.lit(3).cast("long").alias("term_count"))
+    vocab = vocabulary(spark, sf).unionByName(everywhere)
+    return rounded(models.vocab_cosine(vocab, dim_work(spark, sf), dim_author(spark, sf)), "cosine")
+
+
+# --- groups of works --------------------------------------------------------------------------
+
+
+def work_groups(spark: SparkSession, sf: str) -> DataFrame:
+    documents = inputs.table(spark, sf, "documents")
+    return documents.select(F.col("doc_id").cast("string").alias("work_id"), F.col("source").alias("author"), F.col("lang").alias("language"))
+
+
+def pooled_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Lexical and rhythm measures of every work, author, language and of all texts, each of the pooled text."""
+    works, levels = inputs.works(spark, sf), {"work": "work_id", "author": "author", "language": "language"}
+    wanted = {name: sql for name, sql in (measures.LEXICAL | measures.RHYTHM).items() if not name.startswith("funcword_")}
+    rows = pooled.pooled_measures(surface.surface_counts(works), surface.type_frequencies(works), work_groups(spark, sf), levels, wanted)
+    return rounded(rows, *wanted)
+
+
+def author_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    return pooled.length_histogram(surface.sentence_lengths(inputs.works(spark, sf)), work_groups(spark, sf), "author")
+
+
+def sentence_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences of every author by length, in buckets of five words, empty ones too."""
+    return pooled.dense_histogram(author_lengths(spark, sf), "author", 5)
+
+
+def sentence_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    return pooled.exact_quantiles(author_lengths(spark, sf), "author", {"q10": "0.1", "median": "0.5", "q90": "0.9", "longest": "1"})
+
+
+# --- whole runs -------------------------------------------------------------------------------
+
+
+def published_marts(spark: SparkSession, sf: str) -> DataFrame:
+    """A run published, then one whose catalogue lacks an author's attributes, which is not; the mart as a reader sees it."""
+    releases = Releases(spark, inputs.scratch(spark))
+    counts, vocab = landed_counts(spark, sf), checkpointed(vocabulary(spark, sf))
+    authors, metrics = inputs.catalogue(spark, sf), seeds.seed_metrics(spark)
+    seen = [warehouse.publish(releases, counts, vocab, authors, metrics, LOADED_AT)]
+    conflicting = authors.withColumn("era", F.when(F.col("work_id") == "0", "then").otherwise(F.col("era")))
+    seen.append(warehouse.publish(releases, counts, vocab, conflicting, metrics, LOADED_AT))
+    if seen != [True, False]:
+        raise ValueError(f"published: {seen}")
+    return rounded(releases.current().read("mart_work_fingerprint"), *ALL_SERIES)
+
+
+def mart_check_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """All checks on marts with faults: an author missing, measurements missing and repeated, a key and a value out of place."""
+    tables = Releases(spark, inputs.scratch(spark)).draft()
+    warehouse.land_counts(tables, landed_counts(spark, sf), vocabulary(spark, sf), LOADED_AT)
+    warehouse.build_models(tables, inputs.catalogue(spark, sf), seeds.seed_metrics(spark))
+    faulty = landing.Tables(spark, inputs.scratch(spark))
+    name = F.col("metric_name")
+    for table in {c.table for c in warehouse.MART_CHECKS}:
+        rows = tables.read(table)
+        if table == "dim_author":
+            rows = rows.where(F.col("name") != SUSPECT)
+        elif table == "dim_work":
+            rows = rows.withColumn("prose_type", F.when(F.col("title").endswith("7"), "poem").otherwise(F.col("prose_type")))
+            rows = rows.withColumn("word_count", F.when(~F.col("title").endswith("3"), F.col("word_count")))
+        elif table == "fact_style_measurement":
+            rows = rows.where((F.col("author_key") != F.md5(F.lit(SUSPECT))) | (name != "contraction_rate")).unionByName(rows.where(name == "yules_k"))
+        elif table == "int_measurements_normalized":
+            rows = rows.withColumn("metric_key", F.when(name == "yules_k", F.lit("lost")).when(name != "honore_r", F.col("metric_key")))
+        elif table == "int_vocab_jaccard":
+            rows = rows.withColumn("jaccard", F.col("jaccard") + F.when(F.col("author_key") < "8", 1).otherwise(0))
+        faulty.write(table, rows)
+    return warehouse.run_checks(faulty)
+
+
+def appended(spark: SparkSession, sf: str, measurements: DataFrame, vocab: DataFrame) -> Appended:
+    """Three loads, the second one twice: it also holds works of the first again, with doubled values."""
+    number = F.col("work_id").cast("long")
+    authors = inputs.catalogue(spark, sf).select("work_id", "author")
+    into = Appended(Releases(spark, inputs.scratch(spark)))
+
+    def doubled(rows: DataFrame, column: str) -> DataFrame:
+        again = rows.where(number % 30 == 0).withColumn(column, F.col(column) * 2)
+        return rows.where(number % 3 == 1).unionByName(again.select(rows.columns))
+
+    loads = [
+        (measurements.where(number % 3 == 0), vocab.where(number % 3 == 0)),
+        (doubled(measurements, "value"), doubled(vocab, "term_count")),
+        (measurements.where(number % 3 == 2), vocab.where(number % 3 == 2)),
+    ]
+    taken = [into.load(*loads[n], authors, LOADED_AT + timedelta(days=n)) for n in (0, 1, 1, 2)]
+    if taken != [True, True, False, True]:
+        raise ValueError(f"loads taken: {taken}")
+    return into
+
+
+def appended_scores(spark: SparkSession, sf: str) -> DataFrame:
+    rows = checkpointed(tidy_rows(spark, sf))
+    no_terms = spark.createDataFrame([], "work_id string, term string, term_count long")
+    return rounded(appended(spark, sf, rows, no_terms).scores(), "value", "zscore")
+
+
+def appended_terms(spark: SparkSession, sf: str) -> DataFrame:
+    no_rows = spark.createDataFrame([], "work_id string, metric string, value double")
+    return appended(spark, sf, no_rows, checkpointed(vocabulary(spark, sf))).terms()
+
+
 # --- checks -----------------------------------------------------------------------------------
 
 
@@ -453,13 +586,14 @@ def report_first_page(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        clean_documents, clean_long_works, assemble_chapters, files_to_works, long_work_tokens, long_work_measures, long_work_types, split_paragraphs, chunk_paragraphs, sentence_token_lists,
+        clean_documents, clean_long_works, assemble_chapters, files_to_works, long_work_tokens, long_work_measures, long_work_types, chunk_long_works, split_paragraphs, chunk_paragraphs, sentence_token_lists,
         word_counts, type_frequencies, lexical_metrics, sentence_metrics, punctuation_rates, contraction_rate,
-        dialogue_ratio, tree_depth, sentence_types, pos_densities, vocabulary, lexicon_lookup, annotate_chunks,
+        dialogue_ratio, tagged_contractions, tree_depth, sentence_types, pos_densities, vocabulary, lexicon_lookup, annotate_chunks,
         tidy_measurements, token_table_measurements, staged_works, staged_measurements, staged_vocab,
         raw_landing, seed_tables, seed_manifest, zscore_by_metric, normalized_measurements,
         dim_author, dim_author_conflicts, dim_metric, dim_work, vocab_jaccard, fact_vocab_overlap,
-        fact_style_measurement, mart_work_fingerprint, pivot_by_values,
+        fact_style_measurement, mart_work_fingerprint, pivot_by_values, vocab_cosine, pooled_levels, sentence_histogram, sentence_quantiles,
+        published_marts, mart_check_counts, appended_scores, appended_terms,
         check_unique, check_not_null, check_accepted_values, check_relationships, check_range, check_concepts,
         report_authors, report_metrics, report_works, report_author_metrics, report_first_page,
     )
