@@ -46,7 +46,7 @@ def _named() -> tuple[Column | str, ...]:
 def file_list(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     """The files below ``root``, empty ones too, without reading them: path, folder, name, bytes."""
     files = spark.read.format("binaryFile").options(pathGlobFilter=pattern, recursiveFileLookup=True).load(root)
-    return files.select(_below(root, "path").alias("path"), F.col("length").alias("bytes")).select(*_named(), "bytes")
+    return files.select(_below(root, "_metadata.file_path").alias("path"), F.col("length").alias("bytes")).select(*_named(), "bytes")
 
 
 def file_pieces(spark: SparkSession, root: str, pattern: str = "*.md", chars: int = PIECE_CHARS) -> DataFrame:
@@ -115,7 +115,8 @@ def write_files(rows: DataFrame, root: str) -> int:
     """Write ``rows(path, text)`` as one file each below ``root``, a folder all executors share; a file that is there is replaced."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(f"file://{root}" if root.startswith("/") else root)
+        local = re.sub(r"^(file:)?/+", "/", root)
+        store, base = (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(root)
         for batch in batches:
             for path, text in zip(batch["path"].to_pylist(), batch["text"].to_pylist()):
                 place = f"{base.rstrip('/')}/{path}"
