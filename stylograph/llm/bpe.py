@@ -24,8 +24,9 @@ from pyspark.sql.types import StructType
 
 from stylograph.llm.tokenize import Known, binary_slices, put_together, slices, split
 
-#: Words per recursive query, and contractions per query; neither changes a result.
-WORDS, ROUNDS = 40_000, 64
+#: Words per recursive query, contractions per query, and bytes from which a word is merged by itself, round by round; none
+#: changes a result.
+WORDS, ROUNDS, LONG = 40_000, 64, 2_000
 #: Ids per decoding query.
 DECODED = 1_000_000
 
@@ -47,6 +48,25 @@ final AS (SELECT word, max(step) AS step FROM state GROUP BY word)
 SELECT s.word, s.pos, s.tok, s.step = {ROUNDS} AS open FROM state s JOIN final USING (word, step)
 """
 
+# One round over a long word: all leftmost occurrences, not overlapping, of the pair of least rank. If a token so made
+# forms a pair of still lower rank with what then stands beside it, that pair's turn comes first, and only the first occurrence goes.
+ROUND = """
+WITH pairs AS (
+  SELECT l.pos, m.merged FROM symbols l JOIN symbols r ON r.pos = l.pos + 1 JOIN merges m ON m.first = l.tok AND m.second = r.tok),
+least AS (SELECT min(merged) AS made FROM pairs),
+placed AS (SELECT pos, made, row_number() OVER (ORDER BY pos) AS nth FROM pairs JOIN least ON merged = made),
+alone AS (
+  SELECT pos, made, nth FROM (SELECT *, row_number() OVER (PARTITION BY pos - nth ORDER BY pos) AS place FROM placed) WHERE place % 2 = 1),
+beside AS (
+  SELECT made, made AS first, z.tok AS second FROM alone a JOIN symbols z ON z.pos = a.pos + 2
+  UNION ALL SELECT made, w.tok, made FROM alone a JOIN symbols w ON w.pos = a.pos - 1
+  UNION ALL SELECT made, made, made FROM least),
+lower AS (SELECT count(*) AS n FROM beside b JOIN merges m ON m.first = b.first AND m.second = b.second AND m.merged < b.made),
+taken AS (SELECT pos FROM alone WHERE nth = 1 OR (SELECT n FROM lower) = 0)
+SELECT (row_number() OVER (ORDER BY s.pos) - 1)::INTEGER AS pos, CASE WHEN t.pos IS NULL THEN s.tok ELSE (SELECT made FROM least) END::INTEGER AS tok
+FROM symbols s LEFT JOIN taken t ON t.pos = s.pos LEFT JOIN taken p ON p.pos = s.pos - 1 WHERE p.pos IS NULL
+"""
+
 DECODE = """
 SELECT doc, unhex(string_agg(hex(v.bytes), '' ORDER BY pos)) AS bytes
 FROM ids JOIN vocabulary v USING (tok) GROUP BY doc ORDER BY doc
@@ -63,7 +83,8 @@ class Coder:
     """The DuckDB side of one worker."""
 
     def __init__(self, path: str, pattern: str):
-        self.pattern, self.ranks, self.known = regex.compile(pattern), read_ranks(path), Known()
+        self.pattern, self.ranks = regex.compile(pattern), read_ranks(path)
+        self.known = Known(self.pattern)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "max_temp_directory_size": "0KB"})
         halves = [
             (left, right, rank) for token, rank in self.ranks.items() for cut in range(1, len(token))
@@ -99,11 +120,27 @@ class Coder:
         data = tok[order].astype("<u4").tobytes()
         return [data[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
+    def _merge_long(self, word: bytes) -> bytes:
+        """The ids of one word; only the last round's symbols are held."""
+        tok = self.byte[np.frombuffer(word, np.uint8)]
+        symbols = pa.table({"pos": np.arange(len(tok), dtype=np.int32), "tok": tok})
+        while True:
+            self.db.register("symbols", symbols)
+            merged = self.db.sql(ROUND).to_arrow_table()
+            self.db.unregister("symbols")
+            if len(merged) == len(symbols):
+                break
+            symbols = merged
+        return symbols["tok"].to_numpy()[np.argsort(symbols["pos"].to_numpy())].astype("<u4").tobytes()
+
     def encode_words(self, words: list[str]) -> list[bytes]:
         """A word that is a token itself is that token; the others are merged."""
         raw = [w.encode() for w in words]
         found = [None if (rank := self.ranks.get(data)) is None else rank.to_bytes(4, "little") for data in raw]
         rest = [at for at, ids in enumerate(found) if ids is None]
+        for at in (at for at in rest if len(raw[at]) >= LONG):
+            found[at] = self._merge_long(raw[at])
+        rest = [at for at in rest if found[at] is None]
         for start in range(0, len(rest), WORDS):
             part = rest[start : start + WORDS]
             for at, ids in zip(part, self._merge([raw[at] for at in part])):
@@ -113,8 +150,7 @@ class Coder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the texts' bounds in them."""
         pieces, codes, bounds = split(texts)
-        table, places = self.known.look_up(pieces, self.pattern, self.encode_words)
-        return put_together(table, places[codes], bounds)
+        return put_together(self.known.look_up(pieces, self.encode_words), codes, bounds)
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         """The bytes of each document."""
@@ -144,7 +180,8 @@ def coder(path: str, pattern: str) -> Coder:
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and ids (little-endian unsigned 32-bit integers in a binary) per row; null texts count as empty and have no
-    ids. Strings of special tokens are ordinary text. A batch's rows are encoded together, whole."""
+    ids. Strings of special tokens are ordinary text. A batch's rows are encoded together, whole; rows that repeat an id are encoded each,
+    other columns are dropped. A word of any length is merged, a long one by itself; it needs some 100 bytes a symbol."""
     return round_trip(docs, ranks_path, pattern, id_col, text_col, decoded=False)
 
 

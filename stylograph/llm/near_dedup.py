@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from stylograph.llm.common import landed, text_of
+from stylograph.llm.common import landed, partitions, text_of
 from stylograph.llm.tokenize import slices
 from stylograph.llm.words import FACTOR, mix, multisets, shingles, word_hashes
 from stylograph.session import lookup
@@ -144,25 +144,33 @@ def verified(pairs: DataFrame, least: float = SIMILARITY, width: int = SHINGLE)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node) for every node of ``edges`` (a, b). Each round maps every node to its least neighbour or
-    itself and contracts the edges; the maps are then followed in order."""
+    """node, component (its least node) for every node of ``edges`` (a, b). Each round maps every node to the one of least hash
+    among itself and its neighbours and contracts the edges; the maps are then followed in order. Hashes differ by round, so a chain whose
+    numbers ascend shrinks as fast as any other."""
     maps = []
     edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     while True:
         edges = landed(edges.distinct(), "edges")
         if edges.isEmpty():
             break
+
+        def ranked(node: str) -> Column:
+            return F.struct(F.xxhash64(F.col(node), F.lit(len(maps))).alias("hash"), F.col(node).alias("to"))
+
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = landed(near.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("to")), "contraction")
+        least = near.groupBy(F.col("a").alias("node")).agg(F.min(ranked("b")).alias("least"))
+        to = landed(least.select("node", F.least(F.col("least"), ranked("node"))["to"].alias("to")), "contraction")
         maps.append(to)
         moved = edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
         edges = moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    out = maps[0].select("node", F.col("to").alias("component"))
+    out = maps[0].select("node", F.col("to").alias("met"))
     for to in maps[1:]:
-        out = out.join(to.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return landed(out, "components")
+        out = out.join(to.select(F.col("node").alias("met"), "to"), "met", "left").select("node", F.coalesce("to", "met").alias("met"))
+    out = landed(out, "components-met")
+    names = out.groupBy("met").agg(F.min("node").alias("component"))
+    return landed(out.join(names, "met").select("node", "component"), "components")
 
 
 def _fit(pairs: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
@@ -221,10 +229,14 @@ def candidates(members: DataFrame, least: float, block: int = 256) -> DataFrame:
     bucket, node, component, shingles, bins, bands."""
     counts = members.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     dealt = members.join(counts, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # A bucket's blocks, and then its pairs of blocks, are dealt by keys of their own: nothing holds a whole bucket.
+    dealt = dealt.repartition(partitions(members.sparkSession), "bucket", "block")
     held = dealt.groupBy("bucket", "block", "blocks").agg(F.collect_list(F.struct("node", "component", "shingles", "bins", "bands")).alias("held"))
+    held = landed(held, "blocks", compression="zstd")
     single = held.where("blocks = 1").select("bucket", "held", F.lit(None).cast(held.schema["held"].dataType).alias("other"))
-    many = held.where("blocks > 1").select("bucket", "block", "held")
-    pairs = many.join(many.select("bucket", F.col("block").alias("second"), F.col("held").alias("other")), "bucket").where("block <= second")
+    many = held.where("blocks > 1")
+    firsts = many.select("bucket", "held", "block", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("second"))
+    pairs = firsts.join(many.select("bucket", F.col("block").alias("second"), F.col("held").alias("other")), ["bucket", "second"])
     pairs = pairs.select("bucket", "held", F.when(F.col("block") < F.col("second"), F.col("other")).alias("other"))
     schema = StructType().add("a", "long").add("b", "long")
     arrow = to_arrow_schema(schema)
@@ -307,14 +319,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """The rows of ``docs``, with all their columns, that stay: one of each class. Of rows that repeat id and text any one stays."""
     found = near_duplicates(docs, id_col, text_col, **options)
     found = landed(found.groupBy(id_col, "version").agg(F.count_if("kept").alias("stay"), F.count("*").alias("rows")), "decisions")
-    versioned = docs.withColumn("version_of_text", F.xxhash64(text_of(text_col)))
+    versioned = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("version"))
     gone, repeated = (
         lookup(found.where(which).select(F.col(id_col).alias("of_id"), F.col("version").alias("of_version"))) for which in ("stay = 0", "stay = 1 AND rows > 1")
     )
 
     def met(other: DataFrame) -> Column:
-        return (versioned["version_of_text"] == other["of_version"]) & versioned[id_col].eqNullSafe(other["of_id"])
+        return (versioned["version"] == other["of_version"]) & versioned["id"].eqNullSafe(other["of_id"])
 
     once = versioned.join(gone, met(gone), "left_anti").join(repeated, met(repeated), "left_anti")
-    first = versioned.join(repeated, met(repeated), "left_semi").dropDuplicates([id_col, "version_of_text"])
-    return once.unionByName(first).drop("version_of_text")
+    first = versioned.join(repeated, met(repeated), "left_semi").dropDuplicates(["id", "version"])
+    return once.unionByName(first).select("row.*")

@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from stylograph.llm.common import landed
-from stylograph.llm.tokenize import binary_slices, encode, slices
+from stylograph.llm.tokenize import TOKEN_CHARS, binary_slices, encode, slices
 
 #: Sequence numbers of full pieces begin here; those of packed ones are shard and bin.
 FULL = 1 << 62
@@ -43,7 +43,7 @@ def pieces_of(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = TaskContext.get().partitionId() << 36
-        for batch in (part for whole in batches for part in slices(whole, text_col)):
+        for batch in (part for whole in batches for part in slices(whole, text_col, TOKEN_CHARS)):
             found, bounds = encode(batch[text_col], tokenizer_path, end_id)
             sizes = np.diff(bounds)
             counts = -(-sizes // capacity)
@@ -58,7 +58,7 @@ def pieces_of(
                 batch[id_col].take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(stop - start),
                 pa.array(crcs, pa.int64()), pa.array(np.arange(key, key + len(row))),
             ]
-            out = pa.RecordBatch.from_arrays(columns + [binary_slices(found, cuts)] * ids, schema=arrow)
+            out = pa.RecordBatch.from_arrays(columns + [binary_slices(found, cuts, TOKEN_CHARS)] * ids, schema=arrow)
             key += len(row)
             for at in range(0, out.num_rows, 1_000):
                 yield out.slice(at, 1_000)

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from stylograph.llm.common import landed, text_of
 
+#: Ids of labelled rows that may be broadcast to pick their texts; beyond that all texts outside the held-out third are measured.
+BROADCAST_IDS = 1_000_000
 FEATURES = ("word", "letters", "capitals", "digits", "marks", "blanks", "stops", "distinct", "pairs", "line_repeats")
 
 
@@ -130,7 +132,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row per row of ``docs``: id, held_out, score, predicted.
 
     Learns from the labelled rows that are not held out, one training row per row of docs and labels that agree in id.
-    Null texts count as empty and get a score like any other. Without rows of both classes every score is 0.5."""
+    Null texts count as empty and get a score like any other. Without rows of both classes every score is 0.5. A score of
+    0.5 is predicted as 1. Other columns take no part."""
     rows = landed(features(docs, id_col, text_col).withColumn("held_out", held_out("id")), "features")
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(~held_out("id"))
     model = fit(rows.join(known, "id"))
@@ -141,9 +144,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text scores ``least`` or more. The text alone decides. Learns from the
     same rows as ``classify``, in a pass of its own, so texts are neither shuffled nor written."""
-    own = features(docs.where(~held_out(id_col)), id_col, text_col)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(~held_out("id"))
-    model = fit(own.join(known, "id"))
+    own = docs.where(~held_out(id_col))
+    ids = known.select("id").distinct()
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # statistics of labelled texts only
+        own = own.join(F.broadcast(ids), own[id_col] == ids["id"], "left_semi")
+    model = fit(features(own, id_col, text_col).join(known, "id"))
     row = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
     judged = docs.select(row, *(c.alias(n) for n, c in statistics(text_of(text_col)).items())).withColumn("score", score(model))
     return judged.where(F.col("score") >= least).select("row.*")

@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 from tokenizers import Regex, Tokenizer
 from tokenizers.pre_tokenizers import Split
 
-from stylograph.llm.tokenize import put_together, slices
+from stylograph.llm.tokenize import joined_ids, put_together, slices
 
 #: Bytes of words with their ids, and pairs of tokens, that a worker remembers; pairs tested at once. None changes a result.
 REMEMBERED_BYTES, REMEMBERED_PAIRS, PAIRS = 160_000_000, 1_000_000, 20_000
@@ -255,8 +255,8 @@ class Speculator:
             out += [part] if part in self.special else [w for w, _ in self.pre_tokenize(self.normalize(part))]
         return out
 
-    def split(self, pieces: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        """The distinct words of all pieces, the words of all pieces in order by number, and where each piece's begin."""
+    def split(self, pieces: list[str]) -> tuple[list[str], np.ndarray]:
+        """The words of all pieces, a blank after each piece's, and where each piece stands among them."""
         special = self.special_split.search if self.special else lambda _: False
         plain = [p for p in pieces if not LATIN.search(p) and not special(p)]
         words: list[str] = LATIN_SPLIT.findall(" ".join(plain).lower())
@@ -268,15 +268,7 @@ class Speculator:
                 place[piece] = len(place)
                 words += self._words(piece)
                 words.append(" ")
-        coded = pa.array(words, pa.string()).dictionary_encode()
-        distinct, codes = coded.dictionary, coded.indices.to_numpy()
-        blank = pc.index(distinct, " ").as_py()
-        ends = np.flatnonzero(codes == blank)
-        starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-        order = np.fromiter((place[p] for p in pieces), np.int64, len(pieces))
-        # without the blanks between pieces
-        kept = codes[codes != blank]
-        return distinct, kept, np.stack([starts - np.arange(len(starts)), ends - np.arange(len(ends))], 1)[order]
+        return words, np.fromiter((place[p] for p in pieces), np.int64, len(pieces))
 
     def ids_of(self, distinct: list[str]) -> pa.ListArray:
         """The ids of each word; words not met before are speculated on together."""
@@ -294,25 +286,13 @@ class Speculator:
         offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<u4")))
 
-    def table(self, pieces: list[str]) -> pa.ListArray:
-        """The ids of each piece."""
-        distinct, codes, bounds = self.split(pieces)
-        words = self.ids_of(distinct.to_pylist())
-        sizes = np.concatenate([[0], np.cumsum(np.diff(words.offsets.to_numpy())[codes], dtype=np.int64)])
-        flat = words.take(pa.array(codes)).flatten()
-        begin, stop = sizes[bounds[:, 0]], sizes[bounds[:, 1]]
-        lengths = stop - begin
-        offsets = np.concatenate([[0], np.cumsum(lengths)])
-        at = np.repeat(begin - offsets[:-1], lengths) + np.arange(offsets[-1])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat.take(pa.array(at)))
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the texts' bounds in them. A blank ends a piece; no word runs over one."""
         lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
         flat = lists.flatten().dictionary_encode()
-        pieces = flat.dictionary.to_pylist()
+        words, rows = self.split(flat.dictionary.to_pylist())
         bounds = lists.offsets.to_numpy().astype(np.int64)
-        return put_together(self.table(pieces), flat.indices.to_numpy(), bounds - bounds[0])
+        return put_together(joined_ids(words, " ", self.ids_of), rows[flat.indices.to_numpy()], bounds - bounds[0])
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
         """The tokens of each text joined by blanks."""

@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from stylograph.llm.common import landed, partitions, scratch, text_of
-from stylograph.llm.tokenize import encode, slices
+from stylograph.llm.tokenize import TOKEN_CHARS, encode, slices
 
 #: Values of the seekable format and of skippable frames, fixed by their specification.
 SKIPPABLE_INDEX, SKIPPABLE_TABLE, SEEKABLE, WITH_CHECKSUM = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -107,7 +107,7 @@ def write_token_files(
         number, tokens, writer = context.partitionId(), 0, None
         path = f"{root}/tokens-{number:06d}.zst"
         temporary = f"{root}/.tokens-{number:06d}-{context.taskAttemptId()}"
-        for batch in (part for whole in batches for part in slices(whole, "text")):
+        for batch in (part for whole in batches for part in slices(whole, "text", TOKEN_CHARS)):
             if writer is None:
                 store.create_dir(root, recursive=True)
                 writer = FrameWriter(store.open_output_stream(temporary, compression=None))

@@ -22,7 +22,9 @@ from tokenizers import Tokenizer
 
 #: Characters a batch is cut to, and bytes of pieces and words with their ids that a worker remembers; neither changes a result.
 BATCH_CHARS = 3_000_000
-REMEMBERED_BYTES = 120_000_000
+#: The same where texts are only encoded: fewer distinct pieces a character.
+TOKEN_CHARS = 6_000_000
+REMEMBERED_BYTES = 200_000_000
 #: The split of byte-level vocabularies, a fixed value.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Unicode white space, a fixed value.
@@ -45,19 +47,19 @@ def special_tokens(path: str) -> tuple[str, ...]:
     return tuple(sorted((t.content for t in added), key=len, reverse=True))
 
 
-def slices(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
-    """Cut a batch at rows so that each part holds about BATCH_CHARS characters; what Arrow holds on to is given back at its end."""
+def slices(batch: pa.RecordBatch, text_col: str, chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
+    """Cut a batch at rows so that each part holds about ``chars`` characters; what Arrow holds on to is given back at its end."""
     lengths = pc.fill_null(pc.utf8_length(batch[text_col]), 0).to_numpy(zero_copy_only=False)
     if not len(lengths):
         return
-    part = np.cumsum(lengths, dtype=np.int64) // BATCH_CHARS
+    part = np.cumsum(lengths, dtype=np.int64) // chars
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(lengths)]
     for start, stop in zip(cuts, cuts[1:]):
         yield batch.slice(start, stop - start)
     pa.default_memory_pool().release_unused()
 
 
-def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct pieces, the piece numbers of all texts in order, and each text's bounds in them."""
     texts = pc.fill_null(texts, "")
     lists = pc.split_pattern(texts, " ")
@@ -82,10 +84,10 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     number[used] = np.arange(len(used))
     keys = number[keys]
     blank = pc.if_else(pa.array(used % 2 == 1), " ", "")
-    pieces = pc.binary_join_element_wise(blank, words.take(pa.array(used // 2)), "")
+    pieces = pc.binary_join_element_wise(blank, words.take(pa.array(used // 2)), "").to_pylist()
     if not odd.any():
         return pieces, keys, bounds
-    numbers = {p: n for n, p in enumerate(pieces.to_pylist())}
+    numbers = {p: n for n, p in enumerate(pieces)}
     parts, counts = [], []
     for row, (start, stop) in enumerate(zip(bounds[:-1], bounds[1:])):
         if odd[row]:
@@ -94,57 +96,62 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
             part = keys[start:stop]
         parts.append(part)
         counts.append(len(part))
-    return pa.array(list(numbers), pa.string()), np.concatenate(parts), np.concatenate([[0], np.cumsum(counts)])
+    return list(numbers), np.concatenate(parts), np.concatenate([[0], np.cumsum(counts)])
+
+
+def joined_ids(words: list[str], stop: str, ids_of: Callable[[list[str]], pa.ListArray]) -> pa.ListArray:
+    """The ids of each run of ``words`` that ends with ``stop``; ``ids_of`` gives those of distinct words, none for ``stop``."""
+    coded = pa.array(words, pa.string()).dictionary_encode()
+    codes = coded.indices.to_numpy()
+    ends = np.flatnonzero(codes == pc.index(coded.dictionary, stop).as_py())
+    table = ids_of(coded.dictionary.to_pylist())
+    sizes = np.concatenate([[0], np.cumsum(np.diff(table.offsets.to_numpy())[codes], dtype=np.int64)])
+    offsets = np.concatenate([[0], sizes[ends + 1]]) if len(ends) else np.zeros(1, np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), table.take(pa.array(codes)).flatten())
 
 
 class Known:
-    """Pieces a worker has met, as one array with their ids, and the words of those that hold several."""
+    """The pieces and words a worker has met, with their ids, and how pieces are cut into words."""
 
-    def __init__(self, special: tuple[str, ...] = ()):
+    def __init__(self, pattern, special: tuple[str, ...] = ()):
+        self.pattern, self.ids, self.held = pattern, {}, 0
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys, self.ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.uint32()))
-        self.words: dict[str, bytes] = {}
-        self.held = 0
 
-    def _words(self, piece: str, pattern) -> list[str]:
+    def _split(self, piece: str) -> list[str]:
         """The pattern's words in a piece; a special token is a word whatever the pattern says."""
         if self.special is None or not self.special.search(piece):
-            return pattern.findall(piece)
-        parts = self.special.split(piece)
-        return [w for n, part in enumerate(parts) for w in ([part] if n % 2 else pattern.findall(part))]
-
-    def look_up(self, pieces: pa.Array, pattern, encode_words: Callable[[list[str]], Iterable[bytes]], most: int = REMEMBERED_BYTES) -> tuple[pa.ListArray, np.ndarray]:
-        """Ids by row, and the row of each piece. Words not met before go to ``encode_words``, which gives little-endian
-        unsigned 32-bit integers; what is remembered is bounded by ``most`` bytes."""
-        if self.held + self.keys.nbytes + self.ids.nbytes > most:
-            self.clear()
-        rows = pc.index_in(pieces, value_set=self.keys)
-        fresh = pieces.filter(rows.is_null())
-        unseen = fresh.to_pylist()
-        plain = [False] * len(unseen)
-        if pattern.pattern == WORD.pattern:
-            plain = [p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) for p in unseen]  # a word by itself
-        cut = {p: self._words(p, pattern) for p, alone in zip(unseen, plain) if not alone}
-        alone = [p for p, is_one in zip(unseen, plain) if is_one]
-        new = list({w for words in cut.values() for w in words if w not in self.words})
-        found = dict(zip(new + alone, encode_words(new + alone)))
-        for word in new:
-            self.words[word] = found[word]
-            self.held += len(word) + len(found[word]) + 180
-        data = [b"".join([self.words[w] for w in cut[p]]) if p in cut else found[p] for p in unseen]
-        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, data), np.int64, len(data)) // 4)])
-        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(data), np.uint32)))
-        table = pa.concat_arrays([self.ids, ids]) if len(self.ids) else ids
-        places = rows.to_numpy(zero_copy_only=False) if rows.null_count == 0 else np.array(pc.fill_null(rows, -1))
-        places = places.astype(np.int64)
-        places[places < 0] = len(self.ids) + np.arange(len(fresh))
-        short = pc.less(pc.binary_length(fresh), 100)  # long ones, and those over a line end, hardly recur
-        short = pc.and_(short, pc.invert(pc.match_substring(fresh, "\n")))
-        self.keys, self.ids = pa.concat_arrays([self.keys, fresh.filter(short)]), pa.concat_arrays([self.ids, ids.filter(short)])
-        return table, places
+            return self.pattern.findall(piece)
+        return [w for n, part in enumerate(self.special.split(piece)) for w in ([part] if n % 2 else self.pattern.findall(part))]
+
+    def look_up(self, pieces: list[str], encode_words: Callable[[list[str]], Iterable[bytes]], most: int = REMEMBERED_BYTES) -> pa.ListArray:
+        """The ids of each piece. Words not met before go to ``encode_words``, which gives little-endian unsigned 32-bit
+        integers; what is remembered is bounded by ``most`` bytes."""
+        if self.held > most:
+            self.ids.clear()
+            self.held = 0
+        known = self.ids
+        found = list(map(known.get, pieces))
+        unseen = [at for at, ids in enumerate(found) if ids is None]
+        if unseen:
+            new = [pieces[at] for at in unseen]
+            lone = self.pattern.pattern == WORD.pattern  # a word by itself, then
+            cut = {p: self._split(p) for p in new if not (lone and p[1:].isalpha() and (p[0] == " " or p[0].isalpha()))}
+            words = [p for p in new if p not in cut]
+            words += {w for parts in cut.values() for w in parts}.difference(known, words)
+            fresh = dict(zip(words, encode_words(words)))
+            size = sum(map(len, fresh)) + sum(map(len, fresh.values()))
+            known.update(fresh)
+            whole = {p: known[parts[0]] if len(parts) == 1 else b"".join([known[w] for w in parts]) for p, parts in cut.items()}
+            for at, piece in zip(unseen, new):
+                found[at] = whole[piece] if piece in cut else known[piece]
+            kept = {p: ids for p, ids in whole.items() if len(p) <= 64 and "\n" not in p}  # others hardly recur
+            known.update(kept)
+            for word in fresh:
+                if len(word) > 256:
+                    del known[word]
+            self.held += size + sum(map(len, kept)) + sum(map(len, kept.values())) + 180 * (len(fresh) + len(kept))
+        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.uint32)))
 
 
 def put_together(table: pa.ListArray, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +163,7 @@ def put_together(table: pa.ListArray, codes: np.ndarray, bounds: np.ndarray) ->
 
 @lru_cache(maxsize=4)
 def _known(path: str) -> Known:
-    return Known(special_tokens(path))
+    return Known(WORD, special_tokens(path))
 
 
 def encode(texts: pa.Array, path: str, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -164,13 +171,12 @@ def encode(texts: pa.Array, path: str, end_id: int | None = None) -> tuple[np.nd
     round a text; a special token's string in a text is that token. Null counts as empty;
     with ``end_id`` every text, also an empty one, ends with that id."""
     def encode_words(words: list[str]) -> Iterator[bytes]:
-        batch = tokenizer(path).encode_batch
+        batch = tokenizer(path).encode_batch_fast
         for start in range(0, len(words), 5_000):
             yield from (array("I", e.ids).tobytes() for e in batch(words[start : start + 5_000], add_special_tokens=False))
 
     pieces, codes, bounds = split(texts)
-    table, places = _known(path).look_up(pieces, WORD, encode_words)
-    codes = places[codes]
+    table = _known(path).look_up(pieces, encode_words)
     if end_id is not None:
         end = len(table)
         table = pa.concat_arrays([table, pa.array([[end_id]], pa.list_(pa.uint32()))])

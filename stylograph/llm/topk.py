@@ -31,11 +31,13 @@ FEW = 8
 
 def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int = 1024) -> DataFrame:
     """id and floor(scale * x) of every component, as long. Rows with a null id, a null vector, or a null or
-    non-finite component take no part."""
+    non-finite component take no part; other columns don't either. A scaled component beyond 2^52 ends the job."""
     sound = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return rows.where(F.col(id_col).isNotNull() & sound).select(
-        F.col(id_col).alias("id"), F.transform(vector_col, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")).alias("vector")
-    )
+    scaled = F.transform(vector_col, lambda x: F.lit(float(scale)) * x.cast("double"))
+    kept = rows.where(F.col(id_col).isNotNull() & sound).select(F.col(id_col).alias("id"), scaled.alias("scaled"))
+    refused = F.raise_error(F.lit("a component is too large for exact scores")).cast("array<double>")
+    held = F.when(F.forall("scaled", lambda x: F.abs(x) <= float(1 << 52)), F.col("scaled")).otherwise(refused)
+    return kept.select("id", F.transform(held, lambda x: F.floor(x).cast("long")).alias("vector"))
 
 
 def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
@@ -75,6 +77,8 @@ def build_index(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
 def search_block(queries: np.ndarray, own: np.ndarray, k: int, size: int, width: int, top: int, bounds, slots, values) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each query its k best vectors of the block, with ties beyond, and their exact scores. ``own`` marks
     (query, vector) pairs that don't count."""
+    if max(width, 1) * top * float(np.abs(queries).max(initial=0)) > 2**53:
+        raise ValueError("scores are too large to be exact")  # sums of products, and the bounds on them, stay exact below
     exact = np.zeros((size, max(width, queries.shape[1])), np.int64)
     dense = np.zeros(size * width, np.int64)
     dense[slots] = values
@@ -108,7 +112,7 @@ def search_block(queries: np.ndarray, own: np.ndarray, k: int, size: int, width:
 
 def search(index: DataFrame, queries: DataFrame, k: int = 10, chunk: int = CHUNK) -> DataFrame:
     """query_id, rank, vec_id, score: the k greatest inner products of each query (id, vector), all if there are fewer; ties to the
-    smaller id. Vectors with the query's id don't count; of queries that share an id the least vector counts. Vectors of
+    smaller id. Scores that might pass 2^53 in size end the job. Vectors with the query's id don't count; of queries that share an id the least vector counts. Vectors of
     unequal length meet on their common components."""
     id_type = queries.schema["id"].dataType
     queries = queries.groupBy("id").agg(F.min("vector").alias("vector"))

@@ -166,3 +166,22 @@ def test_signatures_estimate_weighted_jaccard():
     made = near_dedup.bag_min_hash(np.concatenate([values, values]), text, weight, 2, 6_000)
     true = np.minimum(one, two).sum() / np.maximum(one, two).sum()
     assert abs((made[0] == made[1]).mean() - true) < 4 * (true * (1 - true) / 6_000) ** 0.5
+
+
+@pytest.mark.parametrize("kind", ["ascending", "star", "pairs"])
+def test_components_of_long_chains(spark, kind, monkeypatch):
+    """A chain shrinks by a share each round, whatever its numbers."""
+    rounds = []
+    landed = near_dedup.landed
+    monkeypatch.setattr(near_dedup, "landed", lambda df, name, **options: (rounds.append(name), landed(df, name, **options))[1])
+    edges = {"ascending": [(n, n + 1) for n in range(1_000)], "star": [(0, n) for n in range(1, 500)], "pairs": [(2 * n, 2 * n + 1) for n in range(100)]}[kind]
+    found = {r.node: r.component for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {n: (n - n % 2 if kind == "pairs" else 0) for edge in edges for n in edge}
+    assert found == want and rounds.count("contraction") <= 14
+
+
+def test_keep_one_keeps_clashing_columns(spark):
+    rows = [(1, "one two three four five six", "a", 1, "b"), (2, "one two three four five six", "c", 2, "d"), (3, "other", "e", 3, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, version_of_text string, version int, row string")
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]

@@ -82,3 +82,20 @@ def test_top_k(spark):
         assert {tuple(r) for r in found} == want and len(found) == len(want)
     assert topk.top_k(rows.where("false"), F.lit(True)).count() == 0
     assert topk.top_k(rows, F.lit(False)).count() == 0
+
+
+def test_top_k_refuses_what_it_cannot_hold(spark):
+    import pyspark.sql.functions as F
+
+    for big in (1e15, 1e6):
+        rows = spark.createDataFrame([(0, [big, 1.0], "x", 1)] + [(i, [1e6, float(i)], "y", 2) for i in range(1, 30)], "vec_id long, embedding array<double>, id string, score int")
+        with pytest.raises(Exception, match="too large"):
+            topk.top_k(rows, F.col("vec_id") == 0).collect()
+    fine = spark.createDataFrame([(i, [float(i), 1.0], "clash", 5, 7) for i in range(20)], "vec_id long, embedding array<double>, id string, score int, rank int")
+    assert topk.top_k(fine, F.col("vec_id") == 0, k=2).columns == ["query_id", "rank", "vec_id", "score"]
+
+
+def test_url_verdicts_with_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x", "h", "p", "r", "v")], "page_id long, url string, host string, path string, rule string, verdict string")
+    found = url_filter.url_verdicts(pages, url_filter.rule_table(spark, RULES)).first()
+    assert (found.page_id, found.host, found.path, found.rule, found.verdict) == (1, "a.org", "/x", "org/", "allow")

@@ -134,3 +134,60 @@ def test_bpe_decodes_ids_of_any_origin(spark, ranks_path):
     assert out == {1: b"The dog!", 2: b"", 3: b""}
     with pytest.raises(Exception, match="does not have"):
         bpe.decode(spark.createDataFrame([(1, np.array([99_999], "<u4").tobytes())], "k long, ids binary"), ranks_path, public_tokenizers.PATTERN, "k").collect()
+
+
+def test_bpe_merges_long_words(ranks_path):
+    import random
+    import time
+
+    encoding = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(ranks_path), special_tokens={})
+    worker = bpe.coder(ranks_path, public_tokenizers.PATTERN)
+    chosen = random.Random(8)
+    words = ["a" * 1_000_000, "ab" * 30_000, "the" * 5_000 + "é" * 3_001, "".join(chosen.choice("abcdefghij") for _ in range(6_000)), "=" * 4_999]
+    start = time.time()
+    for word, ids in zip(words, worker.encode_words(words)):
+        want = encoding.encode_ordinary(word) if len(word) < 100_000 else encoding.encode_ordinary("a" * 8_192)[:1] * (len(ids) // 4)
+        assert np.frombuffer(ids, "<u4").tolist()[: len(want)] == want
+        assert encoding.decode(np.frombuffer(ids, "<u4").tolist()) == word
+    assert time.time() - start < 120
+
+
+def test_bpe_round_by_round_equals_the_library(spark, ranks_path, monkeypatch):
+    encoding = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(ranks_path), special_tokens={})
+    worker = bpe.Coder(ranks_path, public_tokenizers.PATTERN)
+    monkeypatch.setattr(bpe, "LONG", 2)
+    words = ["hello", "aaaaaaa", " internationalisation", "ababababab"] + sorted({w for t in texts(spark)[:3] for w in t.split()})[:150]
+    words = [w for w in words if w.isalpha() or w[0] == " "]
+    assert [np.frombuffer(i, "<u4").tolist() for i in worker.encode_words(words)] == [encoding.encode_ordinary(w) for w in words]
+
+
+def test_bpe_rounds_when_a_token_ranks_before_its_parts(tmp_path):
+    """xy makes a token that joins the next x at once, so the second xy is never merged."""
+    import base64
+
+    ranks = [bytes([b]) for b in range(256)] + [b"xyx", b"xy", b"zz", b"zzzz", b"yz"]
+    path = tmp_path / "ranks"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % n for n, t in enumerate(ranks)))
+    worker = bpe.Coder(str(path), r"\w+")
+    for word in (b"xyxy", b"xyxyxyx", b"zzzzzzz", b"xyzxyzz", b"yxyx"):
+        short = np.frombuffer(worker._merge([word])[0], "<u4").tolist()
+        assert np.frombuffer(worker._merge_long(word), "<u4").tolist() == short
+
+
+def test_query_columns(spark, tokenizer_path, ranks_path, library):
+    """What the queries derive: checksums and digests of ids and bytes."""
+    from hashlib import sha256
+
+    from stylograph.llm.queries import QUERIES
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    ids = {i: library(t) for i, t in texts.items()}
+    data = lambda values: np.array(values, "<u4").tobytes()
+    for r in QUERIES["op4_best_fit_packing"](spark, str(DATA)).collect():
+        assert r.ids_crc32 == crc32(data([*ids[r.doc_id], 2][r.start : r.start + r.length]))
+    for r in QUERIES["op7_token_files"](spark, str(DATA)).collect():
+        assert (r.n_tokens, r.ids_crc32) == (len(ids[r.doc_id]) + 1, crc32(data([*ids[r.doc_id], 0])))
+    encoding = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(ranks_path), special_tokens={})
+    for r in QUERIES["op9_byte_level_bpe"](spark, str(DATA)).collect():
+        own = encoding.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(own), sha256(data(own)).hexdigest(), sha256(texts[r.doc_id].encode()).hexdigest())
