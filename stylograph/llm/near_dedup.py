@@ -143,10 +143,14 @@ def verified(pairs: DataFrame, least: float = SIMILARITY, width: int = SHINGLE)
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
 
 
+#: Rounds in which components are contracted by number.
+BY_NUMBER = 2
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node) for every node of ``edges`` (a, b). Each round maps every node to the one of least hash
-    among itself and its neighbours and contracts the edges; the maps are then followed in order. Hashes differ by round, so a chain whose
-    numbers ascend shrinks as fast as any other."""
+    """node, component (its least node) for every node of ``edges`` (a, b). Each round maps every node to the least of itself
+    and its neighbours and contracts the edges; the maps are then followed in order. What is left after two rounds, which are enough for stars, is
+    compared by hashes that differ by round, so a chain whose numbers ascend shrinks as fast as any other."""
     maps = []
     edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     while True:
@@ -155,7 +159,8 @@ def components(edges: DataFrame) -> DataFrame:
             break
 
         def ranked(node: str) -> Column:
-            return F.struct(F.xxhash64(F.col(node), F.lit(len(maps))).alias("hash"), F.col(node).alias("to"))
+            hashed = F.xxhash64(F.col(node), F.lit(len(maps))) if len(maps) >= BY_NUMBER else F.lit(0).cast("long")
+            return F.struct(hashed.alias("hash"), F.col(node).alias("to"))
 
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = near.groupBy(F.col("a").alias("node")).agg(F.min(ranked("b")).alias("least"))
@@ -168,6 +173,8 @@ def components(edges: DataFrame) -> DataFrame:
     out = maps[0].select("node", F.col("to").alias("met"))
     for to in maps[1:]:
         out = out.join(to.select(F.col("node").alias("met"), "to"), "met", "left").select("node", F.coalesce("to", "met").alias("met"))
+    if len(maps) <= BY_NUMBER:
+        return landed(out.withColumnRenamed("met", "component"), "components")
     out = landed(out, "components-met")
     names = out.groupBy("met").agg(F.min("node").alias("component"))
     return landed(out.join(names, "met").select("node", "component"), "components")
@@ -228,11 +235,12 @@ def candidates(members: DataFrame, least: float, block: int = 256) -> DataFrame:
     """Pairs a < b, each once, of nodes that share a bucket, are of different components, and may be similar enough. ``members``:
     bucket, node, component, shingles, bins, bands."""
     counts = members.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    dealt = members.join(counts, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    hot = lookup(landed(counts.where("blocks > 1"), "hot-buckets"))
+    dealt = members.join(hot, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # A bucket's blocks, and then its pairs of blocks, are dealt by keys of their own: nothing holds a whole bucket.
     dealt = dealt.repartition(partitions(members.sparkSession), "bucket", "block")
     held = dealt.groupBy("bucket", "block", "blocks").agg(F.collect_list(F.struct("node", "component", "shingles", "bins", "bands")).alias("held"))
-    held = landed(held, "blocks", compression="zstd")
     single = held.where("blocks = 1").select("bucket", "held", F.lit(None).cast(held.schema["held"].dataType).alias("other"))
     many = held.where("blocks > 1")
     firsts = many.select("bucket", "held", "block", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("second"))
