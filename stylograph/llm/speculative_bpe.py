@@ -34,7 +34,7 @@ from tokenizers.pre_tokenizers import Split
 from stylograph.llm.tokenize import joined_ids, put_together, slices
 
 #: Bytes of words with their ids, and pairs of tokens, that a worker remembers; pairs tested at once. None changes a result.
-REMEMBERED_BYTES, REMEMBERED_PAIRS, PAIRS = 160_000_000, 1_000_000, 20_000
+REMEMBERED_BYTES, REMEMBERED_PAIRS, PAIRS = 100_000_000, 1_000_000, 20_000
 NEVER = np.int32(2**31 - 1)
 
 #: The settings of a tokenizer file that this module covers; another file is refused.

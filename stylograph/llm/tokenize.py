@@ -22,9 +22,7 @@ from tokenizers import Tokenizer
 
 #: Characters a batch is cut to, and bytes of pieces and words with their ids that a worker remembers; neither changes a result.
 BATCH_CHARS = 3_000_000
-#: The same where texts are only encoded: fewer distinct pieces a character.
-TOKEN_CHARS = 6_000_000
-REMEMBERED_BYTES = 200_000_000
+REMEMBERED_BYTES = 64_000_000
 #: The split of byte-level vocabularies, a fixed value.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Unicode white space, a fixed value.
