@@ -231,16 +231,17 @@ def possible_pairs(bucket: int, bands: np.ndarray, of: np.ndarray, sizes: np.nda
                 yield from ((int(row), int(other)) for other in others)
 
 
-def candidates(members: DataFrame, least: float, block: int = 256) -> DataFrame:
+def candidates(members: DataFrame, least: float, block: int = 256, buckets: DataFrame | None = None) -> DataFrame:
     """Pairs a < b, each once, of nodes that share a bucket, are of different components, and may be similar enough. ``members``:
-    bucket, node, component, shingles, bins, bands."""
-    counts = members.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    bucket, node, component, shingles, bins, bands. ``buckets``: the same rows with the bucket alone, where that is cheaper to read."""
+    counts = (members if buckets is None else buckets).groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     hot = lookup(landed(counts.where("blocks > 1"), "hot-buckets"))
     dealt = members.join(hot, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # A bucket's blocks, and then its pairs of blocks, are dealt by keys of their own: nothing holds a whole bucket.
     dealt = dealt.repartition(partitions(members.sparkSession), "bucket", "block")
     held = dealt.groupBy("bucket", "block", "blocks").agg(F.collect_list(F.struct("node", "component", "shingles", "bins", "bands")).alias("held"))
+    held = landed(held, "blocks", compression="zstd")  # read three times, joined once
     single = held.where("blocks = 1").select("bucket", "held", F.lit(None).cast(held.schema["held"].dataType).alias("other"))
     many = held.where("blocks > 1")
     firsts = many.select("bucket", "held", "block", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("second"))
@@ -291,7 +292,7 @@ def links(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], least: f
         return known
     bins = landed(profiles(texts.join(members.select("node").distinct(), "node"), width), "profiles", compression="zstd")
     bins = bins.join(nodes.select("node", "bands"), "node")
-    untested = candidates(members.join(bins, "node"), least).join(tested, ["a", "b"], "left_anti")
+    untested = candidates(members.join(bins, "node"), least, buckets=members).join(tested, ["a", "b"], "left_anti")
     return components(edges.unionByName(test(landed(untested, "pairs"))))
 
 
