@@ -126,7 +126,7 @@ def split_by_length(works: DataFrame, in_row_chars: int) -> tuple[DataFrame, Dat
     works = works.select("work_id", "text")
     size = F.length("text")
     long = works.where(size > in_row_chars)
-    return works.where(size <= in_row_chars), None if long.isEmpty() else long_texts.in_pieces(long, min(in_row_chars, long_texts.PIECE_CHARS))
+    return works.where(size <= in_row_chars), None if long.isEmpty() else long_texts.in_pieces(long, max(1, min(in_row_chars, long_texts.PIECE_CHARS)))
 
 
 def surface_counts_of_pieces(pieces: DataFrame, clean: bool = True) -> DataFrame:
@@ -180,7 +180,8 @@ def type_frequencies_of_pieces(pieces: DataFrame, clean: bool = True) -> DataFra
 
 
 def merged_counts(pieces: DataFrame) -> DataFrame:
-    """Counts per work from counted pieces ``(work_id, piece_no, ..., terms, switch, sizes)``.
+    """Counts per work from counted pieces ``(work_id, piece_no, ..., terms, switch)``; with ``sizes`` (see
+    ``long_texts.part_sizes``) a sentence may lie in several pieces, without it sentences end with their piece.
 
     First per (work, block of consecutive pieces), then per work: a work holding most of the corpus
     is spread over its blocks, and what reaches its last task is one row per block.
@@ -199,8 +200,9 @@ def merged_counts(pieces: DataFrame) -> DataFrame:
     richness = term_richness(
         pieces.select("work_id", F.explode("terms").alias("t")).select("work_id", "t.term", "t.n")
     )
-    sums = long_texts.sentence_sums(pieces.select("work_id", "piece_no", "sizes"))  # a sentence may lie in several pieces
-    counts = counts.drop("n_sentences", "sum_sq_sentence_words").join(sums, "work_id")
+    if "sizes" in pieces.columns:
+        sums = long_texts.sentence_sums(pieces.select("work_id", "piece_no", "sizes"))
+        counts = counts.drop("n_sentences", "sum_sq_sentence_words").join(sums, "work_id")
     return counts.join(richness, "work_id", "left").selectExpr(
         "work_id", *ADDITIVE_COUNTS, *(f"coalesce({c}, 0L) AS {c}" for c in RICHNESS_COUNTS), "switch.in0 AS n_quoted"
     )
