@@ -24,6 +24,8 @@ from pyspark.sql.types import StructType
 
 from stylograph.llm.tokenize import Known, binary_slices, put_together, slices, split
 
+#: Bytes of pieces and words with their ids that a worker remembers.
+REMEMBERED_BYTES = 200_000_000
 #: Words per recursive query, contractions per query, and bytes from which a word is merged by itself, round by round; none
 #: changes a result.
 WORDS, ROUNDS, LONG = 40_000, 64, 2_000
@@ -150,7 +152,7 @@ class Coder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the texts' bounds in them."""
         pieces, codes, bounds = split(texts)
-        return put_together(self.known.look_up(pieces, self.encode_words), codes, bounds)
+        return put_together(self.known.look_up(pieces, self.encode_words, REMEMBERED_BYTES), codes, bounds)
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         """The bytes of each document."""
