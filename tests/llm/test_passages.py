@@ -1,3 +1,4 @@
+from stylograph.llm import passages
 from stylograph.llm.passages import dedup_passages, without
 from stylograph.llm.queries import QUERIES
 
@@ -58,3 +59,37 @@ def test_query_removes_a_tail_that_the_first_occurrence_lacks(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     out = {r.doc_id: (r.text, r.lines_removed) for r in QUERIES["op5_line_dedup"](spark, str(tmp_path)).collect()}
     assert out == {1: (rows[0][1], 0), 2: (f"{tail}\nown2", 3), **{i: (f"own{i}", 4) for i in range(3, 6)}}
+
+
+def test_fingerprints_of_many_stretches_are_split_over_salts(spark, monkeypatch):
+    import random
+
+    draw = random.Random(5)
+    shared = [draw.choice("abc") for _ in range(24)]
+    rows = []
+    for i in range(60):
+        start, stop = sorted(draw.sample(range(25), 2))
+        rows.append((i, " ".join([draw.choice("abcd") for _ in range(draw.randrange(9))] + shared[start:stop] + [draw.choice("abcd") for _ in range(9)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_passages(rows, 8)
+    for stretches in (1_000, 2):
+        monkeypatch.setattr(passages, "STRETCHES", stretches)
+        assert {r.doc_id: (r.text.split(), r.words_removed) for r in dedup_passages(docs, 8).collect()} == want
+
+
+def test_extend():
+    import numpy as np
+
+    own, other = np.array([9, 1, 2, 3, 4, 8]), np.array([1, 2, 3, 4, 5])
+    assert passages.extend(own, 2, other, 1) == (1, 5)
+    assert passages.extend(other, 1, own, 2) == (0, 4)
+    assert passages.extend(own, 2, own, 2) == (0, 6)
+
+
+def test_tables_of_the_steps_are_removed(spark, tmp_path, monkeypatch):
+    from stylograph.llm import common
+
+    monkeypatch.setattr(common, "checkpoint_folder", lambda _: str(tmp_path))
+    docs = spark.createDataFrame([(i, "a b c d e f g h") for i in range(3)], "doc_id long, text string")
+    assert sorted(r.words_removed for r in dedup_passages(docs, 8).collect()) == [0, 8, 8]
+    assert [f.name.rsplit("-", 1)[0] for f in tmp_path.iterdir()] == ["repeated-passages"]
