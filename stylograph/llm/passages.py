@@ -44,6 +44,8 @@ from stylograph.session import BROADCAST_ROWS, lookup
 BROADCAST_VERSIONS = 1_000_000
 #: Different stretches of a fingerprint that meet one first stretch; more are split over salts.
 STRETCHES = 1_000
+#: Characters whose words are hashed at a time.
+BATCH_CHARS = 1_000_000
 #: Stretches whose words are handed on at a time.
 CONTEXTS = 10_000
 
@@ -116,7 +118,7 @@ def _stretches(rows: DataFrame, min_words: int) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, "text")):
+        for batch in (part for whole in batches for part in slices(whole, "text", BATCH_CHARS)):
             text, *places, fingerprint, key = stretches(Words(*hashes_of(batch["text"].to_pylist())), min_words)
             columns = [*(pa.array(p, pa.int32()) for p in places), *(pa.array(k.view(np.int64)) for k in (fingerprint, key))]
             take = pa.array(text)
@@ -132,7 +134,7 @@ def _contexts(rows: DataFrame, min_words: int) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, "text")):
+        for batch in (part for whole in batches for part in slices(whole, "text", BATCH_CHARS)):
             own, counts = hashes_of(batch["text"].to_pylist())
             lists = batch["stretches"]
             text = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())

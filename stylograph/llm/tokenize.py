@@ -8,6 +8,7 @@ encoded by the library, and the ids are put together again with array operations
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from array import array
@@ -23,6 +24,8 @@ from tokenizers import Tokenizer
 #: Characters a batch is cut to, and bytes of pieces and words with their ids that a worker remembers; neither changes a result.
 BATCH_CHARS = 3_000_000
 REMEMBERED_BYTES = 64_000_000
+#: Gives what the C library holds free back to the system; None where it has no such call.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: The split of byte-level vocabularies, a fixed value.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Unicode white space, a fixed value.
@@ -46,7 +49,7 @@ def special_tokens(path: str) -> tuple[str, ...]:
 
 
 def slices(batch: pa.RecordBatch, text_col: str, chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
-    """Cut a batch at rows so that each part holds about ``chars`` characters; what Arrow holds on to is given back at its end."""
+    """Cut a batch at rows so that each part holds about ``chars`` characters; what Arrow and the C library hold on to is given back at its end."""
     lengths = pc.fill_null(pc.utf8_length(batch[text_col]), 0).to_numpy(zero_copy_only=False)
     if not len(lengths):
         return
@@ -55,6 +58,8 @@ def slices(batch: pa.RecordBatch, text_col: str, chars: int = BATCH_CHARS) -> It
     for start, stop in zip(cuts, cuts[1:]):
         yield batch.slice(start, stop - start)
     pa.default_memory_pool().release_unused()
+    if TRIM:
+        TRIM(0)
 
 
 def split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
