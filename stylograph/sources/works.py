@@ -6,6 +6,7 @@ give whole texts for those who need them in a row.
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterator
 
@@ -18,7 +19,12 @@ from pyspark.sql.types import StructType
 
 from stylograph.operators.long_texts import PIECE_CHARS
 from stylograph.operators.pieces import GLUE
-from stylograph.session import checkpointed, lookup
+from stylograph.session import lookup
+
+
+# Bytes of a file that are read at once, and rows of a batch in a list of files. They change no result.
+RANGE_BYTES = 4_000_000
+ROWS_PER_BATCH = 10_000
 
 
 def chapter_number(name: Column) -> Column:
@@ -43,83 +49,122 @@ def _named() -> tuple[Column | str, ...]:
     return "path", F.regexp_replace("path", r"/?[^/]*$", "").alias("folder"), F.regexp_extract("path", r"[^/]*$", 0).alias("name")
 
 
-def file_list(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
-    """The files below ``root``, empty ones too, without reading them: path, folder, name, bytes."""
-    files = spark.read.format("binaryFile").options(pathGlobFilter=pattern, recursiveFileLookup=True).load(root)
-    return files.select(_below(root, "_metadata.file_path").alias("path"), F.col("length").alias("bytes")).select(*_named(), "bytes")
+def _store(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder that all executors share, and the folder's path there."""
+    local = re.sub(r"^(file:)?/+", "/", root)
+    store, base = (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(root)
+    return store, base.rstrip("/")
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
 
 
-def file_pieces(spark: SparkSession, root: str, pattern: str = "*.md", chars: int = PIECE_CHARS) -> DataFrame:
-    """The texts below ``root`` in rows of about ``chars`` characters: path, start (of the byte range a task read), part, text.
+def _arrow_schema(fields: str) -> tuple[StructType, pa.Schema]:
+    schema = StructType()
+    for field in fields.split(", "):
+        schema = schema.add(*field.split(" "))
+    return schema, to_arrow_schema(schema)
 
-    Spark splits files into byte ranges at line ends and each task joins its lines again, so a file is read by many tasks. A
-    single line is read whole. A line end that the last line lacks is taken off by ``read_pieces``."""
-    lines = spark.read.text(root, lineSep="\n", pathGlobFilter=pattern, recursiveFileLookup=True)
-    lines = lines.select(_below(root, "_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
-    schema = StructType().add("path", "string").add("start", "long").add("part", "long").add("text", "string")
-    arrow = to_arrow_schema(schema)
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, part, held, size = None, 0, [], 0
+def listed_files(spark: SparkSession, root: str, manifest: DataFrame, pattern: str = "*.md") -> DataFrame:
+    """The files of the works of ``manifest(work_id, path)`` below ``root``, without reading them: work_id, path, name, bytes. Empty files
+    are left out, as Spark's readers do. Each task lists the places of its rows, so the driver never holds a list of files."""
+    schema, arrow = _arrow_schema("work_id string, path string, name string, bytes long")
+    named = re.compile(spark._jvm.org.apache.hadoop.fs.GlobPattern.compile(pattern).pattern())
 
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"path": place[0], "start": place[1], "part": part, "text": "".join(held)}], arrow)
+    def found(store: fs.FileSystem, base: str, place: str) -> list[fs.FileInfo]:
+        steps = place.split("/") if place else []
+        if any(step in ("", ".", "..") or _hidden(step) for step in steps):
+            return []
+        info = store.get_file_info("/".join([base, *steps]))
+        if info.type == fs.FileType.Directory:
+            infos = store.get_file_info(fs.FileSelector(info.path))
+        else:
+            infos = [info]
+        return [i for i in infos if i.type == fs.FileType.File and i.size and named.fullmatch(i.base_name) and not _hidden(i.base_name)]
 
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(root)
         for batch in batches:
-            for path, start, line in zip(*(batch[c].to_pylist() for c in ("path", "start", "value"))):
-                if held and (place != (path, start) or size >= chars):
-                    yield row()
-                    part, held, size = part + 1, [], 0
-                if place != (path, start):
-                    place, part = (path, start), 0
-                line += "\n"
-                while size + len(line) > 2 * chars:
-                    held.append(line[: chars - min(size, chars - 1)])
-                    line = line[len(held[-1]) :]
-                    yield row()
-                    part, held, size = part + 1, [], 0
-                held.append(line)
-                size += len(line)
-        if held:
-            yield row()
-
-    return lines.mapInArrow(joined, schema)
+            rows = []
+            for work, place in zip(batch["work_id"].to_pylist(), batch["place"].to_pylist()):
+                rows += [{"work_id": work, "path": i.path[len(base) + 1 :], "name": i.base_name, "bytes": i.size} for i in found(store, base, place)]
+                if len(rows) >= ROWS_PER_BATCH:
+                    yield pa.RecordBatch.from_pylist(rows, arrow)
+                    rows = []
+            yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    places = manifest.where("path IS NOT NULL").select("work_id", F.rtrim("path", F.lit("/")).alias("place"))
+    return places.repartition(_partitions(spark)).mapInArrow(listed, schema)
+
+
+def file_pieces(files: DataFrame, root: str, chars: int = PIECE_CHARS) -> DataFrame:
+    """The texts of ``files(work_id, path, bytes, joins, ranges)`` in rows of up to ``chars`` characters: work_id, piece_no, text. A file that
+    ``joins`` begins with a blank line; ``ranges`` is the number of byte ranges of the work's files before it.
+
+    A file is read in byte ranges, each by any task; a character belongs to the range in which it begins."""
+    schema, arrow = _arrow_schema("work_id string, piece_no long, text string")
+    parts = -(-RANGE_BYTES // chars)  # of a range, at most
+
+    def text_of(file: pa.NativeFile, start: int, size: int) -> str:
+        file.seek(start)
+        data = file.read(min(start + RANGE_BYTES, size) - start + 3)  # a character takes 4 bytes at most
+        begins = [at for at in range(min(4, len(data))) if data[at] & 0xC0 != 0x80] if start else [0]
+        end = RANGE_BYTES
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end += 1
+        data = data[begins[0] : end] if begins and begins[0] < RANGE_BYTES else b""
+        return (data if start else data.removeprefix(codecs.BOM_UTF8)).decode()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(root)
+        for batch in batches:
+            rows, held = [], 0
+            for row in batch.to_pylist():
+                with store.open_input_file(f"{base}/{row['path']}") as file:
+                    text = text_of(file, row["start"], row["bytes"])
+                glue = GLUE if row["joins"] and row["start"] == 0 else ""
+                for part, at in enumerate(range(0, max(len(text), row["start"] == 0), chars)):
+                    rows.append({"work_id": row["work_id"], "piece_no": row["range"] * parts + part, "text": (glue if part == 0 else "") + text[at : at + chars]})
+                    held += chars
+                if held >= RANGE_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, arrow)
+                    rows, held = [], 0
+            yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    starts = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(RANGE_BYTES).cast("long"))
+    cut = files.select("work_id", "path", "bytes", "joins", "ranges", F.posexplode(starts).alias("nth", "start"))
+    cut = cut.select("work_id", "path", "bytes", "joins", "start", (F.col("ranges") + F.col("nth")).cast("long").alias("range"))
+    return cut.repartition(_partitions(files.sparkSession)).mapInArrow(read, schema)
+
+
+def _partitions(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 def read_pieces(spark: SparkSession, root: str, manifest: DataFrame, pattern: str = "*.md", chars: int = PIECE_CHARS) -> DataFrame:
     """The works of ``manifest(work_id, path)`` as ordered pieces (work_id, piece_no, text): the file at a work's path, or those directly
     in the folder at its path, in numeric order, then by name, joined by a blank line. Joined in order, the pieces are the
-    work's text; no row holds more than a few times ``chars`` characters, and only rows of numbers are put in order."""
-    texts = checkpointed(file_pieces(spark, root, pattern, chars).withColumn("bytes", F.octet_length("text")))
-    files = file_list(spark, root, pattern)
+    work's text; no row holds more than ``chars`` characters and a blank line. Numbers ascend with gaps, counted from the files' sizes, so
+    texts are neither kept nor moved."""
     by_number = Window.partitionBy("work_id").orderBy(chapter_number(F.col("name")), "name")
-    ranked = placed_files(files, manifest).withColumn("chapter", F.row_number().over(by_number))
-    spoken = texts.groupBy("path").agg(F.sum("bytes").alias("read"), F.max(F.struct("start", "part")).alias("last"))
-    ranked = ranked.join(spoken, "path", "left")
-    parts = ranked.join(texts.select("path", "start", "part"), "path", "left")
-    in_work = Window.partitionBy("work_id").orderBy("chapter", "start", "part")
-    here = F.struct("start", "part")
-    numbered = parts.select(
-        "work_id", "path", "start", "part", (F.row_number().over(in_work) - 1).cast("long").alias("piece_no"),
-        ((F.col("chapter") > 1) & (F.col("start").isNull() | ((F.col("start") == 0) & (F.col("part") == 0)))).alias("joins"),
-        ((F.col("read") > F.col("bytes")) & (here == F.col("last"))).alias("unended"),
-    )
-    text = F.coalesce("text", F.lit(""))
-    text = F.when(F.col("unended"), F.expr("left(coalesce(text, ''), length(text) - 1)")).otherwise(text)
-    return numbered.join(texts.drop("bytes"), ["path", "start", "part"], "left").select(
-        "work_id", "piece_no", F.concat(F.when(F.col("joins"), GLUE).otherwise(""), text).alias("text")
-    )
+    files = listed_files(spark, root, manifest, pattern)
+    ranges = F.ceil(F.col("bytes") / RANGE_BYTES)
+    before = by_number.rowsBetween(Window.unboundedPreceding, -1)
+    placed = files.select("work_id", "path", "bytes", (F.row_number().over(by_number) > 1).alias("joins"), F.coalesce(F.sum(ranges).over(before), F.lit(0)).alias("ranges"))
+    return file_pieces(placed, root, chars)
 
 
 def write_files(rows: DataFrame, root: str) -> int:
     """Write ``rows(path, text)`` as one file each below ``root``, a folder all executors share; a file that is there is replaced."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local = re.sub(r"^(file:)?/+", "/", root)
-        store, base = (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(root)
+        store, base = _store(root)
         for batch in batches:
             for path, text in zip(batch["path"].to_pylist(), batch["text"].to_pylist()):
-                place = f"{base.rstrip('/')}/{path}"
+                place = f"{base}/{path}"
                 store.create_dir(place.rpartition("/")[0], recursive=True)
                 with store.open_output_stream(place, compression=None) as sink:
                     sink.write((text or "").encode())

@@ -191,6 +191,19 @@ def test_works_from_files_in_pieces(spark, corpus, tmp_path):  # noqa: F811
     assert all(longest <= 650 for _, longest in found.values())
 
 
+@pytest.mark.parametrize("size", [1, 5, 1_000])
+def test_files_by_ranges_without_a_list_on_the_driver(spark, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(work_files, "RANGE_BYTES", size)
+    root = str(tmp_path / "files")
+    files = {"a/Chapter-1.md": "é漢😀x\n\r\n" * 9, "a/Chapter-2.md": "", "a/_no.md": "hidden", "a/Chapter-3.md": "\ufeffend", ".b/c.md": "hidden", "d.md": "x", "d.txt": "no"}
+    work_files.write_files(spark.createDataFrame(list(files.items()), "path string, text string"), root)
+    places = [("a", "a"), ("a", "d.md"), (None, "d.md"), ("b", ".b"), ("t", "d.txt"), ("up", "a/../d.md"), ("none", None), ("e", "e")]
+    pieces = work_files.read_pieces(spark, root, spark.createDataFrame(places, "work_id string, path string"), chars=4)
+    assert pieces.inputFiles() == []  # files that Spark's readers list are kept in the driver's memory
+    found = {w: t for w, (t, _) in joined(pieces).items()}
+    assert found == {"a": "x\n\n" + "é漢😀x\n\r\n" * 9 + "\n\nend", None: "x"}
+
+
 @pytest.mark.parametrize("max_chars", [1, 12, 80])
 def test_chunks_over_rows(spark, max_chars):
     texts = marked_texts(150, max_chars, 80) + ["", "\n\n", "a\n\nb", "aaaa\n\nbbb\n\ncccccccccccccc\n\nd", "one paragraph of words " * 9, "\n\na\n\n", "x\n \n \ny\n\n"]
