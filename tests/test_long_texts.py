@@ -1,6 +1,7 @@
 """Works in pieces give what whole works give, wherever they are cut."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from stylograph.operators import long_texts, surface
 from stylograph.operators.cleaning import clean_markdown
 from stylograph.operators.tokens import sentence_rows, tokenize, tokenize_pieces
+from stylograph.session import checkpoint_folder
 
 PARTS = [
     "word ", "two words ", "a", "\n", "\n\n", "\n\n\n\n", "\r\n", "\r", "# ", "\n## heading with words ", "\n* * *\n", "\n---\n", "---\n", "\n___\n", "\n> ", "*", "**", "***",
@@ -104,3 +106,30 @@ def test_resolve_by_hand():
     assert long_texts.resolve([[1, 1], [0, 1], [0, 0]], [[None], [None], [1]]) == [(0, 1), (1, 1), (1, 0)]
     assert long_texts.resolve([[1, 1], [0, 1], [0, 0]], [[None], [None], [0]]) == [(0, 0), (1, 0), (1, 0)]
     assert long_texts.resolve([], []) == []
+
+
+def test_cleaning_leaves_one_table(spark):
+    texts = ["[a [b " * 40 + "](x [c](d) ![p [q](r) **s** `t` [u", "plain words " * 50, "[[[x](y) ![![z](w) ![v", ""] * 5
+    _, pieces = whole_and_pieces(spark, texts, 3)
+    root = Path(checkpoint_folder(spark).removeprefix("file:"))
+    before = set(root.glob("kept-*"))
+    cleaned = joined(long_texts.cleaned_pieces(pieces))
+    left = set(root.glob("kept-*")) - before
+    assert len(left) == 1, left
+    want = {r.work_id: r.c for r in spark.createDataFrame([(f"w{n}", t) for n, t in enumerate(texts)], "work_id string, text string").select("work_id", clean_markdown(F.col("text")).alias("c")).collect()}
+    assert cleaned == want
+
+
+@pytest.mark.parametrize("name", ["image", "link"])
+def test_linear_rules_are_the_rules(spark, name):
+    chosen = random.Random(9)
+    marks = ["[", "]", "(", ")", "!", "![", "](", "x", "\n", "yz"]
+    rows = spark.createDataFrame([("".join(chosen.choice(marks) for _ in range(chosen.randint(0, 14))),) for _ in range(20_000)], "text string")
+    span = next(s for s in long_texts.SPANS if s.name == name)
+    assert rows.where(F.regexp_replace("text", *span.linear) != F.regexp_replace("text", span.pattern, span.replacement)).isEmpty()
+
+
+def test_gathered_rows(spark):
+    rows = [("w", n, f"{n} ") for n in (5, 1, 30, 2, 11)] + [("v", 0, ""), ("u", 3, "x" * 20), ("u", 4, "y")]
+    got = long_texts.gathered(spark.createDataFrame(rows, "work_id string, piece_no long, text string"), 4)
+    assert sorted(map(tuple, got.collect())) == [("u", 3, "x" * 20), ("u", 4, "y"), ("v", 0, ""), ("w", 1, "1 2 "), ("w", 5, "5 11 "), ("w", 30, "30 ")]
