@@ -1,5 +1,6 @@
 """Measures: worked values, and the text path against the token path."""
 
+import random
 import math
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from stylograph.functions.arrays import token_depths
 from stylograph.functions.lexicons import ALL_SERIES, FUNCTION_WORDS, SURFACE_SERIES
 from stylograph.operators import annotated, measures, surface
-from stylograph.operators.tokens import sentence_tokens, tokenize
+from stylograph.operators.tokens import sentence_token_rows, sentence_tokens, tokenize
 from stylograph.sources import works as work_files
 from suite import inputs
 
@@ -221,3 +222,35 @@ def test_vocabulary(spark):
     ]
     tokens = spark.createDataFrame(rows, "work_id string, text string, lemma string, pos string, is_alpha boolean, is_stop boolean")
     assert [tuple(r) for r in annotated.vocabulary(tokens).collect()] == [("w", "journey", 2)]
+
+
+def test_facts_of_token_rows_are_those_of_packed_sentences(spark, monkeypatch):
+    chosen, rows = random.Random(4), []
+    for n in range(600):
+        size = chosen.randint(1, 12)
+        gaps = chosen.random() < 0.3
+        places = sorted(chosen.sample(range(1, 20), size)) if gaps else list(range(1, size + 1))
+        for at, place in enumerate(places):
+            head = None if chosen.random() < 0.02 else chosen.choice([place, *places, chosen.randint(0, 21)])
+            if n % 2:
+                head = places[0] if at < 2 else places[chosen.randint(0, at - 1)]
+            dep = chosen.choice(["ROOT", "conj", "dep", "dep", "dep"]) if chosen.random() > 0.02 else None
+            if n % 5 == 0 and chosen.random() < 0.1:
+                dep = "advcl"
+            rows.append((f"w{n % 7}" if n % 7 else None, n, at, place, chosen.random() < 0.7, chosen.choice(["ADJ", "ADV", "VERB", "NOUN", None]), dep, head))
+    tokens = spark.createDataFrame(rows, "work_id string, sent_no int, at int, sent_tok_no int, is_alpha boolean, pos string, dep string, head_no int").coalesce(1)
+    packed = tokens.groupBy("work_id", "sent_no").agg(F.array_sort(F.collect_list(F.struct("sent_tok_no", "is_alpha", "pos", "dep", "head_no"))).alias("tokens"))
+    want = sorted(map(str, annotated.sentence_facts(packed).collect()))
+    for at_once in (1, 40, 100_000):
+        monkeypatch.setattr(annotated, "TOKENS_AT_ONCE", at_once)
+        assert sorted(map(str, annotated.sentence_facts_of_rows(tokens).collect())) == want
+    kinds = {r.kind for r in annotated.sentence_facts(packed).collect()}
+    assert kinds == {None, "simple", "compound", "complex"}
+
+
+def test_labelled_texts_are_measured_without_packing(spark):
+    texts = {"a": "Slowly it went. “No!” he said, and the dangerous cats walked…\n\nWhy?", "b": "", "c": "...", "d": "don't " * 500 + ". Next one"}
+    works_ = works(spark, **texts)
+    rows = annotated.sentence_facts_of_rows(sentence_token_rows(works_, labels=inputs.RULE_LABELS))
+    packed = annotated.sentence_facts(sentence_tokens(works_, labels=inputs.RULE_LABELS))
+    assert sorted(map(str, rows.collect())) == sorted(map(str, packed.collect()))
