@@ -12,6 +12,7 @@ from stylograph.operators.pieces import GLUE, chunks
 from stylograph.plans import models, pooled, warehouse
 from stylograph.plans.appending import Appended, mean_and_spread
 from stylograph.plans.warehouse import MART_CHECKS, Check
+from stylograph.session import stored
 from stylograph.sources import landing, works as work_files
 from stylograph.sources.releases import Releases
 
@@ -222,3 +223,10 @@ def test_jumps_by_hand():
     assert long_texts.chunk_starts(lengths, 5, 10, 2) == [1, 2, 3]
     limits, sizes, total = long_texts.chunk_summary(lengths, 10, 2)
     assert (limits, sizes, total) == ([6, 1, -15], [3, 3, 3], 30)
+
+
+def test_stored_tables_are_read_by_column(spark):
+    table = stored(spark.range(10).selectExpr("id", "repeat('x', 100) AS text", "CAST(NULL AS string) AS tag").repartition(2))
+    assert sorted(map(tuple, table.collect())) == [(n, "x" * 100, None) for n in range(10)]
+    assert len(table.inputFiles()) == 2  # a checkpoint's rows are read whole
+    assert "ReadSchema: struct<id:bigint>" in table.select("id")._jdf.queryExecution().executedPlan().toString()
