@@ -133,3 +133,12 @@ def test_gathered_rows(spark):
     rows = [("w", n, f"{n} ") for n in (5, 1, 30, 2, 11)] + [("v", 0, ""), ("u", 3, "x" * 20), ("u", 4, "y")]
     got = long_texts.gathered(spark.createDataFrame(rows, "work_id string, piece_no long, text string"), 4)
     assert sorted(map(tuple, got.collect())) == [("u", 3, "x" * 20), ("u", 4, "y"), ("v", 0, ""), ("w", 1, "1 2 "), ("w", 5, "5 11 "), ("w", 30, "30 ")]
+
+
+def test_pieces_that_are_not_gathered(spark, monkeypatch):
+    monkeypatch.setattr(long_texts, "gathered", lambda pieces: pieces)  # else these texts are a row each
+    texts = marked_texts(400, 11) + SPECIAL * 8
+    whole, pieces = whole_and_pieces(spark, texts, 11)
+    want = {r.work_id: r.clean for r in whole.select("work_id", clean_markdown(F.col("text")).alias("clean")).collect()}
+    got = joined(long_texts.cleaned_pieces(pieces))
+    assert not [(texts[int(w[1:])], got.get(w), want[w]) for w in want if got.get(w) != want[w]][:3]
