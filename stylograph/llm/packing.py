@@ -76,29 +76,34 @@ def vector_best_fit(
     greatest weighted dot-product with the demand; ties go to the bin opened first."""
     share = demands / capacities
     order = np.argsort(-(share * weights).sum(1), kind="stable")
+    dimensions = range(demands.shape[1])
     least = demands.min(0) if len(demands) else capacities
     bins = np.empty(len(demands), np.int64)
-    residual, number, opened, used = np.empty((1024, demands.shape[1])), np.empty(1024, np.int64), 0, 0
+    # A row per dimension, so that a bin's dimensions are compared and summed along whole rows.
+    residual, number, opened, used = np.empty((demands.shape[1], 1024)), np.empty(1024, np.int64), 0, 0
     for item in order:
         demand = demands[item]
-        room = residual[:used]
-        fits = np.flatnonzero((room >= demand).all(1))
+        room = residual[:, :used]
+        fit = room[0] >= demand[0]
+        for d in dimensions[1:]:
+            fit &= room[d] >= demand[d]
+        fits = np.flatnonzero(fit)
         if len(fits):
-            free = room[fits]
+            free = room[:, fits]
             if score == "norm":
-                at = fits[np.argmin((((free - demand) / capacities) ** 2 * weights).sum(1))]
+                at = fits[np.argmin(sum(((free[d] - demand[d]) / capacities[d]) ** 2 * weights[d] for d in dimensions))]
             else:
-                at = fits[np.argmax((free / capacities * share[item] * weights).sum(1))]
+                at = fits[np.argmax(sum(free[d] / capacities[d] * share[item, d] * weights[d] for d in dimensions))]
         else:
-            if used == len(residual):
-                residual, number = np.concatenate([residual, np.empty_like(residual)]), np.concatenate([number, np.empty_like(number)])
+            if used == residual.shape[1]:
+                residual, number = np.concatenate([residual, np.empty_like(residual)], 1), np.concatenate([number, np.empty_like(number)])
             at = used
-            residual[at], number[at] = capacities, opened
+            residual[:, at], number[at] = capacities, opened
             used, opened = used + 1, opened + 1
-        residual[at] -= demand
+        residual[:, at] -= demand
         bins[item] = number[at]
-        if (residual[at] < least).any():  # nothing fits any more: close the bin
-            residual[at : used - 1] = residual[at + 1 : used].copy()
+        if (residual[:, at] < least).any():  # nothing fits any more: close the bin
+            residual[:, at : used - 1] = residual[:, at + 1 : used].copy()
             number[at : used - 1] = number[at + 1 : used].copy()
             used -= 1
     return bins

@@ -11,7 +11,6 @@ from __future__ import annotations
 import ctypes
 import os
 import re
-from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -24,6 +23,8 @@ from tokenizers import Tokenizer
 #: Characters a batch is cut to, and bytes of pieces and words with their ids that a worker remembers; neither changes a result.
 BATCH_CHARS = 3_000_000
 REMEMBERED_BYTES = 64_000_000
+#: Words that go to the library as one text, and what stands between them there: a line end is never part of a word before or after it.
+TOGETHER, BETWEEN = 300, "\n"
 #: Gives what the C library holds free back to the system; None where it has no such call.
 TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: The split of byte-level vocabularies, a fixed value.
@@ -138,7 +139,9 @@ class Known:
         if unseen:
             new = [pieces[at] for at in unseen]
             lone = self.pattern.pattern == WORD.pattern  # a word by itself, then
-            cut = {p: self._split(p) for p in new if not (lone and p[1:].isalpha() and (p[0] == " " or p[0].isalpha()))}
+            plain = self.special is None or not self.special.search(" ".join(new))
+            parts_of = self.pattern.findall if plain else self._split
+            cut = {p: parts_of(p) for p in new if not (lone and p[1:].isalpha() and (p[0] == " " or p[0].isalpha()))}
             words = [p for p in new if p not in cut]
             words += {w for parts in cut.values() for w in parts}.difference(known, words)
             fresh = dict(zip(words, encode_words(words)))
@@ -164,22 +167,52 @@ def put_together(table: pa.ListArray, codes: np.ndarray, bounds: np.ndarray) ->
     return table.take(pa.array(codes)).flatten().to_numpy(), ends[bounds]
 
 
+def encode_words(words: list[str], path: str) -> list[bytes]:
+    """The ids of each word as the library gives them, little-endian unsigned 32-bit integers. Words go to it many at a time with line ends
+    between them, where their ids are cut apart; those of white space, special tokens, and a text whose ids don't show every cut go one by one."""
+    special = special_tokens(path)
+    stop = next(_library([BETWEEN], path))
+    together = [at for at, word in enumerate(words) if word and not word[-1].isspace() and word not in special]
+    out: list[bytes | None] = [None] * len(words)
+    runs = [together[start : start + TOGETHER] for start in range(0, len(together), TOGETHER)]
+    for run, ids in zip(runs, _library([BETWEEN.join([*(words[at] for at in run), ""]) for run in runs], path)):
+        ends = np.flatnonzero(ids == stop[0]) if len(stop) == 1 else []
+        if len(ends) == len(run):
+            data, cuts = ids.tobytes(), (ends * 4).tolist()
+            for at, start, end in zip(run, [0, *(cut + 4 for cut in cuts)], cuts):
+                out[at] = data[start:end]
+    alone = [at for at, ids in enumerate(out) if ids is None]
+    for at, ids in zip(alone, _library([words[at] for at in alone], path)):
+        out[at] = ids.tobytes()
+    return out
+
+
+def _library(texts: list[str], path: str) -> Iterator[np.ndarray]:
+    """The library's ids of each text."""
+    batch = tokenizer(path).encode_batch_fast
+    for start in range(0, len(texts), 5_000):
+        yield from (np.array(e.ids, "<u4") for e in batch(texts[start : start + 5_000], add_special_tokens=False))
+
+
 @lru_cache(maxsize=4)
 def _known(path: str) -> Known:
     return Known(WORD, special_tokens(path))
 
 
+def forget() -> None:
+    """Drop the words and tokenizers that earlier tasks left in this worker: steps that encode nothing need the memory for themselves."""
+    _known.cache_clear()
+    tokenizer.cache_clear()
+    if TRIM:
+        TRIM(0)
+
+
 def encode(texts: pa.Array, path: str, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts one after the other, and the texts' bounds in them, as the library gives them without special tokens
     round a text; a special token's string in a text is that token. Null counts as empty;
     with ``end_id`` every text, also an empty one, ends with that id."""
-    def encode_words(words: list[str]) -> Iterator[bytes]:
-        batch = tokenizer(path).encode_batch_fast
-        for start in range(0, len(words), 5_000):
-            yield from (array("I", e.ids).tobytes() for e in batch(words[start : start + 5_000], add_special_tokens=False))
-
     pieces, codes, bounds = split(texts)
-    table = _known(path).look_up(pieces, encode_words)
+    table = _known(path).look_up(pieces, lambda words: encode_words(words, path))
     if end_id is not None:
         end = len(table)
         table = pa.concat_arrays([table, pa.array([[end_id]], pa.list_(pa.uint32()))])

@@ -8,7 +8,7 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
-from stylograph.llm import bpe, packing, token_files
+from stylograph.llm import bpe, packing, token_files, tokenize
 from stylograph.llm.tokenize import encode
 
 from .conftest import DATA, ODD
@@ -31,6 +31,33 @@ def test_encode_equals_the_library(spark, tokenizer_path, library):
         assert ids[a:b].tolist() == [*library(text), 9]
 
 
+def test_words_go_to_the_library_together(tokenizer_path, library, monkeypatch):
+    met = []
+    plain = Tokenizer.from_file(tokenizer_path)
+
+    class Counting:
+        def encode_batch_fast(self, given, **options):
+            met.extend(given)
+            return plain.encode_batch_fast(given, **options)
+
+        def get_added_tokens_decoder(self):
+            return plain.get_added_tokens_decoder()
+
+    text = " ".join(f"w{chr(97 + n % 26)}{'xyz'[n % 3] * (n // 26)}, 'S've '{n}" for n in range(900)) + " <|endoftext|>\x1d\x1d x\x1c"
+    tokenize.forget()
+    monkeypatch.setattr(tokenize, "tokenizer", lambda path: Counting())
+    ids, _ = encode(pa.array([text]), tokenizer_path)
+    assert ids.tolist() == library(text)
+    assert len(met) < 50
+
+
+def test_forget_drops_what_a_worker_remembers(tokenizer_path):
+    encode(pa.array(["some words"]), tokenizer_path)
+    assert tokenize._known.cache_info().currsize
+    tokenize.forget()
+    assert not tokenize._known.cache_info().currsize and not tokenize.tokenizer.cache_info().currsize
+
+
 def test_vector_best_fit_keeps_every_capacity():
     random = np.random.default_rng(1)
     demands = np.stack([random.integers(1, 50, 400), np.ones(400), random.integers(1, 30, 400)], 1).astype(float)
