@@ -28,12 +28,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from stylograph.llm.common import landed, partitions, text_of
-from stylograph.llm.tokenize import slices
+from stylograph.llm.tokenize import forget, slices
 from stylograph.llm.words import FACTOR, mix, multisets, shingles, word_hashes
 from stylograph.session import lookup
 
 BANDS, ROWS, SHINGLE, SIMILARITY = 30, 5, 5, 0.8
 UNIT = 2.0**-53
+#: Characters whose shingles are hashed at a time; a word is some ten numbers then.
+BATCH_CHARS = 1_000_000
 
 
 def bag_min_hash(values: np.ndarray, text: np.ndarray, weight: np.ndarray, texts: int, length: int) -> np.ndarray:
@@ -100,7 +102,8 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int =
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, "text")):
+        forget()
+        for batch in (part for whole in batches for part in slices(whole, "text", BATCH_CHARS)):
             words, bounds = word_hashes(batch["text"])
             n = len(bounds) - 1
             values, text = shingles(words, bounds, width)
@@ -129,7 +132,7 @@ def verified(pairs: DataFrame, least: float = SIMILARITY, width: int = SHINGLE)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (half for whole in batches for part in slices(whole, "text_a") for half in slices(part, "text_b")):
+        for batch in (half for whole in batches for part in slices(whole, "text_a", BATCH_CHARS) for half in slices(part, "text_b", BATCH_CHARS)):
             a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
             first = {n: at for at, n in enumerate(a + b)}
             texts = pa.concat_arrays([batch["text_a"], batch["text_b"]]).take(pa.array(list(first.values()), pa.int64()))
@@ -193,7 +196,7 @@ def profiles(texts: DataFrame, width: int = SHINGLE) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, "text")):
+        for batch in (part for whole in batches for part in slices(whole, "text", BATCH_CHARS)):
             values, text = shingles(*word_hashes(batch["text"]), width)
             bounds = np.searchsorted(text, np.arange(batch.num_rows + 1))
             out = []

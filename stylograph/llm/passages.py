@@ -36,7 +36,7 @@ from pyspark.sql.types import StructType
 
 from stylograph.llm.common import Steps, landed, text_of
 from stylograph.llm.line_dedup import MIN_WORDS, MULTIPLIERS, _meet
-from stylograph.llm.tokenize import slices
+from stylograph.llm.tokenize import forget, slices
 from stylograph.llm.words import mix
 from stylograph.session import BROADCAST_ROWS, lookup
 
@@ -118,6 +118,7 @@ def _stretches(rows: DataFrame, min_words: int) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in (part for whole in batches for part in slices(whole, "text", BATCH_CHARS)):
             text, *places, fingerprint, key = stretches(Words(*hashes_of(batch["text"].to_pylist())), min_words)
             columns = [*(pa.array(p, pa.int32()) for p in places), *(pa.array(k.view(np.int64)) for k in (fingerprint, key))]

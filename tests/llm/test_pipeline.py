@@ -1,7 +1,10 @@
 import corpus_pipeline
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from stylograph.llm import quality
+from stylograph.llm import near_dedup, passages, quality, tokenize
 
 from .conftest import DATA
 from .test_dedup import brute_classes
@@ -25,3 +28,25 @@ def test_pipeline_against_brute_force(spark):
     assert found == set(classes.values())
     overlaps = packed.alias("a").join(packed.alias("b"), F.expr("a.sequence_id = b.sequence_id AND a.offset < b.offset AND a.offset + a.length > b.offset"))
     assert overlaps.count() == 0
+
+
+class Captured:
+    """A table that keeps the function its rows would go through."""
+
+    schema = StructType().add("id", "long").add("version", "long").add("text", "string")
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, function, schema):
+        self.function = function
+        return self
+
+
+@pytest.mark.parametrize("step", [lambda rows: near_dedup.sketches(rows), lambda rows: passages._stretches(rows, 50)])
+def test_steps_that_encode_nothing_drop_what_encoding_left(step, tokenizer_path):
+    tokenize.encode(pa.array(["some words"]), tokenizer_path)
+    assert tokenize._known.cache_info().currsize
+    rows = pa.RecordBatch.from_pydict({"id": [1], "version": [2], "text": ["a few words " * 40]})
+    assert sum(batch.num_rows for batch in step(Captured()).function(iter([rows])))
+    assert not tokenize._known.cache_info().currsize
