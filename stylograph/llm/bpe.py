@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from stylograph.llm.tokenize import Known, binary_slices, put_together, slices, split
+from stylograph.llm.tokenize import Known, binary_slices, id_lists, put_together, slices, split
 
 #: Bytes of pieces and words with their ids that a worker remembers.
 REMEMBERED_BYTES = 200_000_000
@@ -152,7 +152,8 @@ class Coder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the texts' bounds in them."""
         pieces, codes, bounds = split(texts)
-        return put_together(self.known.look_up(pieces, self.encode_words, REMEMBERED_BYTES), codes, bounds)
+        table = self.known.look_up(pieces, lambda words: id_lists(self.encode_words(words.to_pylist())), REMEMBERED_BYTES)
+        return put_together(table, codes, bounds)
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         """The bytes of each document."""

@@ -3,16 +3,19 @@
 A byte-level tokenizer splits a text before it merges, and a run of white space never joins what is
 left of it. So a text is cut where white space follows other characters, each distinct piece of a
 batch is looked up once by the words the vocabulary's pattern finds in it, words not met before are
-encoded by the library, and the ids are put together again with array operations.
+encoded by the library, and the ids are put together again with array operations. What a worker
+remembers of words and pieces is held in columns too and found by hashes, so that much of it fits.
 """
 
 from __future__ import annotations
 
 import ctypes
+import json
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,9 @@ from tokenizers import Tokenizer
 #: Characters a batch is cut to, and bytes of pieces and words with their ids that a worker remembers; neither changes a result.
 BATCH_CHARS = 3_000_000
 REMEMBERED_BYTES = 64_000_000
+#: Bytes of the longest word or piece that is remembered, words hashed at a time, and the powers their bytes are hashed with.
+LONGEST, HASHED = 64, 50_000
+POWERS = np.cumprod(np.full(LONGEST, 0x9E3779B97F4A7C15, np.uint64))
 #: Words that go to the library as one text, and what stands between them there: a line end is never part of a word before or after it.
 TOGETHER, BETWEEN = 300, "\n"
 #: Gives what the C library holds free back to the system; None where it has no such call.
@@ -32,6 +38,8 @@ WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 #: Unicode white space, a fixed value.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: Pieces that are one word of that split, and words whose bytes the byte-level alphabet leaves as they are, but for the blank.
+LETTERS, PRINTED = r"^ ?[A-Za-z]+\z", r"^ ?[!-~]+\z"
 
 
 @lru_cache(maxsize=4)
@@ -40,6 +48,18 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=4)
+def model(path: str):
+    """The library's model, which encodes one word of the byte-level alphabet, and the blank in that alphabet; None for a file with other steps
+    before the model than the byte-level split."""
+    loaded = Tokenizer.from_file(path)
+    steps = json.loads(loaded.to_str())
+    before = steps["pre_tokenizer"] or {}
+    if steps["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return None
+    return loaded.model, loaded.pre_tokenizer.pre_tokenize_str(" ")[0][0]
+
+
 @lru_cache(maxsize=4)
 def special_tokens(path: str) -> tuple[str, ...]:
     """The strings that stand for a token of their own wherever they occur."""
@@ -63,7 +83,7 @@ def slices(batch: pa.RecordBatch, text_col: str, chars: int = BATCH_CHARS) -> It
         TRIM(0)
 
 
-def split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct pieces, the piece numbers of all texts in order, and each text's bounds in them."""
     texts = pc.fill_null(texts, "")
     lists = pc.split_pattern(texts, " ")
@@ -88,19 +108,23 @@ def split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     number[used] = np.arange(len(used))
     keys = number[keys]
     blank = pc.if_else(pa.array(used % 2 == 1), " ", "")
-    pieces = pc.binary_join_element_wise(blank, words.take(pa.array(used // 2)), "").to_pylist()
+    pieces = pc.binary_join_element_wise(blank, words.take(pa.array(used // 2)).cast(pa.string()), "")
     if not odd.any():
         return pieces, keys, bounds
-    numbers = {p: n for n, p in enumerate(pieces)}
-    parts, counts = [], []
-    for row, (start, stop) in enumerate(zip(bounds[:-1], bounds[1:])):
-        if odd[row]:
-            part = np.array([numbers.setdefault(p, len(numbers)) for p in PIECE.findall(texts[row].as_py())], np.int64)
-        else:
-            part = keys[start:stop]
-        parts.append(part)
-        counts.append(len(part))
-    return list(numbers), np.concatenate(parts), np.concatenate([[0], np.cumsum(counts)])
+    parts = list(map(PIECE.findall, texts.filter(pa.array(odd)).to_pylist()))
+    both = pa.concat_arrays([pieces, pa.array(list(chain.from_iterable(parts)), pa.string())]).dictionary_encode()
+    number = both.indices.to_numpy().astype(np.int64)
+    counts = np.diff(bounds)
+    others = number[keys[~np.repeat(odd, counts)]]
+    counts[odd] = list(map(len, parts))
+    return both.dictionary, _mixed(np.repeat(odd, counts), number[len(pieces) :], others), np.concatenate([[0], np.cumsum(counts)])
+
+
+def _mixed(mask: np.ndarray, where: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
+    """The values of ``where`` at the places ``mask`` marks and those of ``elsewhere`` at the others, each in order."""
+    out = np.empty(len(mask), np.int64)
+    out[mask], out[~mask] = where, elsewhere
+    return out
 
 
 def joined_ids(words: list[str], stop: str, ids_of: Callable[[list[str]], pa.ListArray]) -> pa.ListArray:
@@ -114,12 +138,72 @@ def joined_ids(words: list[str], stop: str, ids_of: Callable[[list[str]], pa.Lis
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), table.take(pa.array(codes)).flatten())
 
 
+def hashes_of(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; all words of more than ``LONGEST`` bytes share one."""
+    if len(words) > HASHED:
+        return np.concatenate([hashes_of(words.slice(start, HASHED)) for start in range(0, len(words), HASHED)])
+    lengths = pc.binary_length(words).to_numpy(zero_copy_only=False)
+    if (lengths > LONGEST).any():
+        words = pc.if_else(pa.array(lengths > LONGEST), "", words)
+        lengths = np.where(lengths > LONGEST, 0, lengths)
+    if not lengths.any():
+        return np.zeros(len(words), np.uint64)
+    ends = np.cumsum(lengths, dtype=np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)
+    start = np.frombuffer(words.buffers()[1], np.int32)[words.offset]
+    place = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((data[start : start + ends[-1]] + np.uint64(1)) * POWERS[place], dtype=np.uint64)])
+    return sums[ends] - sums[ends - lengths]
+
+
+def id_lists(found: list[bytes]) -> pa.ListArray:
+    """Lists of ids from little-endian unsigned 32-bit integers."""
+    offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.uint32)))
+
+
 class Known:
-    """The pieces and words a worker has met, with their ids, and how pieces are cut into words."""
+    """The pieces and words a worker has met, with their ids, and how pieces are cut into words. Words and ids are columns; the
+    sorted hashes lead to a word's place there, where the word itself is compared."""
 
     def __init__(self, pattern, special: tuple[str, ...] = ()):
-        self.pattern, self.ids, self.held = pattern, {}, 0
+        self.pattern = pattern
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.uint32()))
+        self.hashes, self.places, self.uses = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32)
+
+    @property
+    def held(self) -> int:
+        """Bytes of what is remembered."""
+        return sum(x.nbytes for x in (self.words, self.ids, self.hashes, self.places, self.uses))
+
+    def _find(self, words: pa.Array) -> np.ndarray:
+        """Each word's place among those remembered, -1 if it has none."""
+        if not len(self.words) or not len(words):
+            return np.full(len(words), -1)
+        hashes = hashes_of(words)
+        order = np.argsort(hashes)
+        at = np.empty(len(words), np.int64)
+        at[order] = np.searchsorted(self.hashes, hashes[order])
+        place = self.places[np.minimum(at, len(self.hashes) - 1)]
+        return np.where(pc.equal(self.words.take(pa.array(place)), words).to_numpy(zero_copy_only=False), place, -1)
+
+    def _remember(self, words: pa.Array, ids: pa.ListArray) -> None:
+        hashes = hashes_of(words)
+        order = np.argsort(hashes)
+        spot = np.searchsorted(self.hashes, hashes[order])
+        self.places = np.insert(self.places, spot, (len(self.words) + order).astype(np.int32))
+        self.hashes = np.insert(self.hashes, spot, hashes[order])
+        self.words, self.ids = pa.concat_arrays([self.words, words]), pa.concat_arrays([self.ids, ids])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int32)])
+
+    def _drop_half(self) -> None:
+        """The half used least goes; of equally used ones the older."""
+        kept = np.zeros(len(self.uses), bool)
+        kept[np.argsort(self.uses, kind="stable")[len(kept) // 2 + 1 :]] = True
+        stays = kept[self.places]
+        self.hashes, self.places = self.hashes[stays], (np.cumsum(kept, dtype=np.int32) - 1)[self.places[stays]]
+        self.words, self.ids, self.uses = self.words.filter(pa.array(kept)), self.ids.filter(pa.array(kept)), self.uses[kept] // 2
 
     def _split(self, piece: str) -> list[str]:
         """The pattern's words in a piece; a special token is a word whatever the pattern says."""
@@ -127,37 +211,51 @@ class Known:
             return self.pattern.findall(piece)
         return [w for n, part in enumerate(self.special.split(piece)) for w in ([part] if n % 2 else self.pattern.findall(part))]
 
-    def look_up(self, pieces: list[str], encode_words: Callable[[list[str]], Iterable[bytes]], most: int = REMEMBERED_BYTES) -> pa.ListArray:
-        """The ids of each piece. Words not met before go to ``encode_words``, which gives little-endian unsigned 32-bit
-        integers; what is remembered is bounded by ``most`` bytes."""
+    def _cut(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Distinct words, the word numbers of all pieces in order, and each piece's bounds in them."""
+        lone = np.zeros(len(pieces), bool)
+        if self.pattern.pattern == WORD.pattern:
+            lone = pc.match_substring_regex(pieces, LETTERS).to_numpy(zero_copy_only=False)
+        rest = pieces.filter(pa.array(~lone)).to_pylist()
+        plain = self.special is None or not self.special.search(" ".join(rest))
+        parts = list(map(self.pattern.findall if plain else self._split, rest))
+        counts = np.ones(len(pieces), np.int64)
+        counts[~lone] = list(map(len, parts))
+        words = pa.concat_arrays([pieces.filter(pa.array(lone)), pa.array(list(chain.from_iterable(parts)), pa.string())]).dictionary_encode()
+        codes = words.indices.to_numpy()
+        numbers = _mixed(np.repeat(lone, counts), codes[: lone.sum()], codes[lone.sum() :])
+        return words.dictionary, numbers, np.concatenate([[0], np.cumsum(counts)])
+
+    def _encode(self, pieces: pa.Array, encode_words: Callable[[pa.Array], pa.ListArray]) -> pa.ListArray:
+        """The ids of pieces not met before; they and their words are remembered, unless long or of several lines, which hardly recur."""
+        words, numbers, bounds = self._cut(pieces)
+        at = self._find(words)
+        new = at < 0
+        strange = words.filter(pa.array(new))
+        fresh = encode_words(strange)
+        table = pa.concat_arrays([fresh, self.ids.take(pa.array(at[~new]))])
+        ids, ends = put_together(table, _mixed(new, np.arange(len(fresh)), np.arange(len(fresh), len(table)))[numbers], bounds)
+        found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+        several = pc.and_(pa.array(np.diff(bounds) != 1), pc.invert(pc.match_substring(pieces, "\n")))
+        names, ids = pa.concat_arrays([strange, pieces.filter(several)]), pa.concat_arrays([fresh, found.filter(several)])
+        short = pc.less_equal(pc.binary_length(names), LONGEST)
+        self._remember(names.filter(short), ids.filter(short))
+        return found
+
+    def look_up(self, pieces: pa.Array, encode_words: Callable[[pa.Array], pa.ListArray], most: int = REMEMBERED_BYTES) -> pa.ListArray:
+        """The ids of each of ``pieces``, which are distinct. Words not met before go to ``encode_words``, which gives their ids; when
+        what is remembered has more than ``most`` bytes, half of it goes."""
         if self.held > most:
-            self.ids.clear()
-            self.held = 0
-        known = self.ids
-        found = list(map(known.get, pieces))
-        unseen = [at for at, ids in enumerate(found) if ids is None]
-        if unseen:
-            new = [pieces[at] for at in unseen]
-            lone = self.pattern.pattern == WORD.pattern  # a word by itself, then
-            plain = self.special is None or not self.special.search(" ".join(new))
-            parts_of = self.pattern.findall if plain else self._split
-            cut = {p: parts_of(p) for p in new if not (lone and p[1:].isalpha() and (p[0] == " " or p[0].isalpha()))}
-            words = [p for p in new if p not in cut]
-            words += {w for parts in cut.values() for w in parts}.difference(known, words)
-            fresh = dict(zip(words, encode_words(words)))
-            size = sum(map(len, fresh)) + sum(map(len, fresh.values()))
-            known.update(fresh)
-            whole = {p: known[parts[0]] if len(parts) == 1 else b"".join([known[w] for w in parts]) for p, parts in cut.items()}
-            for at, piece in zip(unseen, new):
-                found[at] = whole[piece] if piece in cut else known[piece]
-            kept = {p: ids for p, ids in whole.items() if len(p) <= 64 and "\n" not in p}  # others hardly recur
-            known.update(kept)
-            for word in fresh:
-                if len(word) > 256:
-                    del known[word]
-            self.held += size + sum(map(len, kept)) + sum(map(len, kept.values())) + 180 * (len(fresh) + len(kept))
-        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.uint32)))
+            self._drop_half()
+        at = self._find(pieces)
+        met = at >= 0
+        self.uses[at[met]] += 1
+        known = self.ids.take(pa.array(at[met]))
+        if met.all():
+            return known
+        fresh = self._encode(pieces.filter(pa.array(~met)), encode_words)
+        places = _mixed(met, np.arange(len(known)), len(known) + np.arange(len(fresh)))
+        return pa.concat_arrays([known, fresh]).take(pa.array(places))
 
 
 def put_together(table: pa.ListArray, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +265,27 @@ def put_together(table: pa.ListArray, codes: np.ndarray, bounds: np.ndarray) ->
     return table.take(pa.array(codes)).flatten().to_numpy(), ends[bounds]
 
 
-def encode_words(words: list[str], path: str) -> list[bytes]:
+def encode_words(words: pa.Array, path: str) -> pa.ListArray:
+    """The ids of each word as the library gives them. Words of printed ASCII go to its model, which merges one word; the library's other
+    steps would leave them as they are but for the blank. All others go to the whole library."""
+    special, merging = special_tokens(path), model(path)
+    printed = np.zeros(len(words), bool)
+    if merging:
+        printed = pc.match_substring_regex(words, PRINTED).to_numpy(zero_copy_only=False) & ~pc.is_in(words, pa.array(special, pa.string())).to_numpy(zero_copy_only=False)
+    tables = []
+    if printed.any():
+        merge, blank = merging[0].tokenize, merging[1]
+        chosen = pc.replace_substring(words.filter(pa.array(printed)), " ", blank)
+        for start in range(0, len(chosen), 5_000):
+            ids = [[t.id for t in merge(w)] for w in chosen.slice(start, 5_000).to_pylist()]
+            tables.append(pa.array(ids, pa.list_(pa.uint32())))
+    if not printed.all():
+        tables.append(id_lists(_encode_together(words.filter(pa.array(~printed)).to_pylist(), path)))
+    places = _mixed(printed, np.arange(printed.sum()), printed.sum() + np.arange((~printed).sum()))
+    return pa.concat_arrays([pa.array([], pa.list_(pa.uint32())), *tables]).take(pa.array(places))
+
+
+def _encode_together(words: list[str], path: str) -> list[bytes]:
     """The ids of each word as the library gives them, little-endian unsigned 32-bit integers. Words go to it many at a time with line ends
     between them, where their ids are cut apart; those of white space, special tokens, and a text whose ids don't show every cut go one by one."""
     special = special_tokens(path)
@@ -203,6 +321,7 @@ def forget() -> None:
     """Drop the words and tokenizers that earlier tasks left in this worker: steps that encode nothing need the memory for themselves."""
     _known.cache_clear()
     tokenizer.cache_clear()
+    model.cache_clear()
     if TRIM:
         TRIM(0)
 
