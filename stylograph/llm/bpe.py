@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 from stylograph.llm.tokenize import Known, binary_slices, id_lists, put_together, slices, split
 
 #: Bytes of pieces and words with their ids that a worker remembers.
-REMEMBERED_BYTES = 200_000_000
+REMEMBERED_BYTES = 100_000_000
 #: Words per recursive query, contractions per query, and bytes from which a word is merged by itself, round by round; none
 #: changes a result.
 WORDS, ROUNDS, LONG = 40_000, 64, 2_000
