@@ -119,7 +119,9 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, chunk: int = CHUNK
     chunks = max(1, -(-queries.count() // chunk))
     packed = queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("id", "vector")).alias("queries"))
     last = index.agg(F.max("block")).first()[0] or 0
-    pairs = packed.select("queries", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("block")).join(index, "block")
+    pairs = packed.select("queries", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("block"))
+    # Never broadcast: Spark takes the queries for as small as before they were repeated for each block, and an index for as small as its files.
+    pairs = pairs.join(index.hint("merge"), "block")
     schema = StructType().add("query_id", id_type).add("vec_id", index.schema["ids"].dataType.elementType).add("score", "long")
     arrow = to_arrow_schema(schema)
 

@@ -84,6 +84,15 @@ def test_top_k(spark):
     assert topk.top_k(rows, F.lit(False)).count() == 0
 
 
+def test_top_k_broadcasts_neither_queries_nor_index(spark):
+    import pyspark.sql.functions as F
+
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "vec_id long, embedding array<float>")
+    found = topk.top_k(rows, F.col("vec_id") % 5 == 0, k=3)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 12 * 3
+
+
 def test_top_k_refuses_what_it_cannot_hold(spark):
     import pyspark.sql.functions as F
 
