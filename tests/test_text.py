@@ -1,5 +1,7 @@
 """Cleaning, splitting, tokens."""
 
+from hashlib import md5
+
 import hypothesis.strategies as st
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -15,7 +17,7 @@ from stylograph.operators.tokens import (
     tokenize,
     with_lexical_columns,
 )
-from suite.queries import toy_annotator
+from suite.queries import toy_annotator, whole_texts
 
 
 def works(spark, *texts):
@@ -117,3 +119,14 @@ def test_annotator_order_is_restored(spark, limit):
     assert [r["tok_no"] for r in rows] == list(range(1, 14))
     assert [r["sent_no"] for r in rows] == [1] * 4 + [2] * 3 + [3] * 4 + [4] * 2
     assert ordered.columns[:3] == ["work_id", "sent_no", "tok_no"]
+
+
+def test_whole_texts_are_digests_of_pieces_in_order(spark):
+    rows = [("a", 2, "zwei 漢字"), ("a", 1, "eins "), ("a", 3, None), ("a", 2, "zwei 漢字"), ("b", 7, ""), ("c", 1, None), (None, 1, "x"), (None, 0, "é")]
+    rows += [("d", i, f"{i} 🦉" * 50) for i in range(3_000)]
+    pieces = spark.createDataFrame(rows, "work_id string, piece_no long, text string").repartition(5)
+    found = whole_texts(pieces)
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    whole = {"a": "eins zwei 漢字zwei 漢字", "b": "", "c": "", None: "éx", "d": "".join(f"{i} 🦉" * 50 for i in range(3_000))}
+    assert {tuple(r) for r in found.collect()} == {(w, md5(t.encode()).hexdigest(), len(t)) for w, t in whole.items()}
+    assert found.schema.names == ["work_id", "digest", "n_chars"] and whole_texts(pieces.where("false")).count() == 0
