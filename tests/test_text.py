@@ -121,6 +121,27 @@ def test_annotator_order_is_restored(spark, limit):
     assert ordered.columns[:3] == ["work_id", "sent_no", "tok_no"]
 
 
+def test_carried_offsets_change_no_number(spark):
+    """Tokens whose chunks carry their offsets are placed without a join; carried or not, also where a work comes twice, the numbers are those of the chunks' totals."""
+    texts = [f"Word{i} one. Two {i}!\n\nThree four five.\n\nSix {i}\n\n{'more words ' * i}" for i in range(5)]
+    whole = works(spark, *texts)
+    twice = whole.unionByName(whole.where("work_id = '2'")).unionByName(whole.where("work_id = '4'").select(F.lit("3").alias("work_id"), F.concat(F.lit("A b c d. E f g!\n\n"), "text").alias("text")))
+    null = whole.where("work_id = '1'").withColumn("work_id", F.lit(None).cast("string"))
+    for rows, joins in ((whole, False), (twice.unionByName(null), True)):
+        tokens = annotate(rows, toy_annotator, 20, batch=2).localCheckpoint()
+        ordered = restore_order(tokens)
+        assert ("Join" in ordered._jdf.queryExecution().optimizedPlan().toString()) == joins
+        totals = {}
+        for t in tokens.collect():
+            if t["work_id"] is not None:
+                key = (t["work_id"], t["chunk_no"])
+                totals[key] = tuple(map(max, totals.get(key, (0, 0)), (t["tok_no"], t["sent_no"])))
+        before = lambda w, c, n: sum(v[n] for (work, chunk), v in totals.items() if work == w and chunk < c)
+        want = sorted((t["work_id"], t["sent_no"] + before(t["work_id"], t["chunk_no"], 1), t["tok_no"] + before(t["work_id"], t["chunk_no"], 0), t["text"]) for t in tokens.collect() if t["work_id"] is not None)
+        for table in (ordered, restore_order(tokens.drop("tok_offset", "sent_offset"))):
+            assert sorted((r["work_id"], r["sent_no"], r["tok_no"], r["text"]) for r in table.collect()) == want
+
+
 def test_whole_texts_are_digests_of_pieces_in_order(spark):
     rows = [("a", 2, "zwei 漢字"), ("a", 1, "eins "), ("a", 3, None), ("a", 2, "zwei 漢字"), ("b", 7, ""), ("c", 1, None), (None, 1, "x"), (None, 0, "é")]
     rows += [("d", i, f"{i} 🦉" * 50) for i in range(3_000)]
