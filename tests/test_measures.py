@@ -101,6 +101,11 @@ def test_token_table_agrees_with_texts(spark):
     want = {r["work_id"]: r.asDict() for r in surface.surface_counts(works_).collect()}
     got = {r["work_id"]: r.asDict() for r in from_tokens.select(columns).collect()}
     assert got == want
+    for few in (1, 60):  # in shares of works, also repeated ones
+        doubled = works_.unionByName(works_.where("work_id = 'w3'"))
+        shared = annotated.token_counts(labelled_tokens(doubled), doubled, share_tokens=few)
+        whole = annotated.token_counts(labelled_tokens(doubled), doubled)
+        assert sorted(map(tuple, shared.collect())) == sorted(map(tuple, whole.collect()))
     packed = sentence_tokens(works_, labels=inputs.RULE_LABELS)
     again = annotated.token_counts(labelled_tokens(works_), works_, packed)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, from_tokens.collect()))
